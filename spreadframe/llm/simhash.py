@@ -77,19 +77,21 @@ def near_pairs(prints: DataFrame, bits: int = 3) -> DataFrame:
     return a.join(b, ["at", "rest"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
 
 
-def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` with columns fingerprint (16 hex digits) and component_id.
-
-    ``docs`` has ``doc_id`` and ``text``; columns of those two new names are replaced and
-    all others kept. component_id is the smallest doc_id reachable over links; null
-    doc_ids are linked like others but name a component only if it has no other.
-    Repeated rows share their component; an empty table gives an empty one.
+def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all by default) with fingerprint, component_id and kept.
+
+    ``docs`` has ``doc_id`` and ``text``; columns of the three new names are replaced.
+    fingerprint has 16 hex digits; component_id is the smallest doc_id reachable over
+    links; kept marks one row of each component, one with that doc_id. Null doc_ids link
+    like others and come last, so component_id is null only if all of a component are.
+    Of repeated rows at most one is kept. An empty table gives an empty one.
     """
-    own = [c for c in docs.columns if c not in ("fingerprint", "component_id", "_fp")]
-    keyed = written(docs.select(*own, fingerprint(F.col("text"), shingle).alias("_fp")), "fingerprints")
-    prints = written(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first")), "prints")
+    own = [c for c in carry or docs.columns if c not in ("fingerprint", "component_id", "kept", "_fp", "_row")]
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    keyed = written(docs.select(*dict.fromkeys(["doc_id", *own]), fingerprint(F.col("text"), shingle).alias("_fp"), F.monotonically_increasing_id().alias("_row")), "fingerprints")
+    prints = written(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min(ids).alias("first")), "prints")
     parts = written(connected_components(near_pairs(prints, bits), "a", "b"), "parts")
     rooted = prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = written(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"), "names")
-    return keyed.join(names, "_fp").select(*own, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    names = written(rooted.join(named, "root").select(F.col("fp").alias("_fp"), F.col("best.id").alias("component_id"), F.col("best.row").alias("_best")), "names")
+    return keyed.join(names, "_fp").select(*own, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id", (F.col("_row") == F.col("_best")).alias("kept"))
