@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Words remembered by a Python worker, which bounds its memory.
-WORDS = 600_000
+WORDS = 1_500_000
 #: Characters handed to the tokenizer at once.
 SLAB = 1 << 12
 

@@ -2,10 +2,10 @@
 
 A source's ratio of target to size is a number of certain whole copies of each of its
 documents and a fraction. The fraction is an inclusion probability p, and a document with
-a random number u ranks by (u / (1 - u)) / (p / (1 - p)): the lowest ranks are taken until
-their words come nearest to what the certain copies leave of the target, so the sample
-has a fixed size in words. Ranks are found by their place among buckets first, so
-no source is ordered in one task.
+a random number u ranks by (u / (1 - u)) / (p / (1 - p)): the lowest ranks are taken while
+their words are within what the certain copies leave of the target, and one more
+document fills the rest as well as any can, so the sample has a fixed size in words.
+Ranks are found by their place among buckets first, so no source is ordered in one task.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     )
     plan = written(plan, "targets")
 
-    p = F.col("goal") / F.col("source_size")
-    odds = (F.col("_mix_u") / (1 - F.col("_mix_u"))) / (p / (1 - p))
+    p = F.try_divide(F.col("goal"), F.col("source_size"))
+    odds = F.try_divide(F.col("_mix_u") / (1 - F.col("_mix_u")), p / (1 - p))
     narrow = drawn.select(*group, "doc_id", "size", "_mix_u", "_mix_row").where("size > 0").join(plan, group).where("goal > 0")
     # ranks rise with u, so buckets of u are buckets of ranks
     ranked = narrow.select(*group, "size", "goal", F.floor(F.col("_mix_u") * F.col("buckets")).alias("bucket"), F.struct(odds.alias("odds"), "doc_id", F.col("_mix_row").alias("row")).alias("rank"))
@@ -84,14 +84,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     upto = F.sum("words").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     cut = per.withColumn("upto", upto).where("upto >= goal and upto - words < goal").select(*group, F.col("bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
     cut = written(cut, "cuts")
-    # within the bucket that crosses the goal: the rank at which the running words end nearest to it
+    # within the bucket that crosses the goal: the last rank at which the running words are within it
     so_far = F.col("before") + F.sum("size").over(Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    within = ranked.join(cut, group).where("bucket = cut").select(*group, "cut", "before", "goal", "rank", so_far.alias("so_far"))
-    best = within.groupBy(*group).agg(F.min(F.struct(F.abs(F.col("so_far") - F.col("goal")).alias("off"), "rank")).alias("best"), F.first("cut").alias("cut"), F.first("before").alias("before"), F.first("goal").alias("goal"))
-    edges = best.select(*group, "cut", F.when(F.col("best.off") < F.col("goal") - F.col("before"), F.col("best.rank")).alias("edge"))
-    limits = written(plan.join(edges, group, "left"), "edges")
+    within = ranked.join(cut, group).where("bucket = cut").select(*group, "rank", so_far.alias("so_far"))
+    edge = within.join(plan.select(*group, "goal"), group).where("so_far <= goal").groupBy(*group).agg(F.max("rank").alias("edge"), F.max("so_far").alias("so_far"))
+    edges = written(cut.join(edge, group, "left").select(*group, "cut", "edge", F.coalesce("so_far", "before").alias("so_far")), "edges")
+    # and of the ranks after it, the one document whose words come nearest to what is missing, if that is nearer than none
+    taken = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(F.col("rank") <= F.col("edge"), F.lit(False)))
+    missing = F.col("goal") - F.col("so_far")
+    rest = ranked.join(edges, group).where(~taken).select(*group, F.struct(F.abs(missing - F.col("size")).alias("off"), "rank").alias("last"), missing.alias("missing"))
+    last = rest.groupBy(*group).agg(F.min("last").alias("last"), F.first("missing").alias("missing")).select(*group, F.when(F.col("last.off") < F.col("missing"), F.col("last.rank")).alias("last"))
+    limits = written(plan.join(edges.drop("so_far"), group, "left").join(last, group, "left"), "limits")
 
     rank, bucket = F.struct(odds.alias("odds"), "doc_id", F.col("_mix_row").alias("row")), F.floor(F.col("_mix_u") * F.col("buckets"))
-    extra = (F.col("size") > 0) & (F.col("goal") > 0) & ((bucket < F.col("cut")) | ((bucket == F.col("cut")) & F.coalesce(rank <= F.col("edge"), F.lit(False))))
+    under = (bucket < F.col("cut")) | ((bucket == F.col("cut")) & F.coalesce(rank <= F.col("edge"), F.lit(False)))
+    extra = (F.col("size") > 0) & (F.col("goal") > 0) & (under | F.coalesce(rank == F.col("last"), F.lit(False)))
     out = drawn.join(limits, group).withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0))
     return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

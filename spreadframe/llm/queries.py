@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, toxicity
 
 
 def tokenizer_file() -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,10 +31,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_files_roundtrip(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_rows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return sharded.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "pii")
 
@@ -39,5 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_toxicity, op6_packing, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash)}
 ORACLES: dict[str, str] = {}
