@@ -46,7 +46,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and return the table read back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
