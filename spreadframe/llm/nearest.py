@@ -21,14 +21,14 @@ from pyspark.sql.window import Window
 from ..shared import written
 from .vectors import packed, stacked, usual_width
 
-PROJECTIONS = 48
+PROJECTIONS = 128
 #: Share of the projections that must collide.
-COLLISIONS = 0.5
+COLLISIONS = 0.7
 #: Windows grow by this factor from step to step.
-WIDER = 1.3
+WIDER = 1.1
 #: A query's candidates in a block, as a share of its vectors, besides the number asked for.
-CANDIDATES = 0.06
-ROWS = 8192
+CANDIDATES = 0.1
+ROWS = 16_384
 QUERIES = 2048
 
 
@@ -42,9 +42,10 @@ class Index:
         self.x, self.longest = x, longest
         rest = np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(1)))
         h = np.column_stack([x, rest]) @ self.a
-        self.order = np.argsort(h, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(h, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(h.T, self.order, axis=1)
-        self.step = float(np.median(h.std(0))) * 0.5 + 1e-12
+        #: Half of the first windows' width; later queries start where earlier ones were about to end.
+        self.first = float(np.median(h.std(0))) * 0.5 + 1e-12
 
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """For each query the rows whose projections collide often enough."""
@@ -57,7 +58,7 @@ class Index:
         low = np.empty((len(queries), m), dtype=np.int64)
         for j in range(m):
             low[:, j] = np.searchsorted(self.sorted[j], centre[:, j])
-        high, width, left = low.copy(), self.step, list(range(len(queries)))
+        high, width, left, ends = low.copy(), self.first, list(range(len(queries))), []
         while left:
             who = np.array(left)
             to_low, to_high = np.empty((len(who), m), dtype=np.int64), np.empty((len(who), m), dtype=np.int64)
@@ -71,10 +72,12 @@ class Index:
                 found = np.flatnonzero(counts[q] >= least)
                 if len(found) >= need:
                     out[q] = found
+                    ends.append(width)
                 else:
                     still.append(q)
             low[who], high[who] = to_low, to_high
             left, width = still, width * WIDER
+        self.first = float(np.quantile(ends, 0.1)) / WIDER
         return out
 
 
@@ -112,9 +115,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 3, ro
         if len(q) and len(d):
             x, ids, ask = stacked(d["raw"]), d["vec_id"].to_numpy(), stacked(q["raw"])
             index = Index(x, norm, seed)
-            for at in range(0, len(q), 256):
-                part = ask[at : at + 256]
-                for query_id, v, found in zip(q["vec_id"].iloc[at : at + 256], part, index.candidates(part, k + 1)):
+            for at in range(0, len(q), 64):
+                part = ask[at : at + 64]
+                for query_id, v, found in zip(q["vec_id"].iloc[at : at + 64], part, index.candidates(part, k + 1)):
                     found = found[ids[found] != query_id]
                     score = (x[found] * v).sum(1)
                     best = np.lexsort((ids[found], -score))[:k]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, toxicity
+from . import licences, mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, toxicity
 
 
 def tokenizer_file() -> str:
@@ -22,6 +22,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash)}
 ORACLES: dict[str, str] = {}
