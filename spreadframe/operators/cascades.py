@@ -280,7 +280,7 @@ def random_size(observed: DataFrame, examples: DataFrame, seed: int = 0) -> Data
     """A random training size, at least what is observed; drawn by a hash of the cascade."""
     sizes = examples.select("final", (F.row_number().over(Window.orderBy("final")) - 1).alias("at"))
     n = max(1, examples.count())
-    return observed.withColumn("at", F.pmod(F.crc32(F.concat_ws("#", F.lit(str(seed)), F.col("cascade_id")).cast("binary")), F.lit(n))).join(F.broadcast(sizes), "at", "left").select("cascade_id", F.greatest(F.col("observed"), F.coalesce("final", F.lit(0))).cast("double").alias("predicted"))
+    return observed.select("cascade_id", "observed").withColumn("at", F.pmod(F.crc32(F.concat_ws("#", F.lit(str(seed)), F.col("cascade_id")).cast("binary")), F.lit(n))).join(F.broadcast(sizes), "at", "left").select("cascade_id", F.greatest(F.col("observed"), F.coalesce("final", F.lit(0))).cast("double").alias("predicted"))
 
 
 def forward_simulation(graph: Graph, binned: DataFrame, window: int, steps: int, runs: int = 20) -> DataFrame:

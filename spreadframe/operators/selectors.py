@@ -181,7 +181,7 @@ def simulated_gain(graph: Graph, chosen: list[int], candidates: DataFrame, runs:
     c = candidates.select("node")
     plans = c.select(F.col("node").alias("plan"), "node")
     if chosen:
-        plans = plans.unionByName(c.select(F.col("node").alias("plan"), F.explode(F.array(*map(F.lit, chosen))).cast("long").alias("node"))).distinct()
+        plans = plans.unionByName(c.select(F.col("node").alias("plan"), F.explode(F.array(*(F.lit(x).cast("long") for x in chosen))).alias("node"))).distinct()
     return dynamics.mean_spread(dynamics.ic_samples(graph, plans, runs, horizon, seed), runs, ["plan"]).select(F.col("plan").alias("node"), F.col("spread").alias("score"))
 
 
