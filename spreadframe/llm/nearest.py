@@ -42,7 +42,7 @@ class Index:
         self.x, self.longest = x, longest
         rest = np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(1)))
         h = np.column_stack([x, rest]) @ self.a
-        self.order = np.argsort(h, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.argsort(h, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(h.T, self.order, axis=1)
         #: Half of the first windows' width; later queries start where earlier ones were about to end.
         self.first = float(np.median(h.std(0))) * 0.5 + 1e-12
@@ -58,7 +58,7 @@ class Index:
         low = np.empty((len(queries), m), dtype=np.int64)
         for j in range(m):
             low[:, j] = np.searchsorted(self.sorted[j], centre[:, j])
-        high, width, left, ends = low.copy(), self.first, list(range(len(queries))), []
+        high, width, left, ends, fresh = low.copy(), self.first, list(range(len(queries))), [], True
         while left:
             who = np.array(left)
             to_low, to_high = np.empty((len(who), m), dtype=np.int64), np.empty((len(who), m), dtype=np.int64)
@@ -67,8 +67,14 @@ class Index:
                 to_high[:, j] = np.searchsorted(self.sorted[j], centre[who, j] + width, side="right")
             still = []
             for r, q in enumerate(left):
-                rings = [self.order[j, to_low[r, j] : low[q, j]] for j in range(m)] + [self.order[j, high[q, j] : to_high[r, j]] for j in range(m)]
-                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
+                a, b = to_low[r].tolist(), to_high[r].tolist()
+                if fresh and sum(b) - sum(a) > m * n // 2:
+                    # first windows that hold most rows are counted by what they leave out
+                    rings = [self.order[j, : a[j]] for j in range(m)] + [self.order[j, b[j] :] for j in range(m)]
+                    counts[q] = m - np.bincount(np.concatenate(rings), minlength=n)
+                else:
+                    rings = [self.order[j, a[j] : low[q, j]] for j in range(m)] + [self.order[j, high[q, j] : b[j]] for j in range(m)]
+                    counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
                 found = np.flatnonzero(counts[q] >= least)
                 if len(found) >= need:
                     out[q] = found
@@ -76,7 +82,7 @@ class Index:
                 else:
                     still.append(q)
             low[who], high[who] = to_low, to_high
-            left, width = still, width * WIDER
+            left, width, fresh = still, width * WIDER, False
         self.first = float(np.quantile(ends, 0.1)) / WIDER
         return out
 
