@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ALL = Window.partitionBy()
-
 
 def _n(cond: Column) -> Column:
     return F.coalesce(F.sum(cond.cast("int")), F.lit(0))
@@ -135,7 +133,7 @@ def popularity(df: DataFrame) -> DataFrame:
 
 def coverage_at_k(df: DataFrame) -> DataFrame:
     """Overlap of the top tenths by prediction and by truth; null under ten rows."""
-    k = F.floor(F.count("*").over(ALL) / 10)
+    k = F.floor(F.count("*").over(Window.partitionBy()) / 10)
     r = df.select(k.alias("k"), F.row_number().over(Window.orderBy(F.desc("predicted"), "id")).alias("a"), F.row_number().over(Window.orderBy(F.desc("actual"), "id")).alias("b"))
     return r.agg(F.try_divide(_n((F.col("a") <= F.col("k")) & (F.col("b") <= F.col("k"))), F.nullif(F.max("k"), F.lit(0))).alias("coverage"))
 
@@ -143,7 +141,7 @@ def coverage_at_k(df: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Correlation of average ranks; 0 where undefined."""
     r = df.select(*(by or []), average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
-    return r.groupBy(*(by or [])).agg(F.coalesce(F.nanvl(F.corr("ra", "rb"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    return r.groupBy(*(by or [])).agg(F.when((F.var_pop("ra") > 0) & (F.var_pop("rb") > 0), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))).otherwise(0.0).alias("rho"))
 
 
 def epidemic_curve(curve: DataFrame, burn_in: float = 0.5) -> DataFrame:
