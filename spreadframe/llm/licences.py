@@ -96,10 +96,13 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return w / t, b / t
 
 
+def _runs(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def _all_grams(words: Column) -> Column:
-    # words that follow one another, joined; a slice beyond the end would be shorter and is not asked for
-    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in LENGTHS]
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*(_runs(words, n) for n in LENGTHS)))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
