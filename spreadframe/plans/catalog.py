@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..core import Graph, top_k, undirected
 from ..functions.coins import coin, coin_sql
-from ..operators import build, cascades, dynamics, inference, kernels, metrics, ranking, selectors, structure
+from ..operators import build, cascades, dynamics, inference, kernels, metrics, ranking, selectors, structure, variants
 from ..operators.components import connected_components
 from ..shared import written
 from ..sources import derived
@@ -493,6 +493,57 @@ _chosen("greedy_walk_immunization", lambda g: selectors.adaptive(g, 3, selectors
 _chosen("simulated_blocking_nodes", lambda g: selectors.simulated_blocking(g, 2, selectors.nodes_of(g, [0]), g.nodes.where("node between 1 and 8"), 8, 6))
 
 
+_SRC = lambda g: selectors.nodes_of(g, [0])
+_chosen("static_greedy_seeds", lambda g: variants.snapshot_greedy(g, 2, 8, 6))
+_chosen("community_ris_seeds", lambda g: variants.community_coverage(g, 3, 150))
+_chosen("degree_ris_refined_seeds", lambda g: variants.coverage_swaps(g, 3, 150))
+_chosen("adaptive_greedy_seeds", lambda g: variants.two_stage_greedy(g, 2, 4, 12, 5, 5))
+_chosen("community_celf_seeds", lambda g: variants.community_greedy(g, 2, 6, 4))
+_chosen("annealed_seeds", lambda g: variants.annealed_seeds(g, 2, 2, 3, runs=6, horizon=4))
+_chosen("genetic_seeds", lambda g: variants.bred_seeds(g, 2, 4, 2, runs=6, horizon=4))
+_chosen("prevention_set_blocking", lambda g: variants.prevention_cover(g, 3, _SRC(g), 150, hops=8))
+_chosen("reverse_set_blocking", lambda g: variants.reverse_blocking(g, 3, _SRC(g), 150))
+_chosen("ring_cover_blocking", lambda g: variants.ring_cover(g, 2, _SRC(g), 150))
+_chosen("competitive_mia_blocking", lambda g: variants.earlier_cover(g, 3, _SRC(g)))
+_chosen("advanced_greedy_blocking", lambda g: variants.dominating_blockers(g, 2, _SRC(g), 10))
+_chosen("greedy_replace_blocking", lambda g: variants.dominating_blockers(g, 2, _SRC(g), 10, replace=True))
+_chosen("dava_immunization", lambda g: variants.dominator_doses(g, 2, _SRC(g)))
+_chosen("dava_fast_immunization", lambda g: variants.dominator_doses(g, 2, _SRC(g), fast=True))
+_chosen("netshield_plus_immunization", lambda g: variants.netshield_batches(g, 3, 2, 15))
+
+
+@query()
+def greedy_walk_arcs(spark, sf):
+    return spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(variants.walk_arcs(nations(spark, sf), 3))], "src long, dst long, rank int")
+
+
+@query()
+def leave_one_out_credit(spark, sf):
+    return variants.leave_one_out(nations(spark, sf), [0, 1, 2], 8, 5)
+
+
+@query()
+def frontier_bottlenecks(spark, sf):
+    g = nations(spark, sf)
+    return variants.bottlenecks(g, seeds3(g), 5)
+
+
+@query()
+def structural_regions(spark, sf):
+    return variants.structural_regions(nations(spark, sf))
+
+
+@query()
+def bridge_nodes(spark, sf):
+    return variants.bridge_nodes(nations(spark, sf))
+
+
+@query()
+def spread_gradient(spark, sf):
+    g = nations(spark, sf)
+    return variants.spread_gradient(g, written(seeds3(g)), g.nodes, 3)
+
+
 @query()
 def closeness_seeds(spark, sf):
     g = nations(spark, sf)
@@ -680,6 +731,11 @@ _localised("restart_pagerank_members", lambda g, y: inference.restart_members(g,
 _localised("center_times", lambda g, y: inference.center_times(g, inference.infected_set(y), 6))
 
 
+_localised("netsleuth_sources", lambda g, y: selectors.ranked(g, variants.submatrix_sources(g, y, 2, 10)))
+_localised("one_hop_members", lambda g, y: variants.with_neighbours(g, inference.infected_set(y)))
+_localised("community_center_times", lambda g, y: variants.community_centers(g, inference.infected_set(y), 6))
+
+
 def history(spark, sf) -> tuple[Graph, DataFrame]:
     g = users(spark, sf)
     return g, written(dynamics.ic_samples(g, seeds3(g), 1, HOPS).select("node", F.col("t").alias("time"), "parent"))
@@ -733,6 +789,23 @@ def reconstruct_origins(spark, sf):
     return inference.greedy_origin_times(g, inference.mask(h, "final_snapshot"), 2, HOPS)[1]
 
 
+def _decoded(name, decode):
+    def run(spark, sf):
+        g, h = history(spark, sf)
+        return decode(g, written(seeds3(g)), inference.mask(h, "partial_times"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_decoded("reconstruct_random", lambda g, s, r: variants.random_times(r, HOPS))
+_decoded("reconstruct_consistent_exact", lambda g, s, r: variants.consistent_times(g, s, r, HOPS))
+_decoded("reconstruct_consistent_bounded", lambda g, s, r: variants.consistent_times(g, s, r, HOPS, exactly=False))
+_decoded("reconstruct_sampled_trees", lambda g, s, r: variants.sampled_trees(g, r, HOPS, 6))
+_decoded("reconstruct_attachment", lambda g, s, r: variants.cheapest_attachment(g, r, 8.0, 4))
+_decoded("reconstruct_voted", lambda g, s, r: variants.voted_times(g, s, r, HOPS, 8))
+
+
 @query()
 def reconstruction_scores(spark, sf):
     g, h = history(spark, sf)
