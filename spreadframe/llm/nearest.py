@@ -21,13 +21,13 @@ from pyspark.sql.window import Window
 from ..shared import written
 from .vectors import packed, stacked, usual_width
 
-PROJECTIONS = 128
+PROJECTIONS = 72
 #: Share of the projections that must collide.
 COLLISIONS = 0.7
 #: Windows grow by this factor from step to step.
 WIDER = 1.1
 #: A query's candidates in a block, as a share of its vectors, besides the number asked for.
-CANDIDATES = 0.1
+CANDIDATES = 0.16
 ROWS = 16_384
 QUERIES = 2048
 

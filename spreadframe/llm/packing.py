@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import written
-from .bpe import encoder
+from .bpe import encoder, portions
 
 #: Pieces packed together; a bin of its own leaves at most a few windows with much room.
 BIN = 16_384
@@ -110,9 +110,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
             return frame(rest, f"{part}-{bins}", place, offset)
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some, full = batch.iloc[at : at + 256], []
-                for doc, ids in zip(some["doc_id"], encode([t if isinstance(t, str) else None for t in some["text"]])):
+            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            for at, to in portions(texts):
+                full = []
+                for doc, ids in zip(batch["doc_id"].iloc[at:to], encode(texts[at:to])):
                     ids, doc = ids + end, None if pd.isna(doc) else int(doc)
                     n = len(ids) // 4
                     for s in range(0, n, window):

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import new_path, written
-from .bpe import encoder
+from .bpe import encoder, portions
 
 MAGIC = b"RNS1"
-BITS = 20
+BITS = 18
 LOW = np.uint64(1 << 31)
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 2048
+BLOCK = 1 << 19
 EVERY = 128
 #: A chunk closes with the document that brings it to so many ids.
 CHUNK = 1 << 19
@@ -53,7 +53,10 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
-        self.ids = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        # by slot: the id, its frequency, and the slot's place among the id's slots
+        self.ids = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
+        self.slot_freq = self.freq[self.ids]
+        self.slot_place = np.arange(len(self.ids), dtype=np.uint64) - self.start[self.ids]
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
@@ -97,10 +100,9 @@ def decode_from(block: bytes, table: Table, point: int) -> np.ndarray:
     for a in range(first, last, LANES):
         b = min(last, a + LANES)
         now = x[: b - a]
-        slot = now & mask
-        ids = table.ids[slot]
-        out[a - first : b - first] = ids
-        now = table.freq[ids] * (now >> bits) + slot - table.start[ids]
+        slot = (now & mask).view(np.int64)
+        out[a - first : b - first] = table.ids.take(slot)
+        now = table.slot_freq.take(slot) * (now >> bits) + table.slot_place.take(slot)
         low = now < LOW
         k = int(low.sum())
         if k:
@@ -118,7 +120,7 @@ def decode_block(block: bytes, table: Table) -> np.ndarray:
 
 
 _DOC = np.dtype([("known", "?"), ("doc", "<i8"), ("n", "<u4")])
-_STAGED = "part int, seq int, n_tokens long, docs binary, ids binary"
+_STAGED = "part int, seq int, n_tokens long, docs binary, ids binary, counts binary"
 _FILES = "part int, seq int, n_tokens long, docs binary, blocks array<binary>"
 
 
@@ -130,24 +132,29 @@ def _staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
         held: list[bytes] = []
+        counts = np.zeros(0, dtype=np.int64)
 
-        def frame() -> pd.DataFrame:
+        def frame(last: bool) -> pd.DataFrame:
+            nonlocal counts
             ids = np.frombuffer(b"".join(held), "<u4")
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_tokens": [len(ids)], "docs": [np.array(rows, dtype=_DOC).tobytes()], "ids": [ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4").tobytes()]})
+            new = np.bincount(ids, minlength=len(counts))
+            new[: len(counts)] += counts
+            counts = new
+            return pd.DataFrame({"counts": [counts.astype("<i8").tobytes() if last else None], "part": [part], "seq": [seq], "n_tokens": [len(ids)], "docs": [np.array(rows, dtype=_DOC).tobytes()], "ids": [ids.astype("<u2" if len(counts) <= 1 << 16 else "<u4").tobytes()]})
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                for doc, ids in zip(some["doc_id"], encode([t if isinstance(t, str) else None for t in some["text"]])):
+            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            for at, to in portions(texts):
+                for doc, ids in zip(batch["doc_id"].iloc[at:to], encode(texts[at:to])):
                     ids += end
                     rows.append((False, 0, len(ids) // 4) if pd.isna(doc) else (True, int(doc), len(ids) // 4))
                     held.append(ids)
                     size += len(ids) // 4
                     if size >= CHUNK:
-                        yield frame()
+                        yield frame(False)
                         rows, held, size, seq = [], [], 0, seq + 1
-        if rows:
-            yield frame()
+        if rows or len(counts):
+            yield frame(True)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,16 +175,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     staged = _staged(docs, tokenizer, end_id)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw, n in zip(batch["ids"], batch["n_tokens"]):
-                new = np.bincount(_ids(raw, n), minlength=len(total))
-                new[: len(total)] += total
-                total = new
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "n": total[seen]})
-
-    counted = staged.select("ids", "n_tokens").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for raw in batch["counts"]:
+                each = np.frombuffer(raw, "<i8")
+                seen = np.flatnonzero(each)
+                yield pd.DataFrame({"id": seen, "n": each[seen]})
+
+    counted = staged.where("counts is not null").select("counts").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, dtype=np.int64)
     counts[counted["id"].to_numpy(dtype=np.int64)] = counted["n"]
     freq = frequencies(counts)
@@ -193,7 +197,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 blocks = [encode_block(ids[a : a + BLOCK], table) for a in range(0, len(ids), BLOCK)]
                 yield pd.DataFrame({"part": [r.part], "seq": [r.seq], "n_tokens": [r.n_tokens], "docs": [r.docs], "blocks": [blocks]})
 
-    staged.mapInPandas(encode, _FILES).write.option("compression", "none").parquet(f"{path}/blocks")
+    staged.drop("counts").mapInPandas(encode, _FILES).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -208,7 +212,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         for batch in batches:
             for r in batch.itertuples(index=False):
                 docs = np.frombuffer(r.docs, dtype=_DOC)
-                ids = np.concatenate([decode_block(b, table) for b in r.blocks]).astype("<u4")
+                ids = np.concatenate([np.empty(0, dtype=np.uint32), *(decode_block(b, table) for b in r.blocks)]).astype("<u4")
                 ends = np.cumsum(docs["n"].astype(np.int64))
                 starts = ends - docs["n"]
                 each = [ids[a:b].tobytes() for a, b in zip(starts, ends)]
