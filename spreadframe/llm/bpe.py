@@ -8,6 +8,7 @@ texts with a space between white space are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -16,12 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words remembered by a Python worker, which bounds its memory.
-WORDS = 800_000
+WORDS = 700_000
 #: Characters of texts encoded at once by callers, about, which bounds their memory.
-CHARACTERS = 1 << 22
+CHARACTERS = 1 << 23
 #: Characters handed to the tokenizer at once.
 SLAB = 1 << 11
-SIGNS = frozenset(".,;:!?")
+# letters whose kind no edition of Unicode disputes, and the printable ASCII that is none
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ʯ]+", r"[!-@\[-`{-~]+"
+#: A word of letters, then signs, then perhaps a line's end and such a word again: pieces end at each change.
+FORM = re.compile(rf"({_LETTERS})({_SIGNS})?(?:\n({_LETTERS})({_SIGNS})?)?")
 
 _tokenizers: dict[str, "Encoder"] = {}
 
@@ -38,69 +42,94 @@ class Encoder:
         # a space before white space or the end; whether white space precedes it too is looked at then
         self.loose = re.compile(r" (?:\s|\Z)")
         self.within = re.compile(r"\s \s|\s \Z")
+        # words after a space, those not met since the last change of generation, and parts of words after none
         self.known: dict[str, bytes] = {}
-        self.signs = {c: self.whole(c) for c in SIGNS}
+        self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words, each after a space, in slabs; cut the ids where the words end."""
-        known, at = self.known, 0
-        while at < len(words):
-            end, size = at, 0
-            while end < len(words) and size < SLAB:
-                size += len(words[end]) + 1
-                end += 1
+    def _learn(self, words: list[str], sign: str, into: dict[str, bytes]) -> None:
+        """Encode words, each after a sign, in slabs; cut the ids where the words end. A line's end is cut off."""
+        if not words:
+            return
+        lengths = pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1
+        slab = (np.cumsum(lengths) - lengths) // SLAB
+        edges = [*np.flatnonzero(np.diff(slab, prepend=-1)).tolist(), len(words)]
+        skip = 0 if sign == " " else len(self.line_end)
+        for at, end in zip(edges, edges[1:]):
             part = words[at:end]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in part), dtype=np.int64, count=len(part)))
-            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([sign + sign.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[at:end]), side="left") + 4).tolist()
             raw, last = ids.tobytes(), 0
             for w, c in zip(part, cuts):
-                known[w] = raw[last * 4 : c * 4]
+                into[w] = raw[last + skip : c]
                 last = c
-            at = end
-
-    def _remember(self, words: list[str]) -> None:
-        """Have the ids of all words, each after a space, in ``known``."""
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        new = set(words).difference(known)
-        # a sign at the end of a word of letters is a piece of its own
-        ended = [w for w in new if w[-1:] in SIGNS and w[:-1].isalpha()]
-        new.difference_update(ended)
-        stems = {w[:-1] for w in ended}
-        self._learn([*new, *stems.difference(known, new)])
-        for w in ended:
-            known[w] = known[w[:-1]] + self.signs[w[-1]]
+
+    def _remember(self, words: list[str], first: list[str]) -> None:
+        """Have the ids of words, each after a space, in ``known``, and of first words after none in ``parts``."""
+        if len(self.known) > WORDS // 2:
+            self.before, self.known = self.known, {}
+        if len(self.parts) > WORDS // 4:
+            self.parts = {}
+        known, before, parts = self.known, self.before, self.parts
+        new = []
+        for w in set(words).difference(known):
+            if w in before:
+                known[w] = before[w]
+            else:
+                new.append(w)
+        plain, formed, bits = set(), [], set()
+        for w in new:
+            if not w.isalpha() and (m := FORM.fullmatch(w)):
+                found = m.groups()
+                formed.append((w, *found))
+                if found[0] not in known:
+                    plain.add(found[0])
+                bits.update(found[1:])
+            else:
+                plain.add(w)
+        for w in set(first).difference(parts):
+            if (m := FORM.fullmatch(w)) and m[1] == w:
+                bits.add(w)
+            else:
+                parts[w] = self.whole(w) if w else b""
+        bits.discard(None)
+        self._learn(list(plain), " ", known)
+        self._learn(list(bits.difference(parts)), "\n", parts)
+        for w, stem, signs, stem2, signs2 in formed:
+            ids = known[stem] + parts[signs] if signs else known[stem]
+            if stem2:
+                ids += self.line_end + parts[stem2] + (parts[signs2] if signs2 else b"")
+            known[w] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty.
 
-        Arrow splits the batch and numbers its words; Python sees each different word once.
+        Arrow splits the batch, numbers its words and joins their ids; Python sees each different word once.
         """
         apart = {i for i, t in enumerate(texts) if t and self.loose.search(t) and self.within.search(t)}
         split = pc.split_pattern(pa.array(["" if t is None or i in apart else t for i, t in enumerate(texts)], pa.string()), " ")
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        self._remember(words)
-        values = list(map(self.known.__getitem__, words))
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
         # a text's first word stands after no space
         begins = split.offsets.to_numpy().astype(np.int64)
         first, at = np.unique(codes[begins[:-1]], return_inverse=True)
-        codes[begins[:-1]] = len(values) + at
-        values += [self.whole(words[c]) if words[c] else b"" for c in first.tolist()]
-        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        where = np.repeat(starts[codes] - ends + each, each)
-        where += np.arange(len(where))
-        ids = np.frombuffer(b"".join(values), "<u4")[where].tobytes()
-        cuts = (4 * np.concatenate(([0], ends))[begins]).tolist()
+        firsts = [words[c] for c in first.tolist()]
+        gc.disable()  # many small tuples and no cycles
+        try:
+            self._remember(words, firsts)
+        finally:
+            gc.enable()
+        codes[begins[:-1]] = len(words) + at
+        values = pa.array([*map(self.known.__getitem__, words), *map(self.parts.__getitem__, firsts)], pa.large_binary())
+        joined = values.take(pa.array(codes))
+        _, offsets, ids = joined.buffers()
+        cuts = np.frombuffer(offsets, "<i8", len(joined) + 1)[begins].tolist()
+        ids = ids.to_pybytes() if ids else b""
         return [self.whole(t) if i in apart else ids[a:b] for i, (t, a, b) in enumerate(zip(texts, cuts, cuts[1:]))]
 
 
