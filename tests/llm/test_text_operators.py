@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -315,3 +316,17 @@ def test_toxicity_without_labels_or_rows(spark, odd):
 def test_queries_run_on_the_smallest_tables(spark, tiny):
     for name in ("op2_licences", "op8_sharding"):
         assert QUERIES[name](spark, tiny).count() >= 0
+
+
+def test_encoder_equals_whole_texts_across_generations(monkeypatch):
+    """Words cut at changes of kind, remembered or forgotten, give the ids of whole texts."""
+    from spreadframe.llm import bpe
+
+    rng = random.Random(5)
+    bits = ["a", "B", "é", "ɏ", "'s", "'", ".", ",", "\n", "\n\n", " ", "  ", "\t", "\r", "7", "42", "&&&", "İ", "中", " ", "ª", "²", "́", "😀", "<|endoftext|>", "_", "{", "~", "\x7f"]
+    monkeypatch.setattr(bpe, "WORDS", 40)
+    coder = Encoder(tokenizer_file())
+    for _ in range(300):
+        texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(8)] + [None, ""]
+        assert coder.encode(texts) == [coder.whole(t or "") for t in texts]
+    assert coder.before
