@@ -12,6 +12,7 @@ curve fitted on labelled texts that the counts did not use turns these into a sc
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,22 +33,33 @@ SHARE = 1 / (1 << 19)
 CALIBRATE = 20_000
 #: Distinct words a worker remembers or counts at once.
 WORDS = 200_000
+#: Their characters at once, which also bounds texts without spaces.
+CHARS = 1 << 23
+#: A longer token is cut at inner signs, and what is still longer is scored in parts of this length.
+LONG = 64
 START, END = "\x02", "\x03"
 FEATURES = ("mean", *(f"peak{n}" for n in SPANS))
 STRIP = ".,;:!?\"'()[]{}<>|*&%$#@-_/\\~`^+="
+INNER = re.compile("[" + re.escape(STRIP) + "\u00a1-\u00a9\u00ab-\u00b1\u2010-\u2027\u2030-\u205e\u3000-\u3004\u3008-\u3020\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
-def _grams(word: str) -> list[str]:
+def _grams(word: str) -> Iterator[list[str]]:
+    """All grams of a word, in parts of a bounded number; a word of at most ``LONG`` characters is one part."""
     w = f"{START}{word}{END}"
-    return [w[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(w))]
+    for at in range(1, len(w), LONG + 1):
+        yield [w[max(0, i - ORDER + 1) : i + 1] for i in range(at, min(at + LONG + 1, len(w)))]
 
 
 def _word(token: str) -> str:
-    return token.strip(STRIP)[:64]
+    return token.strip(STRIP)
 
 
 def _tokens(text: str) -> list[str]:
-    return text.lower().split()
+    """Words between white space, and of long ones those between inner signs."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for t in words for p in ((t,) if len(t) <= LONG else filter(None, INNER.split(t)))]
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -61,16 +73,21 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             for k in (0, 1):
                 for token, n in words[k].items():
                     if w := _word(token):
-                        for g in _grams(w):
-                            grams[g][k] += n
+                        for part in _grams(w):
+                            for g in part:
+                                grams[g][k] += n
                 words[k].clear()
             return pd.DataFrame([(g, t, o) for g, (o, t) in grams.items()], columns=["gram", "n_toxic", "n_ordinary"])
 
+        chars = 0
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words[int(toxic)].update(set(_tokens(text)))
-                if len(words[0]) + len(words[1]) > WORDS:
+                own = set(_tokens(text))
+                chars += sum(len(w) for w in own if w not in words[int(toxic)])
+                words[int(toxic)].update(own)
+                if len(words[0]) + len(words[1]) > WORDS or chars > CHARS:
                     yield frame()
+                    chars = 0
         yield frame()
 
     part = labelled.select("text", "toxic").mapInPandas(count, "gram string, n_toxic long, n_ordinary long")
@@ -147,14 +164,18 @@ class Scorer:
     """Features of whole texts: the mean log-likelihood ratio of a word, and the highest mean of a window."""
 
     def __init__(self, ratio: dict[str, float], rest: dict[str, float]):
-        self.ratio, self.rest, self.known = ratio, rest, {}
-
-    def word(self, token: str) -> float:
-        total = 0.0
-        for g in _grams(w) if (w := _word(token)) else ():
-            x = self.ratio.get(g)
-            total += self.rest.get(g[:-1], 0.0) if x is None else x
-        return total
+        self.ratio, self.rest, self.known, self.chars = ratio, rest, {}, 0
+
+    def word(self, token: str) -> list[float]:
+        """A word's log-likelihood ratio; of one that is longer than ``LONG`` that of each part."""
+        totals = []
+        for part in _grams(w) if (w := _word(token)) else ():
+            total = 0.0
+            for g in part:
+                x = self.ratio.get(g)
+                total += self.rest.get(g[:-1], 0.0) if x is None else x
+            totals.append(total)
+        return totals or [0.0]
 
     def features(self, text: str | None) -> tuple[float, ...]:
         tokens = _tokens(text) if text else []
@@ -164,12 +185,15 @@ class Scorer:
         try:
             x = np.array([known[t] for t in tokens])
         except KeyError:
-            if len(known) > WORDS:
+            if len(known) > WORDS or self.chars > CHARS:
                 known.clear()
+                self.chars = 0
+            long = {t: self.word(t) for t in set(tokens) if len(t) > LONG}
             for t in set(tokens):
-                if t not in known:
-                    known[t] = self.word(t)
-            x = np.array([known[t] for t in tokens])
+                if t not in known and t not in long:
+                    known[t] = self.word(t)[0]
+                    self.chars += len(t)
+            x = np.array([v for t in tokens for v in (long[t] if t in long else (known[t],))])
         sums = np.concatenate(([0.0], np.cumsum(x)))
         return float(x.mean()), *(float((sums[n:] - sums[:-n]).max()) / n for n in (min(s, len(x)) for s in SPANS))
 
