@@ -1,11 +1,14 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-Vectors are turned so that their leading dimensions hold most of the variance. Tiles are
-cells of the first ``GRID`` turned dimensions, as wide as the longest distance that the
-threshold allows, so a vector meets its own tile and the neighbours it is close enough
-to. Tiles are compared in blocks of bounded size: products of leading dimensions are
-accumulated first, the rest is bounded by the product of the suffix norms, and pairs that
-can no longer reach the threshold stop there. Equal vectors are one from the start.
+Vectors are turned so that their leading dimensions hold most of the variance (principal
+axes of the commonest length; vectors of other lengths keep their own order, which is as
+exact). Tiles are cells of the first ``GRID`` turned dimensions, as wide as the longest
+distance that the threshold allows, so a vector meets its own tile and the neighbours it
+is close enough to. Tiles are compared in blocks of bounded size: products of leading
+dimensions are accumulated first, the rest is bounded by the product of the suffix norms,
+and pairs that can no longer reach the threshold stop there. Equal vectors are one from
+the start. A vector is dealt a few times (its tile's blocks, and the neighbours within
+reach), so what is moved grows with the rows until a tile outgrows ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -21,25 +24,25 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..shared import written
-from .vectors import packed, stacked, usual_width
+from .vectors import packed, scaled, stacked, unit
 
 #: Turned dimensions that place a vector's tile; unit vectors fill at most (2 / width + 2) ** GRID tiles.
-GRID = 3
-#: Vectors in a block, about; a task compares two blocks.
-BLOCK = 2048
+GRID = 2
+#: Vectors in a block, about; a task compares two blocks, in parts of PART by PART.
+BLOCK = 16_384
+PART = 2048
 STEPS = (8, 20)
 BASE = 1 << 10
 
 
 def principal_axes(vectors: DataFrame) -> np.ndarray:
-    """Orthonormal columns by descending variance of the unit vectors in column ``raw``."""
+    """Orthonormal columns by descending variance of the unit vectors in column ``raw``, which are equally long."""
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:
             if len(b):
-                x = stacked(b["raw"])
-                x = np.column_stack([np.ones(len(x)), x / np.linalg.norm(x, axis=1, keepdims=True)])
+                x = np.column_stack([np.ones(len(b)), unit(stacked(b["raw"]))])
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             yield pd.DataFrame({"at": np.arange(total.size), "value": total.ravel()})
@@ -51,13 +54,15 @@ def principal_axes(vectors: DataFrame) -> np.ndarray:
 
 
 def _turned(raw: pd.Series, axes: np.ndarray) -> np.ndarray:
-    x = stacked(raw)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
+    """Unit vectors along the principal axes; in their own dimensions if they are of another length."""
+    x = unit(stacked(raw))
+    return x @ axes if x.shape[1] == len(axes) else x
 
 
 def _tiles(y: np.ndarray, width: float, grid: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Each vector's tile, and for each later neighbour tile the vectors close enough to visit it."""
     lead = y[:, :grid]
+    grid = lead.shape[1]
     cell = np.floor(lead / width).astype(np.int64)
     base = np.array([BASE ** (grid - 1 - d) for d in range(grid)])
     code = (cell + BASE // 2) @ base
@@ -99,6 +104,7 @@ def _near(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[n
 
 
 def _cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    (a, _), (b, _) = scaled(a), scaled(b)
     na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
     return np.concatenate([(a[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(1) / (na[i[c : c + 65536]] * nb[j[c : c + 65536]]) for c in range(0, len(i), 65536)]) if len(i) else np.empty(0)
 
@@ -122,74 +128,75 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.95, grid: int = GRID,
 
     n_links counts the other rows whose cosine, in double precision, is at least
     ``threshold``; component_id is the smallest vec_id reachable over links; kept marks
-    rows whose vec_id is that. Vectors that are null, empty, zero, not finite or of an
-    unusual length link with nothing. Rows with repeated vec_ids are separate vectors;
-    null vec_ids name a component only if it has no other. Other columns are ignored; an
-    empty table gives an empty one.
+    rows whose vec_id is that. Vectors that are null, empty, zero or not finite link with
+    nothing; others link with those of their own length, very large and very small ones
+    included. Rows with repeated vec_ids are separate vectors; null vec_ids name a
+    component only if it has no other. Other columns are ignored; an empty table gives an
+    empty one.
     """
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), packed(F.col("embedding")).alias("raw")), "vectors")
-    width_bytes = usual_width(rows, "raw")
-    fit = F.col("raw").isNotNull() & (F.octet_length("raw") == width_bytes)
-    alone = rows.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not width_bytes:
+    alone = rows.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    fit = rows.where("raw is not null")
+    width_of = F.octet_length("raw").alias("width")
+    usual = fit.groupBy(width_of).count().orderBy(F.desc("count"), F.desc("width")).first()
+    if usual is None:
         return alone
-    reps = written(rows.where(fit).groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    axes, width = principal_axes(reps), math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    reps = fit.groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    reps = written(reps.select("*", width_of, F.monotonically_increasing_id().alias("node")), "distinct")
+    axes, width = principal_axes(reps.where(F.col("width") == usual["width"])), math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each vector's own tile, and the later neighbours it is close enough to visit."""
         for b in batches:
-            if len(b):
-                code, visits = _tiles(_turned(b["raw"], axes), width, grid)
-                yield pd.DataFrame({"tile": np.concatenate([code, *(t for _, t in visits)]), "home": np.concatenate([np.ones(len(code), np.int64), *(np.zeros(len(w), np.int64) for w, _ in visits)])}).groupby(["tile", "home"]).size().reset_index(name="n")
-
-    # at most as many rows as unit vectors can fill tiles
-    tiles = reps.select("raw").mapInPandas(count, "tile long, home long, n long").groupBy("tile").agg(F.sum(F.col("n") * F.col("home")).alias("home"), F.sum(F.col("n") * (1 - F.col("home"))).alias("away")).toPandas()
-    blocks = {t: (-(-h // block), -(-v // block)) for t, h, v in tiles.itertuples(index=False) if h}
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2048):
-                part = b.iloc[at : at + 2048]
+            for _, part in b.groupby("width"):
                 code, visits = _tiles(_turned(part["raw"], axes), width, grid)
-                node, raw, copies, out = part["node"].to_numpy(), part["raw"].to_numpy(), part["copies"].to_numpy(), []
-                spread = pd.util.hash_array(node)
-                for r, t in enumerate(code.tolist()):
-                    n, v = blocks[t]
-                    mine = int(spread[r]) % n
-                    out += [(f"{t}:{min(mine, o)}:{max(mine, o)}", mine > o, r) for o in range(n)]
-                    out += [(f"{t}:{mine}:v{o}", False, r) for o in range(v)]
-                for who, where in visits:
-                    for r, t in zip(who.tolist(), where.tolist()):
-                        if t in blocks:
-                            n, v = blocks[t]
-                            out += [(f"{t}:{o}:v{int(spread[r]) % v}", True, r) for o in range(n)]
-                unit, right, at_row = zip(*out)
-                at_row = np.array(at_row)
-                yield pd.DataFrame({"unit": unit, "right": right, "node": node[at_row], "copies": copies[at_row], "raw": raw[at_row]})
+                at = np.concatenate([np.arange(len(code)), *(who for who, _ in visits)])
+                tile = np.concatenate([code, *(t for _, t in visits)])
+                yield part[["node", "width"]].iloc[at].assign(tile=tile, home=np.arange(len(at)) < len(code))
+
+    places = written(reps.select("node", "width", "raw").mapInPandas(tiled, "node long, width int, tile long, home boolean"), "places")
+    # unit vectors fill a bounded number of tiles for each length: about (2 / width + 2) ** grid
+    tiles = places.groupBy("width", "tile").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors")).where("homes > 0")
+    tiles = tiles.select("width", "tile", F.ceil(F.col("homes") / block).alias("own_blocks"), F.ceil(F.col("visitors") / block).alias("visit_blocks"))
+    # a vector at home meets its tile's other blocks and every block of visitors; a visitor meets every block at home
+    mine, theirs = F.pmod(F.xxhash64("node"), F.col("own_blocks")), F.pmod(F.xxhash64("node"), F.col("visit_blocks"))
+    at = lambda a, b, visited, right: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(visited).alias("visited"), right.alias("right"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    inside = F.transform(upto(F.col("own_blocks")), lambda o: at(F.least(mine, o), F.greatest(mine, o), False, mine > o))
+    met = F.when(F.col("visit_blocks") > 0, F.transform(upto(F.greatest(F.lit(1), F.col("visit_blocks"))), lambda o: at(mine, o, True, F.lit(False)))).otherwise(F.array())
+    visit = F.transform(upto(F.col("own_blocks")), lambda o: at(o, theirs, True, F.lit(True)))
+    units = places.join(tiles, ["width", "tile"]).select("node", "width", "tile", F.explode(F.when(F.col("home"), F.concat(inside, met)).otherwise(visit)).alias("at"))
+    units = units.select("node", "width", "tile", "at.*")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        _, a, b = group["unit"].iloc[0].split(":")
-        same = a == b
-        left = group[~group["right"]] if not same else group
-        right = group[group["right"]] if not same else group
+        first = group.iloc[0]
+        same = bool(not first["visited"] and first["a"] == first["b"])
+        left = group if same else group[~group["right"]]
+        right = group if same else group[group["right"]]
         none = pd.DataFrame({"node": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return none
-        i, j = _near(_turned(left["raw"], axes), _turned(right["raw"], axes), threshold, same)
-        keep = _cosines(stacked(left["raw"]), stacked(right["raw"]), i, j) >= threshold
-        i, j = i[keep], j[keep]
-        if not len(i):
-            return none
         ln, rn, lc, rc = (g[c].to_numpy() for c in ("node", "copies") for g in (left, right))
-        counted = pd.concat([pd.DataFrame({"node": ln[i], "n": rc[j]}), pd.DataFrame({"node": rn[j], "n": lc[i]})]).groupby("node", as_index=False)["n"].sum()
+        a, b = stacked(left["raw"]), stacked(right["raw"])
+        ya, yb = _turned(left["raw"], axes), _turned(right["raw"], axes)
         shift = 0 if same else len(left)
-        label = _spanning(i, j + shift, shift + len(right))
+        counts, label = np.zeros(shift + len(right), dtype=np.int64), np.arange(shift + len(right))
+        for s in range(0, len(ya), PART):
+            for t in range(s if same else 0, len(yb), PART):
+                i, j = _near(ya[s : s + PART], yb[t : t + PART], threshold, same and s == t)
+                keep = _cosines(a[s : s + PART], b[t : t + PART], i, j) >= threshold
+                i, j = i[keep] + s, j[keep] + t
+                np.add.at(counts, i, rc[j])
+                np.add.at(counts, j + shift, lc[i])
+                # links so far as a spanning forest, whatever their number
+                tree = np.flatnonzero(label != np.arange(len(label)))
+                label = _spanning(np.concatenate([i, tree]), np.concatenate([j + shift, label[tree]]), len(label)) if len(i) else label
         nodes = rn if same else np.concatenate([ln, rn])
-        tree = np.flatnonzero(label != np.arange(len(label)))
-        return pd.concat([counted.assign(other=-1), pd.DataFrame({"node": nodes[tree], "other": nodes[label[tree]], "n": 0})])[["node", "other", "n"]]
+        tree, linked = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(counts)
+        return pd.concat([none, pd.DataFrame({"node": nodes[linked], "other": -1, "n": counts[linked]}), pd.DataFrame({"node": nodes[tree], "other": nodes[label[tree]], "n": 0})])
 
-    dealt = reps.select("node", "copies", "raw").mapInPandas(deal, "unit string, right boolean, node long, copies long, raw binary")
-    found = written(dealt.groupBy("unit").applyInPandas(compare, "node long, other long, n long"), "links")
+    dealt = units.join(reps.select("node", "copies", "raw"), "node")
+    found = written(dealt.groupBy("width", "tile", "a", "b", "visited").applyInPandas(compare, "node long, other long, n long"), "links")
     links = found.where("other < 0").groupBy("node").agg(F.sum("n").alias("n"))
     parts = written(connected_components(found.where("other >= 0"), "node", "other"), "parts")
     narrow = reps.select("node", "copies", "first")
@@ -197,5 +204,5 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.95, grid: int = GRID,
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(best, "root").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     names = written(reps.select("node", "raw").join(named, "node").select("raw", "component_id", "n_links"), "names")
-    linked = rows.where(fit).join(names, "raw").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = fit.join(names, "raw").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)

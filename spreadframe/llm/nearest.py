@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Every vector is projected on ``PROJECTIONS`` random directions and each projection of a
-block of vectors is kept as one sorted array. A query's windows are centred on its own
-projections and widened step by step (virtual rehashing: no array is built again). A
-vector inside the windows of at least ``COLLISIONS`` projections is a candidate and is
-verified by its exact inner product; widening stops with enough candidates. An added
-dimension makes all vectors equally long, so the nearest are those of largest inner product.
+Every vector is projected on ``PROJECTIONS`` directions and each projection of a block of
+vectors is kept as one sorted array. A query's windows are centred on its own projections
+and widened step by step (virtual rehashing: no array is built again). A vector inside
+the windows of at least ``COLLISIONS`` of the projections is a candidate and is verified
+by its exact inner product; widening stops with ``SPARE`` candidates besides the number
+asked for, whatever the size of the block. The directions are orthonormal sets: over a
+set the squared distances along them add up to the whole one, which makes the counts far
+sharper than those of independent directions. An added dimension makes all vectors
+equally long, so the nearest are those of largest inner product.
 """
 
 from __future__ import annotations
@@ -19,71 +22,72 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import written
-from .vectors import packed, stacked, usual_width
+from .vectors import packed, products, scaled, stacked, unit
 
-PROJECTIONS = 72
+PROJECTIONS = 260
 #: Share of the projections that must collide.
-COLLISIONS = 0.7
+COLLISIONS = 0.85
 #: Windows grow by this factor from step to step.
-WIDER = 1.1
-#: A query's candidates in a block, as a share of its vectors, besides the number asked for.
-CANDIDATES = 0.16
+WIDER = 1.03
+#: A query's candidates in a block besides the number asked for.
+SPARE = 60
+#: Vectors of a block, and queries that meet it in one task, about; a row of a block has a 16-bit number.
 ROWS = 16_384
-QUERIES = 2048
+QUERIES = 8192
+
+
+def directions(dimensions: int, seed: int) -> np.ndarray:
+    """``PROJECTIONS`` random columns, in sets that are orthonormal."""
+    rng, sets = np.random.default_rng(seed), []
+    for _ in range(math.ceil(PROJECTIONS / dimensions)):
+        q, r = np.linalg.qr(rng.standard_normal((dimensions, min(dimensions, PROJECTIONS))))
+        sets.append(q * np.sign(np.diag(r)))
+    return np.concatenate(sets, axis=1)[:, :PROJECTIONS]
 
 
 class Index:
-    """Sorted projections of one block of vectors, made equally long by an added dimension."""
-
-    def __init__(self, x: np.ndarray, longest: float, seed: int):
-        rng = np.random.default_rng(seed)
-        a = rng.standard_normal((x.shape[1] + 1, PROJECTIONS))
-        self.a = a / np.linalg.norm(a, axis=0)
-        self.x, self.longest = x, longest
-        rest = np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(1)))
-        h = np.column_stack([x, rest]) @ self.a
-        self.order = np.argsort(h, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(h.T, self.order, axis=1)
+    """Sorted projections of one block of vectors (rows of length at most 1, shortened alike)."""
+
+    def __init__(self, x: np.ndarray, seed: int):
+        self.a = directions(x.shape[1] + 1, seed)
+        h = np.column_stack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))]) @ self.a
+        order = np.argsort(h, axis=0, kind="stable")
+        self.n, self.order = len(x), order.T.astype(np.uint16)
+        self.sorted = np.take_along_axis(h, order, axis=0).T.astype(np.float32)
         #: Half of the first windows' width; later queries start where earlier ones were about to end.
-        self.first = float(np.median(h.std(0))) * 0.5 + 1e-12
+        self.first = float(np.median(h.std(0))) + 1e-9
 
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the rows whose projections collide often enough."""
-        n, m = len(self.x), PROJECTIONS
-        need, least = min(n, k + math.ceil(CANDIDATES * n)), max(1, math.ceil(COLLISIONS * m))
-        unit = queries * (self.longest / np.linalg.norm(queries, axis=1, keepdims=True))
-        centre = np.column_stack([unit, np.zeros(len(unit))]) @ self.a
+        """For each query (rows of length one) the rows whose projections collide often enough."""
+        n, m = self.n, PROJECTIONS
+        need, most = min(n, k + SPARE), m - math.ceil(COLLISIONS * m)
+        centre = (queries @ self.a[:-1]).astype(np.float32)
         out: list[np.ndarray | None] = [None] * len(queries)
-        counts = np.zeros((len(queries), n), dtype=np.uint8)
-        low = np.empty((len(queries), m), dtype=np.int64)
-        for j in range(m):
-            low[:, j] = np.searchsorted(self.sorted[j], centre[:, j])
-        high, width, left, ends, fresh = low.copy(), self.first, list(range(len(queries))), [], True
-        while left:
-            who = np.array(left)
-            to_low, to_high = np.empty((len(who), m), dtype=np.int64), np.empty((len(who), m), dtype=np.int64)
+        missed = np.zeros((len(queries), n), dtype=np.int64)
+        low, high = np.empty((len(queries), m), dtype=np.int64), np.empty((len(queries), m), dtype=np.int64)
+        width, left, ends, fresh = np.float32(self.first), np.arange(len(queries)), [], True
+        while len(left):
+            to_low, to_high = np.empty((len(left), m), dtype=np.int64), np.empty((len(left), m), dtype=np.int64)
             for j in range(m):
-                to_low[:, j] = np.searchsorted(self.sorted[j], centre[who, j] - width, side="left")
-                to_high[:, j] = np.searchsorted(self.sorted[j], centre[who, j] + width, side="right")
-            still = []
-            for r, q in enumerate(left):
+                to_low[:, j] = np.searchsorted(self.sorted[j], centre[left, j] - width, side="left")
+                to_high[:, j] = np.searchsorted(self.sorted[j], centre[left, j] + width, side="right")
+            done = np.zeros(len(left), dtype=bool)
+            for r, q in enumerate(left.tolist()):
                 a, b = to_low[r].tolist(), to_high[r].tolist()
-                if fresh and sum(b) - sum(a) > m * n // 2:
-                    # first windows that hold most rows are counted by what they leave out
+                if fresh:  # the first windows hold most rows: count what they leave out
                     rings = [self.order[j, : a[j]] for j in range(m)] + [self.order[j, b[j] :] for j in range(m)]
-                    counts[q] = m - np.bincount(np.concatenate(rings), minlength=n)
+                    missed[q] = np.bincount(np.concatenate(rings), minlength=n)
                 else:
-                    rings = [self.order[j, a[j] : low[q, j]] for j in range(m)] + [self.order[j, high[q, j] : b[j]] for j in range(m)]
-                    counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
-                found = np.flatnonzero(counts[q] >= least)
+                    la, hb = low[q].tolist(), high[q].tolist()
+                    rings = [self.order[j, a[j] : la[j]] for j in range(m)] + [self.order[j, hb[j] : b[j]] for j in range(m)]
+                    missed[q] -= np.bincount(np.concatenate(rings), minlength=n)
+                found = np.flatnonzero(missed[q] <= most)
                 if len(found) >= need:
-                    out[q] = found
+                    out[q], done[r] = found, True
                     ends.append(width)
-                else:
-                    still.append(q)
-            low[who], high[who] = to_low, to_high
-            left, width, fresh = still, width * WIDER, False
-        self.first = float(np.quantile(ends, 0.1)) / WIDER
+            low[left], high[left] = to_low, to_high
+            left, width, fresh = left[~done], np.float32(width * WIDER), False
+        self.first = float(np.quantile(ends, 0.1)) / WIDER if ends else self.first
         return out
 
 
@@ -92,44 +96,55 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 3, ro
 
     ``vectors`` has ``vec_id`` and ``embedding``; rows where ``is_query`` holds are the
     queries, and all rows but those of the query's own vec_id its candidates. Score is the
-    inner product of the original vectors in double precision; ties go to the smaller
-    vec_id. Vectors that are null, empty, zero, not finite or of an unusual length, or
-    without a vec_id, take no part. Repeated rows are candidates of their own. Other
-    columns are ignored; an empty table gives an empty one.
+    inner product of the original vectors in double precision (infinite beyond its range);
+    ties go to the smaller vec_id. Vectors that are null, empty, zero or not finite, or
+    without a vec_id, take no part; vectors meet those of their own length, and very large
+    and very small ones take part like any other. Repeated rows are candidates of their
+    own; as queries, rows of one vec_id give one list. Other columns are ignored; an empty table gives an empty one.
     """
     all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), packed(F.col("embedding")).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null and raw is not null")
-    all_rows = written(all_rows, "vectors")
-    width = usual_width(all_rows, "raw")
-    kept = all_rows.where(F.octet_length("raw") == width)
+    kept = written(all_rows.withColumn("width", F.octet_length("raw")), "vectors")
 
     def longest(batches):
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"norm": [float(np.sqrt((stacked(b["raw"]) ** 2).sum(1)).max())], "n": [len(b)], "asks": [int(b["asks"].sum())]})
-
-    norm, n, asks = kept.select("raw", "asks").mapInPandas(longest, "norm double, n long, asks long").agg(F.max("norm"), F.sum("n"), F.sum("asks")).first()
-    by_rows, by_queries = max(1, math.ceil((n or 0) / rows)), max(1, math.ceil((asks or 0) / queries))
-    spread = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts))
-    grid = lambda i, j: (i * by_queries + j).alias("unit")
-    data = kept.select(F.lit(False).alias("asks"), "vec_id", "raw", spread(1, by_rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(by_queries - 1))).alias("j"))
-    query = kept.where("asks").select("asks", "vec_id", "raw", F.explode(F.sequence(F.lit(0), F.lit(by_rows - 1))).alias("i"), spread(2, by_queries).alias("j"))
-    units = data.unionByName(query).select(grid(F.col("i"), F.col("j")), "asks", "vec_id", "raw")
+            for width, part in b.groupby("width"):
+                x, exponent = scaled(stacked(part["raw"]))
+                yield pd.DataFrame({"width": [width], "longest": [float((np.log2((x * x).sum(1)) / 2 + exponent).max())], "n": [len(part)], "asks": [int(part["asks"].sum())]})
+
+    # a row for each length of vectors; `longest` is the binary logarithm of the longest one's length
+    sizes = kept.mapInPandas(longest, "width int, longest double, n long, asks long").groupBy("width").agg(F.max("longest").alias("longest"), F.sum("n").alias("n"), F.sum("asks").alias("asks"))
+    by_rows = F.ceil(F.col("n") / rows)
+    # few blocks: queries are dealt to more tasks, so that all cores have work
+    spread_to = F.least(F.ceil(F.col("asks") / 256), F.ceil(F.lit(2 * vectors.sparkSession.sparkContext.defaultParallelism) / F.col("by_rows")))
+    plan = written(sizes.withColumn("by_rows", by_rows).withColumn("by_queries", F.greatest(F.lit(1), F.ceil(F.col("asks") / queries), spread_to)).drop("n", "asks"), "plan")
+    part = lambda salt, parts: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    planned = kept.join(plan, "width")
+    data = planned.select(F.lit(False).alias("asks"), "vec_id", "raw", "width", "longest", part(1, "by_rows").alias("i"), every("by_queries").alias("j"))
+    query = planned.where("asks").dropDuplicates(["vec_id", "raw"]).select("asks", "vec_id", "raw", "width", "longest", every("by_rows").alias("i"), part(2, "by_queries").alias("j"))
+
+    def shortened(x: np.ndarray, longest: float) -> np.ndarray:
+        y, exponent = scaled(x)
+        return y * np.exp2(exponent - longest)[:, None]
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         q, d = group[group["asks"]].sort_values("vec_id"), group[~group["asks"]].sort_values("vec_id")
         out = []
         if len(q) and len(d):
-            x, ids, ask = stacked(d["raw"]), d["vec_id"].to_numpy(), stacked(q["raw"])
-            index = Index(x, norm, seed)
-            for at in range(0, len(q), 64):
-                part = ask[at : at + 64]
-                for query_id, v, found in zip(q["vec_id"].iloc[at : at + 64], part, index.candidates(part, k + 1)):
-                    found = found[ids[found] != query_id]
-                    score = (x[found] * v).sum(1)
-                    best = np.lexsort((ids[found], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found][best], "score": score[best]}))
+            x, ids, ask, longest = stacked(d["raw"]), d["vec_id"].to_numpy(), stacked(q["raw"]), float(d["longest"].iloc[0])
+            # hashing leaves blocks a little unequal; a block's rows have 16-bit numbers
+            for start in range(0, len(x), 1 << 16):
+                block, block_ids = x[start : start + (1 << 16)], ids[start : start + (1 << 16)]
+                index = Index(shortened(block, longest), seed)
+                for at in range(0, len(q), 64):
+                    some = ask[at : at + 64]
+                    for query_id, v, found in zip(q["vec_id"].iloc[at : at + 64], some, index.candidates(unit(some), k + 1)):
+                        found = found[block_ids[found] != query_id]
+                        score = products(block[found], v)
+                        best = np.lexsort((block_ids[found], -score))[:k]
+                        out.append(pd.DataFrame({"query_id": query_id, "vec_id": block_ids[found][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = units.groupBy("unit").applyInPandas(search, "query_id long, vec_id long, score double")
+    found = data.unionByName(query).groupBy("width", "i", "j").applyInPandas(search, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

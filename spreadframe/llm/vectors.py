@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,34 @@ def packed(embedding: Column) -> Column:
     return F.pandas_udf(pack, "binary")(embedding.cast("array<double>"))
 
 
-def usual_width(vectors: DataFrame, column: str) -> int:
-    """Bytes of the commonest packed vector (the longer of two equally common); vectors of other widths compare with none."""
-    top = vectors.where(F.col(column).isNotNull()).groupBy(F.octet_length(column).alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    return int(top["w"]) if top else 0
-
-
 def stacked(raw: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1) if len(raw) else np.empty((0, 0))
+
+
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by a power of two, which loses nothing, so that their largest component is in [0.5, 1); and its exponent.
+
+    Sums of squares of such rows neither overflow nor vanish, however large or small the vectors are.
+    """
+    exponent = np.frexp(np.abs(x).max(1))[1] if len(x) else np.empty(0, dtype=np.int32)
+    # in two steps, as a single factor can be beyond the range of doubles
+    half = exponent // 2
+    return np.ldexp(np.ldexp(x, -half[:, None]), (half - exponent)[:, None]), exponent
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    y, _ = scaled(x)
+    return y / np.sqrt((y * y).sum(1, keepdims=True)) if len(y) else y
+
+
+def products(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a vector in double precision; one beyond its range is infinite with the product's sign."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * v).sum(1)
+    bad = ~np.isfinite(out)
+    if bad.any():
+        (a, ea), (b, eb) = scaled(x[bad]), scaled(v[None, :])
+        with np.errstate(over="ignore"):
+            out[bad] = np.ldexp((a * b).sum(1), ea + eb)
+    return out
