@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(
+    r"(?<![A-Za-z0-9])(?:token|secret|passw(?:or)?d|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?)[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?"
+    r"((?=[A-Za-z0-9_/+=.-]{0,99}?[0-9])[A-Za-z0-9_/+.-]{16,}={0,2})",
+    re.I,
+)
 _DIGITS = re.compile(r"[0-9]")
 _START = {"email": 0.95, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "key": 0.7}
 # context words of each kind; fixed values
@@ -71,10 +78,15 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
+def _address(parts: str) -> bool:
+    """Whether every part is at most 255, however many digits it has."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in parts.split(".")))
+
+
 def _base(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGITS.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if max(map(int, m[0].split("."))) <= 255] if "." in text else []
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if _address(m[0])] if "." in text else []
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append((m.start(), 2, m.end()))
@@ -84,11 +96,20 @@ def _base(text: str) -> list[tuple[int, int, int]]:
 
 
 def _added(text: str) -> list[tuple[int, int, int]]:
-    if not _DIGITS.search(text):
-        return []
-    found = [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
-    found += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)] if "-" in text else []
-    return found + [(m.start(), 6, m.end()) for m in _KEY.finditer(text)]
+    found = [(m.start(), 6, m.end()) for m in _KEY.finditer(text)] if "sk-" in text or "AKIA" in text or "ghp_" in text else []
+    if _DIGITS.search(text):
+        found += [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+        found += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)] if "-" in text else []
+        found += [(m.start(1), 6, m.end(1)) for m in _ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
+    # an assigned value that is itself a known form of key is one span
+    return sorted(set(found))
+
+
+def _free(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of ``spans`` that overlap no base span, by one search each among the ordered base spans."""
+    ordered = sorted(base)
+    starts, ends = [a for a, _, _ in ordered], list(accumulate((b for _, _, b in ordered), max))
+    return [x for x in spans if not (at := bisect_left(starts, x[2])) or ends[at - 1] <= x[0]]
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -96,9 +117,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     base = _base(text)
-    taken = [(a, b) for a, _, b in base]
     out = []
-    for a, k, b in sorted(base + [x for x in _added(text) if not any(x[0] < e and s < x[2] for s, e in taken)]):
+    for a, k, b in sorted(base + _free(_added(text), base)):
         kind, near = KINDS[k], f"{text[max(0, a - NEAR) : a]} {text[b : b + NEAR]}"
         score = _START[kind] + (0.3 if _CONTEXT[kind].search(near) else 0) - (0.2 if _AGAINST.search(near) else 0)
         if k < len(BASE) or score >= KEEP:
@@ -137,12 +157,14 @@ def redact(text: Column) -> Column:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns n_email, n_ip, n_card, n_phone, base_sha256, spans and pii.
+    """``docs`` with columns n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans and pii.
 
     ``docs`` has ``text``; columns of the new names are replaced and all others kept.
     The counts and base_sha256 cover the four base kinds; spans lists every kept span as
-    kind:start:end and pii holds them with scores. Null and empty texts have none (the
-    hash is that of the empty string). Rows stay one to one; an empty table stays empty.
+    kind:start:end, n_spans counts them and pii holds them with scores. Null and empty
+    texts have none (the hash is that of the empty string). Very long texts and runs of
+    digits are read whole, in time linear in their length but for sorting the spans.
+    Repeated rows and texts give equal rows. Rows stay one to one; an empty table stays empty.
     """
 
     def digest(texts: pd.Series) -> pd.DataFrame:
@@ -152,10 +174,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
             base = [x for x in found if x[0] in BASE]
             counts = [sum(x[0] == k for x in base) for k in BASE]
             listed = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b, _ in xs)
-            rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(found), [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in found]))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "pii"])
+            rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(found), len(found), [{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in found]))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "pii"])
 
-    new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "pii"]
+    new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "pii"]
     own = [c for c in docs.columns if c not in (*new, "_pii")]
-    found = F.pandas_udf(digest, f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, pii {SPAN}")
+    found = F.pandas_udf(digest, f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, pii {SPAN}")
     return docs.select(*own, found(F.col("text").cast("string")).alias("_pii")).select(*own, *(f"_pii.{c}" for c in new))

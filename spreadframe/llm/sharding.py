@@ -18,19 +18,45 @@ from pyspark.sql.window import Window
 
 from ..shared import written
 
-#: Cells of the communication matrix at most: blocks grow with the square root of the rows, so it is reached beyond 10^13 rows.
-CELLS = 1 << 26
+#: Cells of the communication matrix at most: beyond it, neighbouring blocks are merged.
+CELLS = 1 << 22
+#: Populations from which numpy draws hypergeometric numbers itself.
+NUMPY_MOST = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` items drawn from ``good + bad`` are good, for populations of any size.
+
+    Large ones are drawn by inversion: the probabilities around the mode follow from it by
+    their ratios, and what lies further than 14 standard deviations away has no weight in
+    double precision.
+    """
+    if good + bad < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    least, most, total = max(0, n - bad), min(n, good), good + bad
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+    reach = 30 + int(14 * math.sqrt(n * (good / total) * (bad / total)))
+    low, high = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(mode, high, dtype=float)
+    up = np.cumprod((good - k) * (n - k) / ((k + 1) * (bad - n + k + 1)))
+    k = np.arange(mode, low, -1, dtype=float)
+    down = np.cumprod(k * (bad - n + k) / ((good - k + 1) * (n - k + 1)))
+    upto = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     """Blocks by shards: counts of a uniform permutation with shard sizes at most one apart."""
     rng, total = np.random.default_rng(seed), sum(rows)
-    room = np.full(shards, total // shards, dtype=np.int64)
-    room[rng.permutation(shards)[: total % shards]] += 1
+    room = [total // shards + extra for extra in (rng.permutation(shards) < total % shards).tolist()]
     out = np.zeros((len(rows), shards), dtype=np.int64)
     for i, n in enumerate(rows):
-        out[i] = rng.multivariate_hypergeometric(room, n, method="marginals")
-        room -= out[i]
+        beyond = sum(room)
+        for s in range(shards):
+            beyond -= room[s]
+            out[i, s] = took = hypergeometric(rng, room[s], beyond, n)
+            room[s] -= took
+            n -= took
     return out
 
 
@@ -51,10 +77,15 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 5) -> DataFrame:
     n = table.count()
     # an id is the number of its task and of the row in it; blocks of a task's rows grow with the square root of all
     bits = max(8, math.ceil(math.log2(math.sqrt(max(1, n)))))
-    keyed = table.select("_shard_row", F.shiftrightunsigned("_shard_row", bits).alias("_block"))
-    counts = [(r["_block"], r["count"]) for r in keyed.groupBy("_block").count().orderBy("_block").collect()]
-    if len(counts) * shards > CELLS:
-        raise ValueError("the communication matrix would have too many cells; merge the table's small files first")
+    block = lambda: F.shiftrightunsigned("_shard_row", bits).alias("_block")
+    counts = dict(table.groupBy(block()).count().collect())
+    while len(counts) * shards > CELLS and len(counts) > 1:
+        # many small tasks: neighbouring blocks become one, whose rows still lie side by side
+        bits, finer, counts = bits + 1, counts, {}
+        for b, c in finer.items():
+            counts[b >> 1] = counts.get(b >> 1, 0) + c
+    counts = sorted(counts.items())
+    keyed = table.select("_shard_row", block())
     upto = communication_matrix([c for _, c in counts], shards, seed).cumsum(axis=1).tolist()
     matrix = table.sparkSession.createDataFrame([(b, u) for (b, _), u in zip(counts, upto)], "_block long, _upto array<long>")
 

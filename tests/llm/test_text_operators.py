@@ -128,6 +128,40 @@ def test_communication_matrix_has_exact_margins():
     assert m.sum(1).tolist() == [10, 0, 23, 7] and sorted(m.sum(0).tolist()) == [13, 13, 14]
 
 
+def test_hypergeometric_draws_follow_the_law_at_any_size(monkeypatch):
+    """Inversion against the probabilities themselves, and a matrix beyond numpy's range."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(sharding, "NUMPY_MOST", 0)
+    for good, bad, n in ((5, 9, 6), (3, 2, 5), (0, 4, 2), (7, 0, 3), (40, 60, 10)):
+        drawn = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        for k in range(n + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+            assert abs(drawn[k] / 4000 - p) < 5 * math.sqrt(p * (1 - p) / 4000) + 1e-12
+    monkeypatch.undo()
+    m = sharding.communication_matrix([10**7] * 300, 16, 1)
+    assert m.sum(1).tolist() == [10**7] * 300 and set(m.sum(0).tolist()) == {187_500_000}
+    assert 0.9 < m.std() / math.sqrt(10**7 / 16 * 15 / 16) < 1.1
+
+
+def test_sharding_merges_blocks_beyond_its_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS", 12)
+    got = sharding.shard_rows(spark.range(0, 5000, 1, 16).withColumnRenamed("id", "doc_id"), shards=4).toPandas()
+    assert sorted(got["doc_id"]) == list(range(5000)) and set(got.groupby("shard").size()) == {1250}
+    assert all(sorted(g) == list(range(1250)) for _, g in got.groupby("shard")["slot"])
+
+
+def test_shard_query_keeps_its_contract(spark, tiny):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    rows = QUERIES["op8_sharding"](spark, tiny).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(docs[r["doc_id"]]) + 1, zlib.crc32(docs[r["doc_id"]]), "rows", None) for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert set(by) == set(range(16)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_sharding_is_exact_and_whole(spark, odd):
     got = sharding.shard_rows(odd, shards=4).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(cases.TEXTS)
@@ -189,6 +223,19 @@ def test_pii_checksums_and_context():
     assert "ssn" in [s[0] for s in pii.spans("SSN 123-45-6789")] and "ssn" not in [s[0] for s in pii.spans("part 123-45-6789")]
 
 
+def test_pii_of_long_runs_and_many_spans():
+    text = "9" * 5000 + ".1.1.1 and " + "0" * 6000 + "1.2.3.4"
+    assert [s[:3] for s in pii.spans(text)] == [("ip", 5011, len(text))]
+    many = "GB82 WEST 1234 5698 7654 32 account a.b@c.org \n" * 3000
+    assert len(pii.spans(many)) == 6000
+    assert [s[0] for s in pii.spans("sk-" + "abcdefgh" * 4)] == ["key"]
+    # an added span that touches a base span goes, one beside it stays
+    assert pii._free([(0, 6, 5), (5, 6, 9), (20, 6, 30)], [(4, 0, 6), (10, 1, 20)]) == [(20, 6, 30)]
+    text = 'token = "ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e"; password: short1; secret=allletterswithoutdigits'
+    assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "key"] == ["ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e"]
+    assert "ab8c" not in pii._masked(text, pii.spans(text))
+
+
 def test_redaction_masks_every_span(spark, odd):
     for r in odd.select("text", pii.redact(odd["text"]).alias("clean")).collect():
         assert (r["clean"] is None) == (r["text"] is None)
