@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's ratio of target to size is a number of certain whole copies of each of its
-documents and a fraction. The fraction is an inclusion probability p, and a document with
-a random number u ranks by (u / (1 - u)) / (p / (1 - p)): the lowest ranks are taken while
-their words are within what the certain copies leave of the target, and one more
-document fills the rest as well as any can, so the sample has a fixed size in words.
-Ranks are found by their place among buckets first, so no source is ordered in one task.
+documents and a fraction, which is sampled with unequal probabilities: a document's
+inclusion odds are the fraction's odds times its size over the mean size of its source,
+so longer documents are likelier and none is certain. With a random number u it ranks by
+(u / (1 - u)) over those odds: the lowest ranks are taken while their words are within
+what the certain copies leave of the target, and one more document fills the rest as well
+as any can, so the sample has a fixed size in words. Ranks are found by their place among
+buckets first, so no source is ordered in one task: the logarithm of the rank has a density
+of at most a quarter, whatever the sizes, so each of the buckets holds few rows.
 """
 
 from __future__ import annotations
@@ -65,39 +68,38 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     drawn = sized.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_mix_key"), F.col("source").isNull().alias("_mix_none"), uniform(seed, F.col("doc_id"), F.col("size")).alias("_mix_u"), F.monotonically_increasing_id().alias("_mix_row"))
     drawn, group = written(drawn, "sized"), ["_mix_key", "_mix_none"]
 
-    totals = drawn.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    totals = drawn.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     totals = written(totals, "sources")
     targets = source_targets(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.join(totals.select("source", "n"), F.col("s").eqNullSafe(F.col("source"))).select(
         F.coalesce("source", F.lit("")).alias("_mix_key"), F.col("source").isNull().alias("_mix_none"), "source_size", "target",
-        whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("goal"), F.ceil(F.sqrt("n")).alias("buckets"),
+        whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("goal"), "n",
     )
     plan = written(plan, "targets")
 
     p = F.try_divide(F.col("goal"), F.col("source_size"))
-    odds = F.try_divide(F.col("_mix_u") / (1 - F.col("_mix_u")), p / (1 - p))
+    odds = F.try_divide(F.col("_mix_u") / (1 - F.col("_mix_u")), p / (1 - p) * (F.col("size") / (F.col("source_size") / F.col("n"))))
+    rank = F.struct(odds.alias("odds"), "doc_id", F.col("_mix_row").alias("row"))
     narrow = drawn.select(*group, "doc_id", "size", "_mix_u", "_mix_row").where("size > 0").join(plan, group).where("goal > 0")
-    # ranks rise with u, so buckets of u are buckets of ranks
-    ranked = narrow.select(*group, "size", "goal", F.floor(F.col("_mix_u") * F.col("buckets")).alias("bucket"), F.struct(odds.alias("odds"), "doc_id", F.col("_mix_row").alias("row")).alias("rank"))
-    per = ranked.groupBy(*group, "bucket", "goal").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    cut = per.withColumn("upto", upto).where("upto >= goal and upto - words < goal").select(*group, F.col("bucket").alias("cut"), (F.col("upto") - F.col("words")).alias("before"))
+    ranked = narrow.select(*group, "size", "goal", F.floor(F.log(odds) * F.sqrt("n") / 4).alias("bucket"), rank.alias("rank"))
+    per = ranked.groupBy(*group, "bucket", "goal").agg(F.sum("size").alias("words"), F.max("rank").alias("top"))
+    in_order = Window.partitionBy(*group).orderBy("bucket")
+    upto, below = F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.max("top").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = per.withColumn("upto", upto).withColumn("below", below).where("upto >= goal and upto - words < goal").select(*group, "below", "top", (F.col("upto") - F.col("words")).alias("before"))
     cut = written(cut, "cuts")
     # within the bucket that crosses the goal: the last rank at which the running words are within it
     so_far = F.col("before") + F.sum("size").over(Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    within = ranked.join(cut, group).where("bucket = cut").select(*group, "rank", so_far.alias("so_far"))
-    edge = within.join(plan.select(*group, "goal"), group).where("so_far <= goal").groupBy(*group).agg(F.max("rank").alias("edge"), F.max("so_far").alias("so_far"))
-    edges = written(cut.join(edge, group, "left").select(*group, "cut", "edge", F.coalesce("so_far", "before").alias("so_far")), "edges")
+    within = ranked.join(cut, group).where((F.col("rank") <= F.col("top")) & F.coalesce(F.col("rank") > F.col("below"), F.lit(True))).select(*group, "goal", "rank", so_far.alias("so_far"))
+    edge = within.where("so_far <= goal").groupBy(*group).agg(F.max("rank").alias("edge"), F.max("so_far").alias("so_far"))
+    edges = written(cut.join(edge, group, "left").select(*group, F.coalesce("edge", "below").alias("edge"), F.coalesce("so_far", "before").alias("so_far")), "edges")
     # and of the ranks after it, the one document whose words come nearest to what is missing, if that is nearer than none
-    taken = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & F.coalesce(F.col("rank") <= F.col("edge"), F.lit(False)))
     missing = F.col("goal") - F.col("so_far")
-    rest = ranked.join(edges, group).where(~taken).select(*group, F.struct(F.abs(missing - F.col("size")).alias("off"), "rank").alias("last"), missing.alias("missing"))
+    rest = ranked.join(edges, group).where(F.coalesce(F.col("rank") > F.col("edge"), F.lit(True))).select(*group, F.struct(F.abs(missing - F.col("size")).alias("off"), "rank").alias("last"), missing.alias("missing"))
     last = rest.groupBy(*group).agg(F.min("last").alias("last"), F.first("missing").alias("missing")).select(*group, F.when(F.col("last.off") < F.col("missing"), F.col("last.rank")).alias("last"))
     limits = written(plan.join(edges.drop("so_far"), group, "left").join(last, group, "left"), "limits")
 
-    rank, bucket = F.struct(odds.alias("odds"), "doc_id", F.col("_mix_row").alias("row")), F.floor(F.col("_mix_u") * F.col("buckets"))
-    under = (bucket < F.col("cut")) | ((bucket == F.col("cut")) & F.coalesce(rank <= F.col("edge"), F.lit(False)))
+    under = F.coalesce(rank <= F.col("edge"), F.lit(False))
     extra = (F.col("size") > 0) & (F.col("goal") > 0) & (under | F.coalesce(rank == F.col("last"), F.lit(False)))
     out = drawn.join(limits, group).withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0))
     return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -65,14 +65,14 @@ QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_to
 OP3_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 drawn AS (SELECT *, (CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM sized),
-totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS docs FROM sized GROUP BY 1),
 weighted AS (SELECT *, CAST(list_value(3, 1, 2)[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight FROM totals),
 levels AS (SELECT *, (1.5e0 * sum(source_size) OVER () - 2e0 * coalesce(sum(source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER w AS place
   FROM weighted WINDOW w AS (ORDER BY source_size / weight, source IS NULL, source)),
 fulls AS (SELECT *, 2e0 * source_size <= weight * level AS is_full FROM levels),
-targets AS (SELECT source, source_size, CASE WHEN is_full OR (SELECT count(*) FROM fulls WHERE NOT is_full) = 0 THEN 2e0 * source_size ELSE weight * (SELECT level FROM fulls WHERE NOT is_full ORDER BY place LIMIT 1) END AS target FROM fulls),
+targets AS (SELECT source, source_size, docs, CASE WHEN is_full OR (SELECT count(*) FROM fulls WHERE NOT is_full) = 0 THEN 2e0 * source_size ELSE weight * (SELECT level FROM fulls WHERE NOT is_full ORDER BY place LIMIT 1) END AS target FROM fulls),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS goal FROM targets),
-ranked AS (SELECT d.doc_id, d.size, p.*, (d.u / (1 - d.u)) / ((p.goal / p.source_size) / (1 - p.goal / p.source_size)) AS odds FROM drawn d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source WHERE d.size > 0 AND p.goal > 0),
+ranked AS (SELECT d.doc_id, d.size, p.*, (d.u / (1 - d.u)) / ((p.goal / p.source_size) / (1 - p.goal / p.source_size) * (d.size / (p.source_size / p.docs))) AS odds FROM drawn d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source WHERE d.size > 0 AND p.goal > 0),
 running AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM ranked),
 missing AS (SELECT source, max(goal) - coalesce(max(CASE WHEN so_far <= goal THEN so_far END), 0) AS missing FROM running GROUP BY 1),
 filler AS (SELECT source, doc_id FROM (SELECT r.source, r.doc_id, abs(m.missing - r.size) AS off, m.missing, row_number() OVER (PARTITION BY r.source ORDER BY abs(m.missing - r.size), r.odds, r.doc_id) AS k FROM running r JOIN missing m ON m.source IS NOT DISTINCT FROM r.source WHERE r.so_far > r.goal) WHERE k = 1 AND off < missing),

@@ -11,7 +11,7 @@ from xxhash import xxh64_intdigest
 
 from spreadframe.llm import mixing, packing, pii, rans, sharding, simhash, toxicity
 from spreadframe.llm.bpe import Encoder
-from spreadframe.llm.queries import QUERIES, tokenizer_file
+from spreadframe.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 from . import cases
 
@@ -325,6 +325,27 @@ def test_mixing_meets_targets(spark, odd, tiny):
     assert mixing.mix_sources(cases.empty(spark)).count() == 0
 
 
+def test_mixing_equals_its_sql(spark):
+    import duckdb
+
+    path, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    got, want = key(QUERIES["op3_mixing"](spark, path).select(*cols).collect()), key(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES['op3_mixing']})").fetchall())
+    assert len(got) == len(want) and all(a[:3] == b[:3] and math.isclose(a[3], b[3]) and a[4] == b[4] for a, b in zip(got, want))
+
+
+def test_longer_documents_are_likelier_in_proportion_of_their_odds(spark):
+    """Two sizes in one source of ratio below one: shares of inclusion against the odds of 4 to 1."""
+    rows = [(i, "w " * (40 if i % 2 else 10), "a") for i in range(4000)] + [(i, "w " * 3000, "b") for i in range(5000, 5030)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, weights=(1, 1)).where("source = 'a'").selectExpr("size", "copies - floor(target / source_size) as extra").groupBy("size").avg("extra").collect()
+    p = {r["size"]: r[1] for r in got}
+    odds = {k: v / (1 - v) for k, v in p.items()}
+    assert 0.02 < p[10] < p[40] < 0.98 and 3 < odds[40] / odds[10] < 5.3
+
+
 # --- toxicity
 
 
