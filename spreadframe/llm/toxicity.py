@@ -1,34 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models of how words are spelt.
 
 Each class has a model of a word's characters given up to five before them (the word's
-start and end are characters too). The longest contexts count within the class; what
-absolute discounting takes from them goes to shorter contexts, whose continuation counts
-both classes share. So a rare expression scores near zero and a stem that only toxic
-texts have scores high with any ending. A text is compared by its length-normalised
-log-likelihood ratio, over all of it and over its most toxic window (a word), and a logistic
-curve fitted on labelled texts that the counts did not use turns these into a score.
+start and end are characters too). The longest contexts count within the class, every
+occurrence in every labelled text; what absolute discounting takes from them goes to
+shorter contexts, whose continuation counts both classes share. So a rare expression
+scores near zero and a stem that only toxic texts have scores high with any ending. A text
+is compared by its log-likelihood ratio over its length in characters and by that of its
+most toxic word, and a logistic curve turns these into a score. The curve is fitted on
+texts that its model did not count; the model that scores counts all.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
 
 ORDER = 6
-#: Words in a window.
-SPANS = (1,)
-#: Expressions of a class kept for scoring have at least this share of the class's characters,
-#: so there are at most as many as its inverse; the mass of the others is backed off.
-SHARE = 1 / (1 << 19)
+#: Entries of a model that are sent to every worker, at most; a larger one stays a table that words are joined with.
+SENT = 1 << 20
 #: Labelled texts that the logistic curve is fitted on, at most.
 CALIBRATE = 20_000
 #: Distinct words a worker remembers or counts at once.
@@ -38,164 +36,166 @@ CHARS = 1 << 23
 #: A longer token is cut at inner signs, and what is still longer is scored in parts of this length.
 LONG = 64
 START, END = "\x02", "\x03"
-FEATURES = ("mean", *(f"peak{n}" for n in SPANS))
+#: Marks a context's entry in a model, beside those of grams.
+CONTEXT = "\x01"
+FEATURES = ("_toxicity_mean", "_toxicity_peak")
 STRIP = ".,;:!?\"'()[]{}<>|*&%$#@-_/\\~`^+="
 INNER = re.compile("[" + re.escape(STRIP) + "\u00a1-\u00a9\u00ab-\u00b1\u2010-\u2027\u2030-\u205e\u3000-\u3004\u3008-\u3020\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
-def _grams(word: str) -> Iterator[list[str]]:
-    """All grams of a word, in parts of a bounded number; a word of at most ``LONG`` characters is one part."""
-    w = f"{START}{word}{END}"
-    for at in range(1, len(w), LONG + 1):
-        yield [w[max(0, i - ORDER + 1) : i + 1] for i in range(at, min(at + LONG + 1, len(w)))]
+def _units(token: str) -> Iterator[str]:
+    """What a token's grams are taken from: the number of leading characters that are only context, and the characters.
 
-
-def _word(token: str) -> str:
-    return token.strip(STRIP)
+    A word is one unit with its start and end; one longer than ``LONG`` gives parts of a bounded length.
+    """
+    for piece in (token,) if len(token) <= LONG else INNER.split(token):
+        if word := piece.strip(STRIP):
+            w = f"{START}{word}{END}"
+            for at in range(1, len(w), LONG + 1):
+                before = min(at, ORDER - 1)
+                yield f"{before}{w[at - before : at + LONG + 1]}"
 
 
-def _tokens(text: str) -> list[str]:
-    """Words between white space, and of long ones those between inner signs."""
-    words = text.lower().split()
-    if max(map(len, words), default=0) <= LONG:
-        return words
-    return [p for t in words for p in ((t,) if len(t) <= LONG else filter(None, INNER.split(t)))]
+def _grams(unit: str) -> list[str]:
+    """A gram for each character of a unit: it and up to five before it."""
+    w = unit[1:]
+    return [w[max(0, i - ORDER + 1) : i + 1] for i in range(int(unit[0]), len(w))]
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """gram, n_toxic, n_ordinary over labelled texts (``text``, ``toxic``); a text counts each of its words once."""
+    """part, gram, n_toxic, n_ordinary: all occurrences in labelled texts (``text``, ``toxic``, ``curve``).
+
+    Part ``fit`` counts the texts that the curve is not fitted on, part ``all`` every text.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: tuple[Counter, Counter] = (Counter(), Counter())
+        words: list[Counter] = [Counter() for _ in range(4)]
 
         def frame() -> pd.DataFrame:
-            grams: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for k in (0, 1):
+            grams: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            for k in range(4):
                 for token, n in words[k].items():
-                    if w := _word(token):
-                        for part in _grams(w):
-                            for g in part:
-                                grams[g][k] += n
+                    for u in _units(token):
+                        for g in _grams(u):
+                            grams[g][k] += n
                 words[k].clear()
-            return pd.DataFrame([(g, t, o) for g, (o, t) in grams.items()], columns=["gram", "n_toxic", "n_ordinary"])
+            return pd.DataFrame([(g, *n) for g, n in grams.items()], columns=["gram", "o_fit", "t_fit", "o_curve", "t_curve"])
 
         chars = 0
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                own = set(_tokens(text))
-                chars += sum(len(w) for w in own if w not in words[int(toxic)])
-                words[int(toxic)].update(own)
-                if len(words[0]) + len(words[1]) > WORDS or chars > CHARS:
+            for text, toxic, curve in zip(batch["text"], batch["toxic"], batch["curve"]):
+                own, known = Counter(text.lower().split()), words[int(toxic) + 2 * int(curve)]
+                chars += sum(len(w) for w in own if w not in known)
+                known.update(own)
+                if sum(map(len, words)) > WORDS or chars > CHARS:
                     yield frame()
                     chars = 0
         yield frame()
 
-    part = labelled.select("text", "toxic").mapInPandas(count, "gram string, n_toxic long, n_ordinary long")
-    return part.groupBy("gram").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
+    names = ("o_fit", "t_fit", "o_curve", "t_curve")
+    part = labelled.select("text", "toxic", "curve").mapInPandas(count, "gram string, " + ", ".join(f"{n} long" for n in names))
+    summed = part.groupBy("gram").agg(*(F.sum(n).alias(n) for n in names))
+    both = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), t.alias("n_toxic"), o.alias("n_ordinary")) for p, t, o in (("fit", F.col("t_fit"), F.col("o_fit")), ("all", F.col("t_fit") + F.col("t_curve"), F.col("o_fit") + F.col("o_curve"))))))
+    return summed.select("gram", both.alias("p")).select("p.part", "gram", "p.n_toxic", "p.n_ordinary").where("n_toxic + n_ordinary > 0")
+
+
+def _discount(ones: Column, twos: Column) -> Column:
+    return F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(F.lit(0.5))
 
 
-def _shared(grams: list[str]) -> dict[str, float]:
-    """Kneser-Ney probability of a gram's last character after its shorter contexts, from the kept grams.
+def _context(gram: str) -> Column:
+    return F.expr(f"left({gram}, length({gram}) - 1)")
 
-    Lower orders count the distinct characters a gram follows, over both classes.
+
+def _rest(gram: str) -> Column:
+    return F.expr(f"substring({gram}, 2)")
+
+
+def shared_probabilities(grams: DataFrame) -> DataFrame:
+    """part, lower, p: Kneser-Ney probability of a string's last character after those before it, both classes together.
+
+    A string counts the distinct characters that it follows in the grams of ``grams``
+    (``part``, ``gram``); each length has a discount, and what it leaves goes to the string
+    without its first character, at last evenly to all characters and one more.
     """
-    by_length: dict[int, Counter] = defaultdict(Counter)
-    anchored: dict[int, list[str]] = defaultdict(list)
-    for g in grams:
-        if len(g) == ORDER:
-            by_length[ORDER][g] += 1
-        else:
-            anchored[len(g)].append(g)
-    for k in range(ORDER - 1, 0, -1):
-        for g in [*by_length[k + 1], *anchored[k + 1]]:
-            by_length[k][g[1:]] += 1
-    base = 1.0 / (1 + len(by_length[1]))
-    known: dict[str, float] = {"": base}
-    for k in range(1, ORDER):
-        counts = by_length[k]
-        ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
-        d = ones / (ones + 2 * twos) if ones and twos else 0.5
-        total: Counter = Counter()
-        kinds: Counter = Counter()
-        for g, n in counts.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        for g, n in counts.items():
-            ctx = g[:-1]
-            known[g] = (max(n - d, 0.0) + d * kinds[ctx] * known.get(g[1:] if k > 1 else "", base)) / total[ctx]
-    return known
-
-
-def log_ratios(grams: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Toxic over ordinary log-likelihood of each kept gram, and of any other gram after each kept context.
-
-    Where neither class has a gram, both back off to the same shared probability, so the
-    ratio is that of what the classes' discounts left over after the context.
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.substring("gram", F.length("gram") - n + 1, n)))
+    types = written(grams.select("part", ends.alias("s")).distinct().withColumn("n", F.length("s")), "types")
+    base = types.where("n = 1").groupBy("part").agg((1 / (1 + F.count("*"))).alias("base"))
+    counts = types.where("n > 1").groupBy("part", _rest("s").alias("s")).agg(F.count("*").alias("count")).withColumn("n", F.length("s"))
+    counts = written(counts, "continuations")
+    by_length = counts.groupBy("part", "n").agg(F.count_if(F.col("count") == 1).alias("ones"), F.count_if(F.col("count") == 2).alias("twos")).select("part", "n", _discount(F.col("ones"), F.col("twos")).alias("d"))
+    after = counts.groupBy("part", _context("s").alias("context"), "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds"))
+    # own share of a string, and the share that its context hands on
+    shares = counts.withColumn("context", _context("s")).join(after, ["part", "context", "n"]).join(F.broadcast(by_length), ["part", "n"])
+    shares = written(shares.select("part", "s", "n", (F.greatest(F.col("count") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own"), (F.col("d") * F.col("kinds") / F.col("total")).alias("hands")), "shares")
+    chain = counts.select("part", F.col("s").alias("lower"), F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.substring("s", F.col("n") - k + 1, k))).alias("s"))
+    steps = chain.join(shares, ["part", "s"]).groupBy("part", "lower").agg(F.sort_array(F.collect_list(F.struct("n", "own", "hands"))).alias("steps"))  # at most ORDER - 1 each
+    summed = F.aggregate("steps", F.col("base"), lambda p, x: x["own"] + x["hands"] * p)
+    return steps.join(F.broadcast(base), "part").select("part", "lower", summed.alias("p"))
+
+
+def log_ratios(grams: DataFrame) -> DataFrame:
+    """part, key, value: toxic over ordinary log-likelihood of each gram, and of any other gram after each context.
+
+    ``grams`` has part, gram, n_toxic and n_ordinary. Where neither class has a gram, both
+    back off to the same shared probability, so the ratio is that of what the classes'
+    discounts left over after the context (0 after an unknown one). A context's key has
+    ``CONTEXT`` before it. Every count is used; the tables grow with the input.
     """
     grams = written(grams, "grams")
-    parts = [F.sum(x) for c in ("n_toxic", "n_ordinary") for x in ((F.col(c) == 1).cast("long"), (F.col(c) == 2).cast("long"), F.col(c))]
-    got = [x or 0 for x in grams.agg(*[p.alias(f"x{i}") for i, p in enumerate(parts)]).first()]
-    d = [got[i] / (got[i] + 2 * got[i + 1]) if got[i] and got[i + 1] else 0.5 for i in (0, 3)]
-    least = [max(1.0, got[i] * SHARE) for i in (2, 5)]
-    kept = lambda df: df.where((F.col("n_toxic") >= least[0]) | (F.col("n_ordinary") >= least[1]))
-    contexts = grams.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")).agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_ordinary").alias("n_ordinary"))
-    rows = kept(grams).toPandas()
-    totals = {g: (t, o) for g, t, o in kept(contexts).toPandas().itertuples(index=False)}
-    left = {c: [float(t), float(o)] for c, (t, o) in totals.items()}
-    seen = []
-    for g, t, o in rows.itertuples(index=False):
-        ctx = g[:-1]
-        if ctx in left:
-            for k, n in enumerate((t, o)):
-                left[ctx][k] -= max(n - d[k], 0.0)
-            seen.append((g, t, o))
-    back = lambda ctx, k: left[ctx][k] / totals[ctx][k] if totals[ctx][k] else 1.0
-    shared = _shared([g for g, _, _ in seen])
-    ratio: dict[str, float] = {}
-    for g, t, o in seen:
-        ctx, lower = g[:-1], shared.get(g[1:], shared[""])
-        p = [(max(n - d[k], 0.0) / totals[ctx][k] if totals[ctx][k] else 0.0) + back(ctx, k) * lower for k, n in enumerate((t, o))]
-        ratio[g] = math.log(p[0] / p[1])
-    rest = {c: math.log(max(back(c, 0), 1e-9) / max(back(c, 1), 1e-9)) for c in totals}
-    return ratio, rest
+    classes = ("n_toxic", "n_ordinary")
+    found = grams.groupBy("part").agg(*(F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in classes for k in (1, 2)))
+    discounts = found.select("part", *(_discount(F.col(f"{c}_1"), F.col(f"{c}_2")).alias(f"d_{c}") for c in classes))
+    taken = lambda c: F.greatest(F.col(c) - F.col(f"d_{c}"), F.lit(0.0))
+    mine = grams.join(F.broadcast(discounts), "part").select("part", "gram", _context("gram").alias("context"), *classes, *(taken(c).alias(f"t_{c}") for c in classes))
+    contexts = mine.groupBy("part", "context").agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(f"t_{c}").alias(f"sum_{c}") for c in classes))
+    back = lambda c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"sum_{c}") / F.col(f"all_{c}")).otherwise(F.lit(1.0))
+    contexts = written(contexts.select("part", "context", *(F.col(f"all_{c}") for c in classes), *(back(c).alias(f"back_{c}") for c in classes)), "contexts")
+    lowered = mine.join(contexts, ["part", "context"]).withColumn("lower", _rest("gram")).join(shared_probabilities(grams), ["part", "lower"])
+    p = [F.coalesce(F.try_divide(F.col(f"t_{c}"), F.col(f"all_{c}")), F.lit(0.0)) + F.col(f"back_{c}") * F.col("p") for c in classes]
+    rest = [F.greatest(F.col(f"back_{c}"), F.lit(1e-9)) for c in classes]
+    values = lowered.select("part", F.col("gram").alias("key"), F.log(p[0] / p[1]).alias("value"))
+    return values.unionByName(contexts.select("part", F.concat(F.lit(CONTEXT), "context").alias("key"), F.log(rest[0] / rest[1]).alias("value")))
 
 
 class Scorer:
-    """Features of whole texts: the mean log-likelihood ratio of a word, and the highest mean of a window."""
-
-    def __init__(self, ratio: dict[str, float], rest: dict[str, float]):
-        self.ratio, self.rest, self.known, self.chars = ratio, rest, {}, 0
-
-    def word(self, token: str) -> list[float]:
-        """A word's log-likelihood ratio; of one that is longer than ``LONG`` that of each part."""
-        totals = []
-        for part in _grams(w) if (w := _word(token)) else ():
-            total = 0.0
-            for g in part:
-                x = self.ratio.get(g)
-                total += self.rest.get(g[:-1], 0.0) if x is None else x
-            totals.append(total)
-        return totals or [0.0]
-
-    def features(self, text: str | None) -> tuple[float, ...]:
-        tokens = _tokens(text) if text else []
-        if not tokens:
-            return (0.0,) * len(FEATURES)
-        known = self.known
-        try:
-            x = np.array([known[t] for t in tokens])
-        except KeyError:
-            if len(known) > WORDS or self.chars > CHARS:
-                known.clear()
-                self.chars = 0
-            long = {t: self.word(t) for t in set(tokens) if len(t) > LONG}
-            for t in set(tokens):
-                if t not in known and t not in long:
-                    known[t] = self.word(t)[0]
-                    self.chars += len(t)
-            x = np.array([v for t in tokens for v in (long[t] if t in long else (known[t],))])
-        sums = np.concatenate(([0.0], np.cumsum(x)))
-        return float(x.mean()), *(float((sums[n:] - sums[:-n]).max()) / n for n in (min(s, len(x)) for s in SPANS))
+    """Features of whole texts: log-likelihood ratio for each character, and that of the most toxic word."""
+
+    def __init__(self, values: dict[str, float]):
+        self.values = values
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows: list[tuple[float, float, int]] = []
+        self.size = 0
+
+    def unit(self, unit: str) -> float:
+        values, total = self.values, 0.0
+        for g in _grams(unit):
+            x = values.get(g)
+            total += values.get(CONTEXT + g[:-1], 0.0) if x is None else x
+        return total
+
+    def token(self, token: str) -> tuple[float, float, int]:
+        """Sum and highest ratio of a token's units, and its characters; a token of signs only has none."""
+        units = list(_units(token))
+        ratios = [self.unit(u) for u in units]
+        return sum(ratios), max(ratios, default=-np.inf), sum(len(u) - 1 - int(u[0]) for u in units)
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        tokens = text.lower().split() if text else []
+        new = {t for t in tokens if t not in self.at}
+        if new and (len(self.at) > WORDS or self.size > CHARS):
+            self._forget()
+            new = set(tokens)
+        for t in new:
+            self.at[t] = len(self.rows)
+            self.rows.append(self.token(t))
+            self.size += len(t)
+        rows = [self.rows[self.at[t]] for t in tokens]
+        total, peak, chars = zip(*rows) if rows else ((), (), ())
+        return (sum(total) / sum(chars), max(peak)) if sum(chars) else (0.0, 0.0)
 
 
 class Curve:
@@ -223,14 +223,6 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
 
 
-class Model:
-    def __init__(self, ratio: dict[str, float], rest: dict[str, float], curve: Curve):
-        self.ratio, self.rest, self.curve = ratio, rest, curve
-
-
-_scorers: dict[int, Scorer] = {}
-
-
 def _fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
@@ -240,56 +232,94 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(_fold(doc_id) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, model_part: int = 5) -> Model:
-    """Fit the models on labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, model_part: int = 5) -> tuple[DataFrame, Curve]:
+    """The model (``key``, ``value``) of all labelled rows that are not held out, and the curve.
 
-    A fifth of them fits the logistic curve (at most ``CALIBRATE`` rows), the others are
-    counted, all of them. Rows with a null doc_id, text or label teach nothing; repeated
-    labels of a document count as often as they occur.
+    The curve is fitted on a fifth of the rows (at most ``CALIBRATE``) with a model of the
+    others, so on texts that model has not seen. Rows with a null doc_id, text or label
+    teach nothing; repeated labels of a document count as often as they occur.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null").where(~held_out(F.col("_id")))
     mine = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null and _id is not null").where(~held_out(F.col("_id")))
     # labels are some share of all documents, so they are never broadcast
     rows = mine.join(known.hint("merge"), "_id").select("_id", "text", "toxic", (F.floor(_fold(F.col("_id")) / 3) % model_part == 0).alias("curve"))
     rows = written(rows, "labelled")
-    ratio, rest = log_ratios(gram_counts(rows.where(~F.col("curve"))))
-    some = rows.where("curve").orderBy(F.xxhash64("_id", F.lit(11)), "text").limit(CALIBRATE) if rows.where("curve").count() > CALIBRATE else rows.where("curve")
-    scored = some.select("toxic", _features(docs.sparkSession, ratio, rest)(F.col("text")).alias("f")).select("toxic", "f.*").toPandas()
-    return Model(ratio, rest, Curve(scored[list(FEATURES)].to_numpy(float), scored["toxic"].to_numpy(float)))
+    model = written(log_ratios(gram_counts(rows)), "model")
+    some = rows.where("curve").orderBy(F.xxhash64("_id", F.lit(11)), "text").limit(CALIBRATE)
+    scored = with_features(some, model.where("part = 'fit'")).select("toxic", *FEATURES).toPandas()
+    return model.where("part = 'all'"), Curve(scored[list(FEATURES)].to_numpy(float), scored["toxic"].to_numpy(float))
+
 
+_scorers: dict[str, Scorer] = {}
 
-def _features(spark: SparkSession, ratio: dict, rest: dict):
-    sent = spark.sparkContext.broadcast((ratio, rest))
+
+def with_features(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """``docs`` (with ``text``) and the columns of ``FEATURES``; the text is read whole.
+
+    A model of at most ``SENT`` entries is sent to the workers. With a larger one the words
+    of all texts are joined with the table instead, which gives the same features.
+    """
+    if model.limit(SENT + 1).count() > SENT:
+        return joined_features(docs, model)
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(dict(model.select("key", "value").toPandas().itertuples(index=False)))
 
     def features(texts: pd.Series) -> pd.DataFrame:
-        if sent.value is not None and id(sent) not in _scorers:
+        if name not in _scorers:
             _scorers.clear()
-            _scorers[id(sent)] = Scorer(*sent.value)
-        s = _scorers[id(sent)]
-        return pd.DataFrame([s.features(t) for t in texts], columns=list(FEATURES))
+            _scorers[name] = Scorer(sent.value)
+        return pd.DataFrame([_scorers[name].features(t) for t in texts], columns=list(FEATURES))
+
+    found = F.pandas_udf(features, ", ".join(f"{f} double" for f in FEATURES))(F.col("text").cast("string"))
+    return docs.withColumn("_found", found).select(*docs.columns, "_found.*")
+
+
+def joined_features(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """What :func:`with_features` gives, by joins of the texts' words with the model's table."""
+    table = written(docs.withColumn("_text_row", F.monotonically_increasing_id()), "texts")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row, text in zip(b["_text_row"], b["text"]):
+                own: Counter = Counter()
+                for token, n in Counter(text.lower().split()).items():
+                    for u in _units(token):
+                        own[u] += n
+                if own:
+                    yield pd.DataFrame({"_text_row": row, "unit": list(own), "n": list(own.values())})
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(u, g, CONTEXT + g[:-1]) for u in b["unit"] for g in _grams(u)]
+            yield pd.DataFrame(out, columns=["unit", "key", "context"])
 
-    return F.pandas_udf(features, ", ".join(f"{f} double" for f in FEATURES))
+    pieces = written(table.where("text is not null").select("_text_row", F.col("text").cast("string").alias("text")).mapInPandas(split, "_text_row long, unit string, n long"), "pieces")
+    own, after = model.select("key", F.col("value").alias("own")), model.select(F.col("key").alias("context"), F.col("value").alias("after"))
+    parts = pieces.select("unit").distinct().mapInPandas(grams, "unit string, key string, context string")
+    ratios = parts.join(own, "key", "left").join(after, "context", "left").groupBy("unit").agg(F.sum(F.coalesce("own", "after", F.lit(0.0))).alias("ratio"), F.count("*").alias("chars"))
+    of_text = pieces.join(ratios, "unit").groupBy("_text_row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum(F.col("n") * F.col("chars"))).alias(FEATURES[0]), F.max("ratio").alias(FEATURES[1]))
+    return table.join(of_text, "_text_row", "left").select(*docs.columns, *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with columns held_out, score (0 to 1) and predicted (score at least 0.7).
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``toxic``; columns
-    of the new names are replaced and all others kept. Null and empty texts score as
-    texts without evidence. Without labels of both classes the score is their smoothed
-    share, or 0.5 without any. A null doc_id is not held out. Rows stay one to one.
+    of the new names are replaced (and those of ``FEATURES`` left out), all others kept. Null and empty texts, and those of
+    signs only, score as texts without evidence; very long texts and words are read to
+    their end. Equal texts score alike. Without labels of both classes the score is their
+    smoothed share, or 0.5 without any. A null doc_id is not held out. Rows stay one to one.
     """
-    model = train(docs, labels)
-    curve = model.curve
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "_f")]
-    featured = docs.select(*own, _features(docs.sparkSession, model.ratio, model.rest)(F.col("text").cast("string")).alias("_f"))
+    model, curve = train(docs, labels)
+    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted", *FEATURES)]
     if curve.w is None:
-        score = F.lit(float(curve.prior))
+        featured, score = docs.select(*own), F.lit(float(curve.prior))
     else:
+        featured = with_features(docs.select(*own), model)
         w, m, s = curve.w.tolist(), curve.mean.tolist(), curve.sd.tolist()
         z = F.lit(w[0])
         for name, wi, mi, si in zip(FEATURES, w[1:], m, s):
-            z = z + F.lit(wi / si) * (F.col(f"_f.{name}") - mi)
+            z = z + F.lit(wi / si) * (F.col(name) - mi)
         score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     out = featured.select(*own, held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
