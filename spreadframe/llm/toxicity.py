@@ -162,19 +162,23 @@ class Scorer:
     """Features of whole texts: log-likelihood ratio for each character, and that of the most toxic word."""
 
     def __init__(self, values: dict[str, float]):
-        self.values = values
+        self.grams = {k: v for k, v in values.items() if k[0] != CONTEXT}
+        self.contexts = {k[1:]: v for k, v in values.items() if k[0] == CONTEXT}
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows: list[tuple[float, float, int]] = []
+        self.total: list[float] = []
+        self.peak: list[float] = []
+        self.chars: list[int] = []
         self.size = 0
 
     def unit(self, unit: str) -> float:
-        values, total = self.values, 0.0
-        for g in _grams(unit):
-            x = values.get(g)
-            total += values.get(CONTEXT + g[:-1], 0.0) if x is None else x
+        gram, after, w, total = self.grams.get, self.contexts.get, unit[1:], 0.0
+        for i in range(int(unit[0]), len(w)):
+            g = w[i - ORDER + 1 : i + 1] if i >= ORDER else w[: i + 1]
+            x = gram(g)
+            total += after(g[:-1], 0.0) if x is None else x
         return total
 
     def token(self, token: str) -> tuple[float, float, int]:
@@ -185,42 +189,59 @@ class Scorer:
 
     def features(self, text: str | None) -> tuple[float, float]:
         tokens = text.lower().split() if text else []
-        new = {t for t in tokens if t not in self.at}
+        new = [t for t in tokens if t not in self.at]
         if new and (len(self.at) > WORDS or self.size > CHARS):
             self._forget()
-            new = set(tokens)
-        for t in new:
-            self.at[t] = len(self.rows)
-            self.rows.append(self.token(t))
+            new = tokens
+        for t in dict.fromkeys(new):
+            self.at[t] = len(self.total)
+            for column, x in zip((self.total, self.peak, self.chars), self.token(t)):
+                column.append(x)
             self.size += len(t)
-        rows = [self.rows[self.at[t]] for t in tokens]
-        total, peak, chars = zip(*rows) if rows else ((), (), ())
-        return (sum(total) / sum(chars), max(peak)) if sum(chars) else (0.0, 0.0)
+        at = [self.at[t] for t in tokens]
+        chars = sum(map(self.chars.__getitem__, at))
+        return (sum(map(self.total.__getitem__, at)) / chars, max(map(self.peak.__getitem__, at))) if chars else (0.0, 0.0)
 
 
 class Curve:
-    """Logistic regression on the standardised features; a constant where one class is missing."""
+    """Logistic regression on the standardised features; a constant where one class is missing.
+
+    A word more or less toxic than any ordinary one tells the same, so the curve levels off
+    at a peak: that of some quantiles of the peaks which makes the labels likeliest.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         n1 = int(y.sum())
-        self.w = None
+        self.w, self.level = None, np.inf
         self.prior = (n1 + 0.5) / (len(y) + 1) if len(y) else 0.5
         if 0 < n1 < len(y):
-            self.mean, self.sd = x.mean(0), x.std(0) + 1e-9
-            z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.sd])
-            w, keep = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * x.shape[1])
-            for _ in range(30):
-                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-                g = z.T @ (p - y) + keep @ w
-                h = (z * (p * (1 - p))[:, None]).T @ z + keep + 1e-6 * np.eye(len(w))
-                w = w - np.linalg.solve(h, g)
-            self.w = w
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+            levels = sorted(set(np.quantile(x[:, 1], np.linspace(0.8, 1, 41)).tolist()), reverse=True)
+            fits = [self._fit(np.column_stack([x[:, 0], np.minimum(x[:, 1], top)]), y) for top in levels]
+            best = max(range(len(fits)), key=lambda i: fits[i][0])
+            self.level = levels[best]
+            _, self.mean, self.sd, self.w = fits[best]
+
+    @staticmethod
+    def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        mean, sd = x.mean(0), x.std(0) + 1e-9
+        z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+        w, keep = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * x.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            g = z.T @ (p - y) + keep @ w
+            h = (z * (p * (1 - p))[:, None]).T @ z + keep + 1e-6 * np.eye(len(w))
+            w = w - np.linalg.solve(h, g)
+        p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-12, 1 - 1e-12)
+        return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum() - w @ keep @ w / 2), mean, sd, w
+
+    def column(self) -> Column:
+        """The score of rows that hold the features."""
         if self.w is None:
-            return np.full(len(x), self.prior)
-        z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.sd])
-        return 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+            return F.lit(float(self.prior))
+        z = F.lit(float(self.w[0]))
+        for x, w, m, s in zip((F.col(FEATURES[0]), F.least(F.col(FEATURES[1]), F.lit(float(self.level)))), self.w[1:], self.mean, self.sd):
+            z = z + F.lit(float(w / s)) * (x - float(m))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def _fold(doc_id: Column) -> Column:
@@ -312,14 +333,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model, curve = train(docs, labels)
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted", *FEATURES)]
-    if curve.w is None:
-        featured, score = docs.select(*own), F.lit(float(curve.prior))
-    else:
-        featured = with_features(docs.select(*own), model)
-        w, m, s = curve.w.tolist(), curve.mean.tolist(), curve.sd.tolist()
-        z = F.lit(w[0])
-        for name, wi, mi, si in zip(FEATURES, w[1:], m, s):
-            z = z + F.lit(wi / si) * (F.col(name) - mi)
-        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    out = featured.select(*own, held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    featured = docs.select(*own) if curve.w is None else with_features(docs.select(*own), model)
+    out = featured.select(*own, held_out(F.col("doc_id")).alias("held_out"), curve.column().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
