@@ -1,10 +1,12 @@
 """Licence scans: a paragraph classifier over word n-grams, confirmed against templates.
 
 A softmax regression over the n-grams that occur in licence templates is trained here, on
-variants of the templates and on a bounded sample of the corpus's own paragraphs as the
-unknown class. Its temperature is calibrated on variants it was not trained on. Every
-paragraph of every text is scored by a join with the weights, and a predicted family is
-confirmed if the paragraph holds enough of the n-grams of one of its templates.
+variants of the templates, with texts of other licences and a bounded sample of the
+corpus's own paragraphs as the unknown class. Its temperature is calibrated on variants,
+paragraphs and other licences that it was not trained on. Paragraphs are what blank lines
+separate, hard-wrapped or not, and every line is scored as well, for one-line notices. A
+predicted family is confirmed if the text holds enough of the n-grams of one of its
+templates and the words that set the family apart from its neighbours, and none of theirs.
 """
 
 from __future__ import annotations
@@ -21,25 +23,95 @@ UNKNOWN = "unknown"
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Released under the Simplified BSD License."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "Released under CC0 1.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("Unlicense", "Released under the Unlicense."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 ]
-FAMILIES = [UNKNOWN, *dict.fromkeys(f for f, _ in TEMPLATES)]
+# of each family: words of which one sequence of each row must occur, and sequences of its neighbours that must not; fixed values
+_V2, _V21, _V3 = ["version 2", "v2", "v 2", "gplv2"], ["version 2 1", "v2 1", "v 2 1"], ["version 3", "v3", "v 3", "gplv3"]
+MARKS: dict[str, tuple[list[list[str]], list[str]]] = {
+    "MIT": ([["mit license", "to deal in the software"]], ["isc license", "clear bsd"]),
+    "Apache-2.0": ([["apache license version 2 0", "basis without warranties or conditions of any kind"]], ["version 1 1", "version 1 0"]),
+    "GPL-3.0": ([["gnu general public license"], _V3], ["lesser", "affero", "library general", *_V2]),
+    "GPL-2.0": ([["gnu general public license"], _V2], ["lesser", "affero", "library general", *_V3]),
+    "LGPL-2.1": ([["lesser general public license"], _V21], _V3),
+    "LGPL-3.0": ([["lesser general public license"], _V3], _V2),
+    "AGPL-3.0": ([["affero general public license"], _V3], _V2),
+    "BSD-3-Clause": ([["bsd 3 clause", "neither the name of"]], ["bsd 2 clause", "bsd 4 clause", "all advertising materials"]),
+    "BSD-2-Clause": ([["bsd 2 clause", "simplified bsd"]], ["bsd 3 clause", "bsd 4 clause", "neither the name of"]),
+    "ISC": ([["isc license", "for any purpose with or without fee is hereby granted provided that the above copyright notice"]], ["mit license", "0bsd", "zero clause"]),
+    "CC0-1.0": ([["cc0 1 0"]], []),
+    "CC-BY-4.0": ([["cc by 4 0", "commons attribution 4 0"]], ["sharealike", "noncommercial", "noderivatives", "by sa", "by nc", "by nd"]),
+    "CC-BY-SA-4.0": ([["cc by sa 4 0", "attribution sharealike 4 0"]], ["noncommercial", "noderivatives", "by nc", "by nd"]),
+    "CC-BY-NC-4.0": ([["cc by nc 4 0", "attribution noncommercial 4 0"]], ["sharealike", "noderivatives", "by sa", "nc sa", "nc nd"]),
+    "CC-BY-ND-4.0": ([["cc by nd 4 0", "attribution noderivatives 4 0"]], ["sharealike", "noncommercial", "by nc", "by sa"]),
+    "CC-BY-NC-SA-4.0": ([["cc by nc sa 4 0", "noncommercial sharealike 4 0"]], ["noderivatives"]),
+    "MPL-2.0": ([["mozilla public license v 2 0", "mozilla public license version 2 0"]], ["version 1 1", "version 1 0"]),
+    "EPL-2.0": ([["eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v 2 0"]], ["license 1 0", "version 1 0", "v 1 0"]),
+    "Unlicense": ([["the unlicense", "free and unencumbered software"]], []),
+}
+# licences and notices outside these families: the unknown class's own texts; fixed values
+OTHERS = [
+    "Licensed under the Artistic License, version 2.0.", "Released under the zlib License.", "Released under the Boost Software License, Version 1.0.",
+    "This program is licensed under the European Union Public Licence, version 1.2.", "Licensed under the Common Development and Distribution License, version 1.0.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the Microsoft Public License.", "Released under the PostgreSQL License.",
+    "Released under the BSD 4-Clause License.", "Licensed under the Apache License, Version 1.1.", "Licensed under the GNU Free Documentation License, version 1.3.",
+    "Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "Licensed under CC BY-SA 3.0.", "Licensed under the Academic Free License, version 3.0.",
+    "Licensed under the Server Side Public License, version 1.", "Licensed under the Mozilla Public License, version 1.1.", "Licensed under the Eclipse Public License, version 1.0.",
+    "All rights reserved. No part of this publication may be reproduced or distributed in any form without the prior written permission of the publisher.",
+    "This document is confidential and may not be copied, distributed or modified without permission.", "You must accept the terms of the license agreement before you use this software.",
+    "The driving license of any person is published by the public office and may be used as a document.", "This software is provided without warranty of any kind.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+]
+FAMILIES = [UNKNOWN, *MARKS]
 LENGTHS = (1, 2, 3)
-#: Paragraphs of the corpus that the classifier may be trained on, and documents they come from, about.
+#: Every template has a word with one of these; a paragraph or line without any is not a licence's.
+ANCHOR = r"(?i)licen[cs]|redistribut|permission|public domain|unencumbered|warrant|copyright|cc0|endorse"
+#: Paragraphs of the corpus that the classifier is trained on, documents they come from, and their characters, at most.
 SAMPLE = 4000
 SAMPLE_DOCS = 400
+SAMPLE_CHARS = 2000
+#: Words of the corpus that are put around template variants, at most.
+SAMPLE_WORDS = 20_000
 #: Share of a template's n-grams that confirms it, and the least probability of a family.
 CONFIRM = 0.8
 LEAST = 0.5
@@ -53,48 +125,84 @@ def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in LENGTHS for i in range(len(words) - n + 1)}
 
 
-VOCABULARY = sorted(set().union(*(_grams(_words(t)) for _, t in TEMPLATES)))
+VOCABULARY = sorted(set().union(*(_grams(_words(t)) for _, t in TEMPLATES)) | {" ".join(s.split()[i : i + 3]) for _, bars in MARKS.values() for s in bars for i in range(max(1, len(s.split()) - 2))})
+#: Words that set families apart: variants of a template keep them.
+_KEPT = {w for needs, bars in MARKS.values() for s in (*(s for alternatives in needs for s in alternatives), *bars) for w in s.split()}
 
 
 def _variant(words: list[str], other: list[str], rng: random.Random) -> list[str]:
-    kept = [w for w in words if rng.random() > 0.08]
-    around = rng.choices(other, k=rng.randrange(0, 12)) if other else []
+    kept = [w for w in words if w in _KEPT or rng.random() > 0.08]
+    around = rng.choices(other, k=rng.randrange(0, 24)) if other else []
     cut = rng.randrange(len(around) + 1)
     return around[:cut] + kept + around[cut:]
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights (n-grams by families) and biases, divided by the calibrated temperature."""
     rng, at = random.Random(seed), {g: i for i, g in enumerate(VOCABULARY)}
     plain = [w for w in map(_words, sample) if w]
-    other = [w for ws in plain[:500] for w in ws[:40]]
-    rows = [(FAMILIES.index(f), _variant(_words(t), other, rng)) for f, t in TEMPLATES for _ in range(60)]
-    # the corpus's own paragraphs, without those that hold most of a template; and loose licence words
+    other = [w for ws in plain for w in ws]
+    other = other if len(other) <= SAMPLE_WORDS else rng.sample(other, SAMPLE_WORDS)
+    licences = [_words(t) for t in OTHERS]
+    # the corpus's own paragraphs without those that hold most of a template, and loose licence words
     held = [_grams(_words(t)) for _, t in TEMPLATES]
-    rows += [(0, w) for w in plain if all(len(h & _grams(w)) < 0.5 * len(h) for h in held)]
+    plain = [w for w in plain if all(len(h & _grams(w)) < 0.5 * len(h) for h in held)]
     loose = [w for _, t in TEMPLATES for w in _words(t)]
-    rows += [(0, rng.sample(loose, rng.randrange(1, 9)) + rng.choices(other or loose, k=6)) for _ in range(300)]
-    rng.shuffle(rows)
-    x, y = np.zeros((len(rows), len(VOCABULARY))), np.array([r[0] for r in rows])
-    for i, (_, w) in enumerate(rows):
-        x[i, [at[g] for g in _grams(w) if g in at]] = 1
-    cut = len(rows) * 4 // 5
-    w, b = np.zeros((x.shape[1], len(FAMILIES))), np.zeros(len(FAMILIES))
-    target = np.eye(len(FAMILIES))[y]
-    for _ in range(200):
-        z = x[:cut] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        g = p / p.sum(1, keepdims=True) - target[:cut]
-        w -= 2.0 * (x[:cut].T @ g / cut + 1e-4 * w)
+
+    def rows(texts: list[list[str]], part: list[list[str]], copies: int) -> list[tuple[int, list[str]]]:
+        out = [(FAMILIES.index(f), _variant(_words(t), other, rng)) for f, t in TEMPLATES for _ in range(copies)]
+        out += [(0, _variant(t, other, rng)) for t in texts for _ in range(2 * copies)] + [(0, w) for w in part]
+        return out + [(0, rng.sample(loose, rng.randrange(1, 9)) + rng.choices(other or loose, k=6)) for _ in range(8 * copies)]
+
+    # calibration sees paragraphs and whole other licences that training does not
+    train, check = rows(licences[::3] + licences[1::3], plain[::2], 24), rows(licences[2::3], plain[1::2], 6)
+
+    def matrix(part: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(part), len(VOCABULARY)), dtype=np.float32)
+        for i, (_, w) in enumerate(part):
+            x[i, [at[g] for g in _grams(w) if g in at]] = 1
+        return x, np.array([k for k, _ in part])
+
+    (x, y), (cx, cy) = matrix(train), matrix(check)
+    w, b = np.zeros((x.shape[1], len(FAMILIES)), dtype=np.float32), np.zeros(len(FAMILIES), dtype=np.float32)
+    target = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    for _ in range(150):
+        g = _softmax(x @ w + b) - target
+        w -= 2.0 * (x.T @ g / len(x) + 1e-4 * w)
         b -= 2.0 * g.mean(0)
 
     def loss(t: float) -> float:
-        z = (x[cut:] @ w + b) / t
-        z -= z.max(1, keepdims=True)
-        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), y[cut:]]).mean())
+        return float(-np.log(np.maximum(_softmax((cx @ w + b) / t)[np.arange(len(cy)), cy], 1e-12)).mean())
 
     t = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return w / t, b / t
+    return (w / t).astype(float), (b / t).astype(float)
+
+
+def marked(text: str) -> list[bool]:
+    """Whether a text holds the words of each family, in plain Python: what :func:`_marked` says in columns."""
+    flat = f" {' '.join(_words(text))} "
+    return [all(any(f" {s} " in flat for s in any_of) for any_of in needs) and not any(f" {s} " in flat for s in bars) for needs, bars in MARKS.values()]
+
+
+def _marked(flat: Column) -> Column:
+    has = lambda s: flat.contains(f" {s} ")
+    out = [F.lit(False)]
+    for needs, bars in MARKS.values():
+        hit = F.lit(True)
+        for any_of in needs:
+            some = F.lit(False)
+            for s in any_of:
+                some = some | has(s)
+            hit = hit & some
+        for s in bars:
+            hit = hit & ~has(s)
+        out.append(hit)
+    return F.array(*out)
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -102,25 +210,28 @@ def _runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _all_grams(words: Column) -> Column:
-    return F.array_distinct(F.concat(*(_runs(words, n) for n in LENGTHS)))
+def _paragraphs(text: Column) -> Column:
+    """What blank lines separate."""
+    return F.split(text, r"\r?\n(?:[ \t]*\r?\n)+")
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, family, probability, confirmed and similarity of each paragraph that a licence family is predicted for.
+    """doc_id, paragraph, line, family, probability, confirmed and similarity of each text that a licence family is predicted for.
 
-    ``docs`` has ``doc_id`` and ``text``; other columns are ignored. A paragraph is a line;
-    its probability is the family's by the calibrated classifier and similarity the
-    largest share of a template's n-grams that it holds, of that family. Null and empty
-    texts and paragraphs of the unknown class give no row; repeated rows give theirs
-    again, told apart by nothing. An empty table gives none.
+    ``docs`` has ``doc_id`` and ``text``; other columns are ignored. paragraph counts what
+    blank lines separate from 0; line is null for the paragraph as a whole, and counts the
+    lines of one that has several. The probability is the family's by the calibrated
+    classifier and similarity the largest share of a template's n-grams that the text
+    holds, of that family. Null and empty texts, texts without any word of ``ANCHOR`` and
+    those of the unknown class give no row; very long texts and lines are read whole;
+    repeated rows give theirs again, told apart by nothing. An empty table gives none.
     """
     spark = docs.sparkSession
-    table = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("_row"))
-    # some documents by a hash of their text, so that tasks send the driver few rows whatever their number
-    few = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count()))) < SAMPLE_DOCS))
-    sample = few.select(F.explode(F.split(F.col("text").cast("string"), r"\n")).alias("p")).select(F.substring("p", 1, 2000).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE)
-    w, b = fit([r["p"] for r in sample.collect()])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    # the documents whose texts have the lowest hashes, however often each is repeated
+    few = texts.select(F.xxhash64("text").alias("_hash")).distinct().orderBy("_hash").limit(SAMPLE_DOCS)
+    chosen = texts.join(F.broadcast(few), F.xxhash64("text") == F.col("_hash"), "left_semi").select(F.explode(_paragraphs(F.col("text"))).alias("p")).where(F.length("p") <= SAMPLE_CHARS)
+    w, b = fit([r["p"] for r in chosen.distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE).collect()])
     held: dict[str, list[int]] = {}
     sizes = []
     for k, (_, t) in enumerate(TEMPLATES):
@@ -128,17 +239,28 @@ def scan_licences(docs: DataFrame) -> DataFrame:
         sizes.append(len(grams))
         for g in grams:
             held.setdefault(g, []).append(k)
-    weights = spark.createDataFrame([(g, [float(v) for v in w[i]], [1 if k in held.get(g, ()) else 0 for k in range(len(TEMPLATES))]) for i, g in enumerate(VOCABULARY)], "gram string, w array<double>, t array<int>")
+    weights = spark.createDataFrame([(g, [float(v) for v in w[i]], held.get(g, [])) for i, g in enumerate(VOCABULARY)], "gram string, w array<double>, held array<int>")
+
+    blocks = texts.where(F.col("text").rlike(ANCHOR)).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "_block"))
+    blocks = blocks.where(F.col("_block").rlike(ANCHOR))
+    lines = F.split("_block", r"\n")
+    number = F.sequence(F.lit(0), F.size(lines) - 1)
+    inner = F.when(F.size(lines) > 1, F.arrays_zip(number.alias("line"), lines.alias("_line"))).otherwise(F.array())
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.col("_block").alias("_line")))
+    pieces = blocks.select("doc_id", "_row", "paragraph", F.inline(F.concat(whole, inner))).where(F.col("_line").rlike(ANCHOR))
     words = F.filter(F.split(F.lower("_line"), r"[^a-z0-9]+"), lambda x: x != "")
-    lines = table.select("doc_id", "_row", F.posexplode(F.split(F.col("text").cast("string"), r"\n")).alias("paragraph", "_line"))
-    grams = lines.select("doc_id", "_row", "paragraph", words.alias("words")).select("doc_id", "_row", "paragraph", F.explode(_all_grams(F.col("words"))).alias("gram"))
+    pieces = pieces.select("doc_id", "_row", "paragraph", "line", words.alias("words"))
+    flat = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    grams = pieces.select("doc_id", "_row", "paragraph", "line", _marked(flat).alias("marks"), F.explode(F.array_distinct(F.concat(*(_runs(F.col("words"), n) for n in LENGTHS)))).alias("gram"))
+    # the vocabulary is that of the templates: some thousand rows
     hits = grams.join(F.broadcast(weights), "gram")
-    summed = hits.groupBy("doc_id", "_row", "paragraph").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(FAMILIES))), *(F.sum(F.col("t")[k]).alias(f"t{k}") for k in range(len(TEMPLATES))))
-    z = [F.col(f"z{k}") + float(b[k]) for k in range(len(FAMILIES))]
-    top = F.greatest(*z)
-    odds = F.array(*(F.exp(x - top) for x in z))
-    like = F.array(*(F.greatest(*(F.col(f"t{k}") / float(sizes[k]) for k, (g, _) in enumerate(TEMPLATES) if g == f), F.lit(0.0)) if f != UNKNOWN else F.lit(0.0) for f in FAMILIES))
-    best = summed.select("doc_id", "paragraph", odds.alias("odds"), like.alias("like")).withColumn("k", F.array_position("odds", F.lit(1.0)).cast("int"))
-    total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-    named = best.select("doc_id", "paragraph", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k")).alias("family"), (1 / total).alias("probability"), F.element_at("like", F.col("k")).alias("similarity"))
-    return named.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST)).select("doc_id", "paragraph", "family", "probability", (F.col("similarity") >= CONFIRM).alias("confirmed"), "similarity")
+    summed = hits.groupBy("doc_id", "_row", "paragraph", "line", "marks").agg(
+        F.array(*(F.sum(F.col("w")[k]) + float(b[k]) for k in range(len(FAMILIES)))).alias("z"),
+        F.array(*(F.count_if(F.array_contains("held", k)) / float(sizes[k]) for k in range(len(TEMPLATES)))).alias("shares"),
+    )
+    of_family = lambda f: [F.col("shares")[k] for k, (g, _) in enumerate(TEMPLATES) if g == f]
+    like = F.array(F.lit(0.0), *(F.greatest(F.lit(0.0), *of_family(f)) for f in MARKS))
+    best = summed.select("*", like.alias("like"), F.array_max("z").alias("top")).withColumn("k", F.array_position("z", F.col("top")).cast("int"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    named = best.select("doc_id", "paragraph", "line", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k")).alias("family"), (1 / total).alias("probability"), (F.element_at("marks", F.col("k")) & (F.element_at("like", F.col("k")) >= CONFIRM)).alias("confirmed"), F.element_at("like", F.col("k")).alias("similarity"))
+    return named.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
