@@ -283,12 +283,14 @@ def with_features(docs: DataFrame, model: DataFrame) -> DataFrame:
     if model.limit(SENT + 1).count() > SENT:
         return joined_features(docs, model)
     spark, name = docs.sparkSession, uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast(dict(model.select("key", "value").toPandas().itertuples(index=False)))
+    # the columns stay packed on the driver; a worker unpacks them once
+    sent = spark.sparkContext.broadcast(model.select("key", "value").toArrow())
 
     def features(texts: pd.Series) -> pd.DataFrame:
         if name not in _scorers:
             _scorers.clear()
-            _scorers[name] = Scorer(sent.value)
+            table = sent.value
+            _scorers[name] = Scorer(dict(zip(table["key"].to_pylist(), table["value"].to_pylist())))
         return pd.DataFrame([_scorers[name].features(t) for t in texts], columns=list(FEATURES))
 
     found = F.pandas_udf(features, ", ".join(f"{f} double" for f in FEATURES))(F.col("text").cast("string"))
