@@ -173,9 +173,10 @@ class Scorer:
         self.chars: list[int] = []
         self.size = 0
 
-    def unit(self, unit: str) -> float:
-        gram, after, w, total = self.grams.get, self.contexts.get, unit[1:], 0.0
-        for i in range(int(unit[0]), len(w)):
+    def ratio(self, w: str, start: int) -> float:
+        """Log-likelihood ratio of the characters of ``w`` from ``start`` on."""
+        gram, after, total = self.grams.get, self.contexts.get, 0.0
+        for i in range(start, len(w)):
             g = w[i - ORDER + 1 : i + 1] if i >= ORDER else w[: i + 1]
             x = gram(g)
             total += after(g[:-1], 0.0) if x is None else x
@@ -183,8 +184,14 @@ class Scorer:
 
     def token(self, token: str) -> tuple[float, float, int]:
         """Sum and highest ratio of a token's units, and its characters; a token of signs only has none."""
+        if len(token) <= LONG:  # the usual case: one unit at most
+            word = token.strip(STRIP)
+            if not word:
+                return 0.0, -np.inf, 0
+            total = self.ratio(f"{START}{word}{END}", 1)
+            return total, total, len(word) + 1
         units = list(_units(token))
-        ratios = [self.unit(u) for u in units]
+        ratios = [self.ratio(u[1:], int(u[0])) for u in units]
         return sum(ratios), max(ratios, default=-np.inf), sum(len(u) - 1 - int(u[0]) for u in units)
 
     def features(self, text: str | None) -> tuple[float, float]:
