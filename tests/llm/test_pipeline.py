@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from spreadframe.llm import licences, toxicity
+from spreadframe.llm import toxicity
 
 from . import cases
-from .test_text_operators import WORD, base_spans, components, ids_of, naive_print
+from .test_nearcopies import near, shingles
+from .test_text_operators import WORD, base_spans, components, ids_of
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,11 +37,11 @@ def test_stages_one_by_one(spark, folder):
     single = stages["simhash_near_dedup"](spark, calm, folder)
     assert single.columns == COLUMNS
     rows = list(map(key, single.collect()))
-    prints = {k[1]: naive_print(k[1], 5) for k in got}
-    comp = components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 3)
+    sets = {k[1]: shingles(k[1]) for k in got}
+    comp = components(sorted(sets, key=str), lambda a, b: near(sets[a], sets[b]))
     least = defaultdict(list)
     for k in got:
-        least[comp[prints[k[1]]]].append((k[0] is None, k[0] or 0))
+        least[comp[k[1]]].append((k[0] is None, k[0] or 0))
     assert sorted((k[0] is None, k[0] or 0) for k in rows) == sorted(map(min, least.values()))
     assert not Counter(rows) - got
 
@@ -77,15 +78,3 @@ def test_stages_take_an_empty_table(spark, folder):
     docs = spark.createDataFrame([], spark.read.parquet(f"{folder}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
-
-
-def test_licences_are_named_and_confirmed(spark):
-    rows = [(i, f"plain words here and there {i}\n" + t) for i, (_, t) in enumerate(licences.TEMPLATES)]
-    odd = [(100, None), (100, ""), (101, "the license of the work is under way\nno notice at all"), (None, "Released under the MIT License."), (102, "river stone cloud " * 5000)]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("*", "'x' as family")
-    got = licences.scan_licences(docs).collect()
-    found = {r["doc_id"]: r for r in got if r["paragraph"] == 1 and r["doc_id"] is not None and r["doc_id"] < 100}
-    assert all(found[i]["family"] == f and found[i]["confirmed"] and found[i]["similarity"] == 1.0 for i, (f, _) in enumerate(licences.TEMPLATES))
-    assert any(r["doc_id"] is None and r["family"] == "MIT" for r in got)
-    assert not any(r["confirmed"] for r in got if r["doc_id"] in (100, 101, 102) or r["paragraph"] == 0 and r["doc_id"] is not None)
-    assert licences.scan_licences(docs.limit(0)).count() == 0
