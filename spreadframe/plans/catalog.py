@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..core import Graph, top_k, undirected
 from ..functions.coins import coin, coin_sql
-from ..operators import build, cascades, dynamics, inference, kernels, metrics, ranking, selectors, structure, variants
+from ..operators import build, cascades, dynamics, inference, kernels, metrics, ranking, reports, selectors, structure, variants
 from ..operators.components import connected_components
 from ..shared import written
 from ..sources import derived
@@ -1057,3 +1057,101 @@ def plan_redundancy(spark, sf):
 def epidemic_curve_metrics(spark, sf):
     c = spark.createDataFrame(list(enumerate([0.0, 2.0, 6.0, 14.0, 25.0, 18.0, 9.0, 4.0, 1.0, 0.0])), "t int, value double")
     return longs(r6(metrics.epidemic_curve(c), "peak", "area", "endemic"), "time_to_peak")
+
+
+# --- reports
+
+_DEGREES = ("cd", "SELECT t.*, coalesce(n, 0) AS degree FROM trades t LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l.l_suppkey = t.cand_id")
+_ORDERS = ("ord", "SELECT graph_id, cand_id, actual, 'model' AS \"order\", row_number() OVER (PARTITION BY graph_id ORDER BY predicted DESC, cand_id) AS place FROM cd UNION ALL SELECT graph_id, cand_id, actual, 'oracle', row_number() OVER (PARTITION BY graph_id ORDER BY actual DESC, cand_id) FROM cd UNION ALL SELECT graph_id, cand_id, actual, 'degree', row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, cand_id) FROM cd UNION ALL SELECT graph_id, cand_id, actual, 'random', row_number() OVER (PARTITION BY graph_id ORDER BY md5(CAST(cand_id AS VARCHAR)), cand_id) FROM cd")
+
+
+def _ordered(spark, sf) -> DataFrame:
+    degree = derived.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cand_id")).agg(F.count("*").alias("degree"))
+    return reports.ranking_orders(trades(spark, sf).join(degree, "cand_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), ["graph_id"])
+
+
+@query(sql("trades", 'SELECT graph_id, cand_id, "order", place FROM ord', [_DEGREES, _ORDERS]))
+def ranking_orders(spark, sf):
+    return _ordered(spark, sf).select("graph_id", "cand_id", "order", "place")
+
+
+@query(sql("trades", 'SELECT graph_id, "order", calls, round(regret, 4) AS regret, round(1 - calls / CAST(max(CASE WHEN "order" = \'random\' THEN calls END) OVER (PARTITION BY graph_id) AS DOUBLE), 6) AS reduction FROM (SELECT graph_id, "order", coalesce(min(CASE WHEN actual >= 1000000 THEN place END), count(*) + 1) AS calls, max(actual) - max(CASE WHEN place = 1 THEN actual END) AS regret FROM ord GROUP BY 1, 2)', [_DEGREES, _ORDERS]))
+def ranking_report(spark, sf):
+    return reports.order_report(_ordered(spark, sf), ["graph_id"], 1000000.0).select("graph_id", "order", "calls", F.round("regret", 4).alias("regret"), F.round("reduction", 6).alias("reduction"))
+
+
+def _budget_sql(direction: str) -> str:
+    ranks = ("br", f"SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY predicted {direction}, cand_id) AS p, row_number() OVER (PARTITION BY graph_id ORDER BY actual {direction}, cand_id) AS t FROM trades")
+    return sql("trades", "SELECT graph_id, round(best, 3) AS best, round(chosen, 3) AS chosen, round(overlap, 6) AS overlap, round(coalesce(abs(best - chosen) / nullif(abs(best), 0), 0), 6) AS regret FROM (SELECT graph_id, sum(CASE WHEN t <= 3 THEN actual END) AS best, sum(CASE WHEN p <= 3 THEN actual END) AS chosen, count(*) FILTER (p <= 3 AND t <= 3) / CAST(least(3, count(*)) AS DOUBLE) AS overlap FROM br GROUP BY 1)", [ranks])
+
+
+def _budget(spark, sf, sense: str) -> DataFrame:
+    got = reports.budget_regret(trades(spark, sf), ["graph_id"], 3, sense)
+    return got.select("graph_id", F.round("best", 3).alias("best"), F.round("chosen", 3).alias("chosen"), F.round("overlap", 6).alias("overlap"), F.round("regret", 6).alias("regret"))
+
+
+@query(_budget_sql("DESC"))
+def planning_regret_budget(spark, sf):
+    return _budget(spark, sf, "max")
+
+
+@query(_budget_sql("ASC"))
+def blocking_regret(spark, sf):
+    return _budget(spark, sf, "min")
+
+
+@query(sql("trades", "SELECT a.cand_id FROM trades a WHERE NOT EXISTS (SELECT 1 FROM trades b WHERE b.predicted >= a.predicted AND b.actual <= a.actual AND (b.predicted > a.predicted OR b.actual < a.actual))"))
+def fidelity_cost_front(spark, sf):
+    return reports.fidelity_cost_front(trades(spark, sf), "predicted", "actual").select("cand_id")
+
+
+_HISTORY = ("hist", "SELECT o_custkey AS search, o_orderkey AS step, CAST(o_totalprice AS DOUBLE) AS score, CAST(o_totalprice AS DOUBLE) - lag(CAST(o_totalprice AS DOUBLE)) OVER w AS delta, lag(CAST(o_totalprice AS DOUBLE)) OVER w - lag(CAST(o_totalprice AS DOUBLE), 2) OVER w AS expected FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+
+
+def _history(spark, sf) -> DataFrame:
+    """Orders of a customer as a search: a step's score, its change, and the last change as the forecast."""
+    w = Window.partitionBy("search").orderBy("step")
+    o = derived.table(spark, sf, "orders").select(F.col("o_custkey").alias("search"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").cast("double").alias("score"))
+    return o.select("*", (F.col("score") - F.lag("score").over(w)).alias("delta"), (F.lag("score").over(w) - F.lag("score", 2).over(w)).alias("expected"))
+
+
+@query(sql("", "SELECT search, count(*) FILTER (sign(expected) <> sign(delta)) AS wrong, count(*) = 4 AND 2 * count(*) FILTER (sign(expected) <> sign(delta)) > 4 AS miscalibrated FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY step DESC) AS back FROM hist WHERE expected IS NOT NULL) WHERE back <= 4 GROUP BY 1", [_HISTORY]))
+def miscalibrated(spark, sf):
+    return reports.miscalibrated(_history(spark, sf).where("expected is not null"), ["search"], 4)
+
+
+@query(sql("", "SELECT search, count(*) AS n, round(avg(d), 6) AS \"drop\", round(avg(CASE WHEN d > 0 THEN 1e0 ELSE 0 END), 6) AS share FROM (SELECT search, score - lead(score) OVER (PARTITION BY search ORDER BY step) AS d FROM hist) WHERE d IS NOT NULL GROUP BY 1", [_HISTORY]))
+def optimism_summary(spark, sf):
+    got = reports.optimism_summary(_history(spark, sf), ["search"])
+    return got.select("search", "n", F.round("drop", 6).alias("drop"), F.round("share", 6).alias("share"))
+
+
+_YEARS = ("yr", "SELECT o_orderpriority AS arm, o_custkey AS unit, avg(CASE WHEN year(CAST(o_orderdate AS DATE)) % 2 = 0 THEN o_totalprice END) AS reward, avg(CASE WHEN year(CAST(o_orderdate AS DATE)) % 2 = 1 THEN o_totalprice END) AS was FROM orders GROUP BY 1, 2")
+
+
+@query(sql("", "SELECT arm, count(*) AS n, round(avg(was - reward), 4) AS delta, round(coalesce(stddev_samp(was - reward), 0) / sqrt(count(*)), 4) AS se FROM yr WHERE reward IS NOT NULL AND was IS NOT NULL GROUP BY 1", [_YEARS]))
+def paired_delta(spark, sf):
+    o = derived.table(spark, sf, "orders").withColumn("odd", F.year(F.to_date("o_orderdate")) % 2 == 1)
+    of = lambda odd: o.where(F.col("odd") == odd).groupBy(F.col("o_orderpriority").alias("arm"), F.col("o_custkey").alias("unit")).agg(F.avg("o_totalprice").alias("reward"))
+    got = reports.paired_delta(of(False), of(True), ["arm"], "min")
+    return got.select("arm", "n", F.round("delta", 4).alias("delta"), F.round("se", 4).alias("se"))
+
+
+@query(sql("trades", "SELECT cand_id, round(actual - predicted, 4) AS prevented, round(coalesce((actual - predicted) / nullif(actual, 0), 0), 6) AS share, round(coalesce((actual - predicted) / nullif(degree, 0), 0), 4) AS per_action FROM cd", [_DEGREES]))
+def blocking_metrics(spark, sf):
+    actions = derived.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cand_id")).agg(F.count("*").alias("actions"))
+    plans = trades(spark, sf).join(actions, "cand_id", "left").select("cand_id", F.col("predicted").cast("double").alias("spread"), F.col("actual").cast("double").alias("unopposed"), F.coalesce("actions", F.lit(0)).alias("actions"))
+    got = reports.blocking_metrics(plans)
+    return got.select("cand_id", F.round("prevented", 4).alias("prevented"), F.round("share", 6).alias("share"), F.round("per_action", 4).alias("per_action"))
+
+
+@query(sql("gu", "SELECT src, dst, row_number() OVER (ORDER BY md5(src || '-' || dst || '-7'), src, dst) AS rank FROM gu QUALIFY rank <= 50"))
+def random_edge_cut(spark, sf):
+    return reports.random_edges(users(spark, sf).edges, 50, 7)
+
+
+@query(sql("trades", "SELECT count(*) AS steps, count(*) FILTER (delta > 0) AS naive, count(*) FILTER (delta > se) AS banded FROM (SELECT avg(predicted - actual / 1000) AS delta, coalesce(stddev_samp(predicted - actual / 1000), 0) / sqrt(count(*)) AS se FROM trades GROUP BY graph_id)"))
+def acceptance_ledger(spark, sf):
+    d = F.col("predicted") - F.col("actual") / 1000
+    steps_of = trades(spark, sf).groupBy("graph_id").agg(F.avg(d).alias("delta"), (F.coalesce(F.stddev_samp(d), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("se"))
+    return longs(ranking.acceptance_ledger(steps_of), "steps", "naive", "banded")
