@@ -151,7 +151,9 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     licences = [_words(t) for t in OTHERS]
     # the corpus's own paragraphs without those that hold most of a template, and loose licence words
     held = [_grams(_words(t)) for _, t in TEMPLATES]
-    plain = [w for w in plain if all(len(h & _grams(w)) < 0.5 * len(h) for h in held)]
+    known = set().union(*held)
+    grams = [known & _grams(w) for w in plain]
+    plain = [w for w, g in zip(plain, grams) if all(len(h & g) < 0.5 * len(h) for h in held)]
     loose = [w for _, t in TEMPLATES for w in _words(t)]
 
     def rows(texts: list[list[str]], part: list[list[str]], copies: int) -> list[tuple[int, list[str]]]:
