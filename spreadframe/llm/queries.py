@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, toxicity
+from . import conversations, licences, mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, toxicity
 
 
 def tokenizer_file() -> str:
@@ -61,7 +61,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash, op11_conversations)}
 OP3_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 drawn AS (SELECT *, (CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM sized),
