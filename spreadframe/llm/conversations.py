@@ -12,7 +12,6 @@ or an assistant turn came last.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ AFTER = np.array([USER, USER, ASSISTANT, USER])
 #: Rows, or bytes of text, gathered before whole conversations are repaired, and cells of a cost array.
 ROWS, BYTES, CELLS = 1 << 16, 1 << 24, 1 << 22
 SPACE = " \t\n\v\f\r"
-RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
+RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired array<struct<role: string, text: string>>"
 
 
 def damage(rows: DataFrame) -> DataFrame:
@@ -141,7 +140,7 @@ def _repair(rows: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
     illegal = np.bincount(conv[1:][wrong], minlength=n).astype(np.int64) if len(conv) else np.zeros(n, dtype=np.int64)
     lengths = np.bincount(conv, minlength=n)
     begins = np.cumsum(lengths) - lengths
-    cost, audit, sha = np.zeros(n, dtype=np.int64), [""] * n, [hashlib.sha256(b"").hexdigest()] * n
+    cost, audit, repaired = np.zeros(n, dtype=np.int64), [""] * n, [[] for _ in range(n)]
     # conversations of like length side by side: a bucket reaches from half its longest up
     bucket = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)
     for b in np.unique(bucket[lengths > 0]):
@@ -158,11 +157,11 @@ def _repair(rows: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
             for k, c in enumerate(part.tolist()):
                 steps = lines[k][lines[k] > 0].tobytes()
                 audit[c] = steps.decode("ascii")
-                sha[c] = _digest(steps, role[begins[c] : begins[c] + lengths[c]], text[begins[c] : begins[c] + lengths[c]])
-    return pd.DataFrame({"conv_id": ids, "gaps": gaps, "blank": count(blank), "duplicate": count(duplicate), "truncated": count(cut), "illegal": illegal, "cost": cost, "audit": audit, "repaired_sha256": sha})
+                repaired[c] = list(repaired_turns(steps, role[begins[c] : begins[c] + lengths[c]], text[begins[c] : begins[c] + lengths[c]]))
+    return pd.DataFrame({"conv_id": ids, "gaps": gaps, "blank": count(blank), "duplicate": count(duplicate), "truncated": count(cut), "illegal": illegal, "cost": cost, "audit": audit, "repaired": repaired})
 
 
-def repaired_turns(steps: bytes, roles, texts) -> Iterator[tuple[str, str]]:
+def repaired_turns(steps: bytes, roles, texts) -> Iterator[dict[str, str]]:
     """Roles and texts that the edits make of a conversation's rows."""
     row, last = 0, ""
     for step in steps:
@@ -174,26 +173,19 @@ def repaired_turns(steps: bytes, roles, texts) -> Iterator[tuple[str, str]]:
             role, text = (roles[row] if step == ord("K") else role), texts[row]
             row += 1
         last = role[0]
-        yield role, text
-
-
-def _digest(steps: bytes, roles, texts) -> str:
-    h = hashlib.sha256()
-    for i, (role, text) in enumerate(repaired_turns(steps, roles, texts)):
-        h.update(f"{chr(10) if i else ''}{role}:{text}".encode("utf-8"))
-    return h.hexdigest()
+        yield {"role": role, "text": text}
 
 
 def repair_conversations(rows: DataFrame) -> DataFrame:
-    """Counts of faults, the cheapest repair and its digest for each conversation of ``rows``.
+    """Counts of faults, the cheapest repair and its turns for each conversation of ``rows``.
 
     ``rows`` has conv_id, turn, role, text and copies (how often the row stands there, 0 for a
     row that is gone but whose conversation is still reported); other columns are ignored but
     for ``_role`` and ``_text``, which order rows of one turn, role and text else. Null turns
     come first, a null conv_id is a conversation of its own, nulls in role and text are one
     space; repeated rows stand next to each other and count as duplicates. Empty texts are
-    blank. An empty table gives no rows. A conversation's rows are in one task, as one hash
-    runs over them; a task holds some ten thousand rows, or one longer conversation.
+    blank. An empty table gives no rows. A conversation's rows are in one task, as its
+    repair is one row; a task holds some ten thousand rows, or one longer conversation.
     """
     order = [c for c in ("_role", "_text") if c in rows.columns] or ["role", "text"]
 
