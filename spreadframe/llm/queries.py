@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, licences, mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, substrings, toxicity
+from . import alignment, conversations, licences, mixing, nearest, neardup_vectors, packing, pii, rans, sharding, simhash, substrings, toxicity
 
 
 def tokenizer_file() -> str:
@@ -14,6 +14,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,12 +77,17 @@ def digested(repairs: DataFrame) -> DataFrame:
     return repairs.withColumn("repaired_sha256", F.sha2(F.concat_ws("\n", lines).cast("binary"), 256)).drop("repaired")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda g: F.when(g == "", "").otherwise(F.sha2(g.cast("binary"), 256))
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), tokenizer_file(), piece_file(), digest).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash, op11_conversations, op13_substrings)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_licences, op3_mixing, op4_toxicity, op5_vector_near_dedup, op6_packing, op7_token_files, op8_sharding, op9_pii, op10_simhash, op11_conversations, op12_alignment, op13_substrings)}
 OP3_SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 drawn AS (SELECT *, (CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || CAST(size AS VARCHAR)), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM sized),

@@ -14,8 +14,6 @@ a chunk, and the sketch is never whole in one place: its width follows the size
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import new_path, written
+from ..shared import written
+from .chunks import CHUNK, bucketed, buckets_for, edges, squeeze, unsqueeze
 
-#: Characters of a chunk, about; one longer text is a chunk of its own.
-CHUNK = 1 << 23
 #: Rows of the sketch (hash functions), counters in a row for each six bytes of text, and counters of a stripe.
 DEPTH, SPARE, STRIPE = 2, 8, 1 << 26
 #: Windows of the input for each task of the exact pass.
 EXACT = 1 << 22
-#: Buckets of a table at most.
-BUCKETS = 50_000
 # odd multipliers of the mixes; fixed values
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -105,31 +100,6 @@ class Chunk:
         return np.array(rows, dtype=np.uint64).reshape(DEPTH, len(self.starts))
 
 
-# --- small codecs of what travels
-
-
-def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers of one length, byte planes apart, compressed."""
-    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    n, out, at = len(raw) // sum(sizes), [], 0
-    for k, s in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(raw[at : at + n * s].reshape(s, n).T).view(k).ravel())
-        at += n * s
-    return out
-
-
-def _edges(labels: np.ndarray) -> list[tuple[int, int, int]]:
-    """(label, from, to) of the runs of a sorted array."""
-    at = np.flatnonzero(np.diff(labels, prepend=-1)).tolist()
-    return [(int(labels[a]), a, b) for a, b in zip(at, [*at[1:], len(labels)])]
-
-
 def _bits(replies: pd.DataFrame) -> np.ndarray:
     """Answers to a chunk in the order of its stripes."""
     rows = replies.sort_values("stripe")
@@ -152,7 +122,7 @@ def _touched(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch_rows(chunk: Chunk, number: int, width: int) -> Iterator[tuple]:
     """A chunk's sketch by stripe: gaps between its counters, and which it touches twice or more."""
     cells, twice = _touched(chunk, width)
-    for stripe, a, b in _edges((cells // np.uint64(STRIPE)).astype(np.int64)):
+    for stripe, a, b in edges((cells // np.uint64(STRIPE)).astype(np.int64)):
         local = (cells[a:b] - np.uint64(stripe * STRIPE)).astype(np.uint32)
         yield number, stripe, b - a, squeeze(np.diff(local, prepend=np.uint32(0)), twice[a:b].astype(np.uint8))
 
@@ -201,7 +171,7 @@ def entry_rows(chunk: Chunk, number: int, width: int, replies: pd.DataFrame, tas
     none = np.array([i is None for i in chunk.ids], dtype=np.uint8)
     ids = np.array([i or 0 for i in chunk.ids], dtype=np.int64)
     stripes = (e.a >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)
-    for stripe, a, b in _edges(stripes.astype(np.int64)):
+    for stripe, a, b in edges(stripes.astype(np.int64)):
         d = doc[a:b]
         yield number, stripe, b - a, squeeze(e.a[a:b], e.b[a:b], none[d], ids[d], (start[a:b] - chunk.begins[d]).astype(np.int64))
 
@@ -250,21 +220,6 @@ def kept_words(chunk: Chunk, width: int, size: int, replies: pd.DataFrame, first
     return pd.DataFrame({"doc_id": pd.array(chunk.ids, dtype="Int64"), "n_words": chunk.ends - chunk.begins, "n_removed": lost, "kept": texts})
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key`` without a shuffle before."""
-    spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    df.write.option("path", new_path(spark, "chunks")).bucketBy(buckets, key).saveAsTable(name)
-
-    def forget() -> None:
-        try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        except Exception:  # the session may have ended, and the catalog with it
-            pass
-
-    atexit.register(forget)
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words joined by one space) of each document.
 
@@ -282,7 +237,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     windows = volume // 6 + 1
     width = 1 << max(10, (SPARE * windows - 1).bit_length())
     tasks = windows // EXACT + 1
-    buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * (volume // CHUNK + 1)))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -312,15 +266,15 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             for number, body in zip(batch["chunk"], batch["body"]):
                 yield framed(sketch_rows(opened(body), number, width))
 
-    def exact(key, texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def exact(key: tuple, texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         parts = [framed(entry_rows(opened(body), key[0], width, replies, tasks)) for body in texts["body"]]
         return pd.concat(parts) if parts else framed(iter(()))
 
-    def apply(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         parts = [kept_words(opened(body), width, window, answers[answers["kind"] == 0], answers[answers["kind"] == 1]) for body in texts["body"]]
         return pd.concat(parts) if parts else pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "n_words": [], "n_removed": [], "kept": []})
 
-    table = _bucketed(own.mapInPandas(chunks, "chunk long, body binary"), "chunk", buckets)
+    table = bucketed(own.mapInPandas(chunks, "chunk long, body binary"), "chunk", buckets_for(spark, volume))
     often = written(table.mapInPandas(sketched, SENT).groupBy("stripe").applyInPandas(merge_sketches, SENT), "often")
     entries = table.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInPandas(exact, SENT)
     first = written(entries.groupBy("stripe").applyInPandas(first_places, SENT), "first")
