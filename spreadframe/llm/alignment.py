@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ STRIPES = 250
 #: Chunks that a task adds up at once, about.
 FOLD = 256
 #: Words of the second side remembered by a Python worker.
-WORDS = 400_000
+WORDS = 300_000
+#: Characters of a chunk; the different pairs of a chunk are few, so its size matters for memory alone.
+PART = CHUNK >> 2
 MARK = "▁"
 
 _sides: dict[tuple[str, str], tuple["FirstSide", "SecondSide"]] = {}
@@ -51,7 +54,9 @@ class FirstSide:
         self.encoder = Encoder(path)
         tokenizer, back = self.encoder.tokenizer, byte_of_character()
         names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        self.signs: pa.Array | None = None
         self.bytes_of = pa.array([bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in names], pa.large_binary())
+        self.lengths = pc.binary_length(self.bytes_of).to_numpy()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.encoder.encode([" " + t for t in texts])
@@ -71,10 +76,14 @@ class SecondSide:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.by_word = not any(MARK in t.lstrip(MARK) for t in names)
         self.bytes_of = pa.array([bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(names)], pa.large_binary())
+        self.lengths = pc.binary_length(self.bytes_of).to_numpy()
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
+        lists = self.model.encode(texts, num_threads=1)
+        raw = np.fromiter(chain.from_iterable(lists), dtype="<u4").tobytes()
+        ends = (4 * np.cumsum([0, *map(len, lists)])).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # runs of spaces, and spaces at the ends, are pieces of several spaces
@@ -124,9 +133,8 @@ class Aligned:
         fits = [bool(t) and x and y for t, x, y in zip(texts, *good)]
         a, b = ([i if f else b"" for i, f in zip(ids, fits)] for ids in (a, b))
         self.n_a, self.n_b = (np.array([len(i) // 4 for i in ids], dtype=np.int64) for ids in (a, b))
-        self.a, self.b = (np.frombuffer(b"".join(ids), "<u4").astype(np.int64) for ids in (a, b))
-        _, ends_a, _ = _joined(first.bytes_of, self.a, self.n_a)
-        _, ends_b, _ = _joined(second.bytes_of, self.b, self.n_b)
+        self.a, self.b = (np.frombuffer(b"".join(ids), "<u4") for ids in (a, b))
+        ends_a, ends_b = np.cumsum(first.lengths[self.a]), np.cumsum(second.lengths[self.b])
         # both sides hold the same bytes, so ends compare across the whole chunk
         at = np.searchsorted(ends_b, ends_a)
         shared = ends_b[at] == ends_a if len(ends_b) else np.zeros(0, dtype=bool)
@@ -139,22 +147,28 @@ class Aligned:
         na, nb = len(self.a), len(self.b)
         if not na:
             return [""] * len(self.n_a)
-        kinds = pa.array([f"{i}{sign}" for n, signs in ((len(first.bytes_of), ",|"), (len(second.bytes_of), (",", ";", ""))) for sign in signs for i in range(n)], pa.large_string())
-        end_a, end_b = np.zeros(na, dtype=np.int64), np.zeros(nb, dtype=np.int64)
+        if first.signs is None or len(first.signs) != 2 * len(first.bytes_of) + 3 * len(second.bytes_of):
+            first.signs = pa.array([f"{i}{sign}" for n, ends in ((len(first.bytes_of), ",|"), (len(second.bytes_of), (",", ";", ""))) for sign in ends for i in range(n)], pa.large_string())
+        end_a, end_b = np.zeros(na, dtype=np.int32), np.zeros(nb, dtype=np.int32)
         end_a[self.last_a] = end_b[self.last_b] = 1
         group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
         before = np.concatenate(([0], self.last_b + 1))
-        order = np.empty(na + nb, dtype=np.int64)
+        order = np.empty(na + nb, dtype=np.int32)
         end_b[np.cumsum(self.n_b)[self.n_b > 0] - 1] = 2
-        order[np.arange(na) + before[group_a]] = self.a + end_a * len(first.bytes_of)
-        order[np.arange(nb) + self.last_a[group_b] + 1] = self.b + 2 * len(first.bytes_of) + end_b * len(second.bytes_of)
-        data, _, ends = _joined(kinds, order, self.n_a + self.n_b)
+        order[np.arange(na) + before[group_a]] = self.a.astype(np.int32) + end_a * len(first.bytes_of)
+        order[np.arange(nb) + self.last_a[group_b] + 1] = self.b.astype(np.int32) + 2 * len(first.bytes_of) + end_b * len(second.bytes_of)
+        data, _, ends = _joined(first.signs, order, self.n_a + self.n_b)
         return [str(data[x:y], "ascii") for x, y in zip([0, *ends.tolist()], ends.tolist())]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The different linked pairs by stripe, second and first id, their counts, and the pair of each link."""
-        a, b = self.a[self.last_a], self.b[self.last_b]
-        key, link, n = np.unique((b % STRIPES) << 48 | (b // STRIPES) << 32 | a, return_inverse=True, return_counts=True)
+        a, b = self.a[self.last_a].astype(np.int64), self.b[self.last_b].astype(np.int64)
+        link, key = pd.factorize((b % STRIPES) << 48 | (b // STRIPES) << 32 | a)
+        order = np.argsort(key)
+        place = np.empty(len(key), dtype=np.int64)
+        place[order] = np.arange(len(key))
+        key, link = key[order], place[link]
+        n = np.bincount(link, minlength=len(key))
         return key & 0xFFFFFFFF, ((key >> 32) & 0xFFFF) * STRIPES + (key >> 48), n.astype(np.int64), link
 
 
@@ -199,7 +213,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, groups: Callable[[Col
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     volume = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    salts = volume // (FOLD * CHUNK) + 1
+    salts = volume // (FOLD * PART) + 1
 
     def chunk_rows(number: int, ids: list, texts: list) -> pd.DataFrame:
         one, two = sides(first, second)
@@ -222,7 +236,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, groups: Callable[[Col
                 ids.append(None if pd.isna(doc) else int(doc))
                 texts.append(text if isinstance(text, str) else None)
                 size += len(texts[-1] or "")
-                if size >= CHUNK:
+                if size >= PART:
                     yield chunk_rows(number, ids, texts)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
@@ -256,7 +270,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, groups: Callable[[Col
         out = documents[["doc_id", "n_a", "n_b", "n_groups"]].assign(doc_id=documents["doc_id"].astype("Int64"))
         return out.assign(n_links=documents["n_groups"], n_best=n_best, count_sum=count_sum, groups=documents["groups"])
 
-    table = bucketed(own.mapInPandas(chunks, TABLE).withColumn("groups", groups(F.col("groups"))), "chunk", buckets_for(spark, volume))
+    table = bucketed(own.mapInPandas(chunks, TABLE).withColumn("groups", groups(F.col("groups"))), "chunk", buckets_for(spark, 2 * volume))
     salt = F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")
     pairs = table.where("stripe >= 0").select("chunk", "stripe", "n", "body", salt.alias("salt"))
     part = pairs.groupBy("stripe", "salt").applyInPandas(folded, SENT)
