@@ -6,6 +6,8 @@ what is sequential (the next hub of the 2-core, the next node of a cover) costs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from . import selectors, structure
 from .components import connected_components
 
 
+#: Rounds of peeling that one job does.
+STEPS = 3
+
+
 def _without(edges: DataFrame, nodes: list[int]) -> DataFrame:
     return edges.where(~F.col("src").isin(nodes) & ~F.col("dst").isin(nodes)) if nodes else edges
 
@@ -28,8 +34,11 @@ def peeled(edges: DataFrame) -> DataFrame:
     now = written(edges.select("src", "dst"), "core")
     n = now.count()
     while n:
-        inner = now.groupBy("src").agg(F.count("*").alias("d")).where("d >= 2").select(F.col("src").alias("node"))
-        new = written(now.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi"), "core")
+        step = now
+        for _ in range(STEPS):
+            inner = step.groupBy("src").agg(F.count("*").alias("d")).where("d >= 2").select(F.col("src").alias("node"))
+            step = step.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi")
+        new = written(step, "core")
         left = new.count()
         drop_table(now)
         now, before, n = new, n, left
@@ -60,7 +69,7 @@ def tree_sizes(forest: DataFrame) -> DataFrame:
     """
     arcs = written(forest.select("src", "dst").distinct(), "arcs")
     sizes = written(arcs.select(F.col("src").alias("node")).distinct().withColumn("size", F.lit(1).cast("long")), "sizes")
-    out = sizes.limit(0).select("node", F.lit(None).cast("long").alias("parent"), "size")
+    out: list[DataFrame] = []
     while not arcs.isEmpty():
         ends = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"), F.min("dst").alias("parent")).where("d = 1").select("node", "parent")
         twin = ends.select(F.col("node").alias("parent"), F.col("parent").alias("node"))
@@ -69,14 +78,15 @@ def tree_sizes(forest: DataFrame) -> DataFrame:
         leaves = written(kept.join(sizes, "node").select("node", "parent", "size"), "leaves")
         if leaves.isEmpty():
             raise ValueError("a cycle is left: not a forest")
-        out = written(out.unionByName(leaves), "below")
+        out.append(leaves)
         add = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("more"))
         sizes = written(sizes.join(leaves, "node", "left_anti").join(add, "node", "left").select("node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
         gone = leaves.select(F.col("node").alias("x"))
         new = written(arcs.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti"), "arcs")
         drop_table(arcs)
         arcs = new
-    return out.unionByName(sizes.select("node", F.lit(None).cast("long").alias("parent"), "size"))
+    roots = sizes.select("node", F.lit(None).cast("long").alias("parent"), "size")
+    return reduce(DataFrame.unionByName, out, roots)
 
 
 def centroids(forest: DataFrame) -> DataFrame:
