@@ -13,11 +13,15 @@ from __future__ import annotations
 
 import random
 import re
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 UNKNOWN = "unknown"
 # opening words of public licence texts and usual one-line notices; fixed values
 TEMPLATES = [
@@ -64,28 +68,41 @@ TEMPLATES = [
     ("Unlicense", "Released under the Unlicense."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 ]
+# names and tags by which texts refer to these licences; fixed values
+NAMES = {
+    "MIT": ["MIT License", "MIT-licensed", "Expat License"], "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache-2.0", "Apache License v2.0", "Apache License, Version 2"],
+    "GPL-3.0": ["GPLv3", "GPL v3", "GPL version 3", "GPL-3.0", "GNU GPL 3", "GNU General Public License v3.0", "GNU General Public License 3.0"], "GPL-2.0": ["GPLv2", "GPL v2", "GPL version 2", "GPL-2.0", "GNU GPL 2", "GNU General Public License v2.0", "GNU General Public License 2.0"],
+    "LGPL-2.1": ["LGPLv2.1", "LGPL v2.1", "LGPL version 2.1", "LGPL-2.1", "GNU Lesser General Public License v2.1"], "LGPL-3.0": ["LGPLv3", "LGPL v3", "LGPL version 3", "LGPL-3.0", "GNU Lesser General Public License v3.0"],
+    "AGPL-3.0": ["AGPLv3", "AGPL v3", "AGPL version 3", "AGPL-3.0", "GNU Affero General Public License v3.0"], "BSD-3-Clause": ["BSD 3-Clause License", "3-clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-clause BSD License", "Simplified BSD License", "BSD-2-Clause"], "ISC": ["ISC License"], "CC0-1.0": ["CC0 1.0", "CC0-1.0 Universal"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"],
+    "MPL-2.0": ["MPL 2.0", "MPLv2", "Mozilla Public License 2.0", "Mozilla Public License v2.0"], "EPL-2.0": ["EPL 2.0", "Eclipse Public License v2.0", "Eclipse Public License - v 2.0"], "Unlicense": ["the Unlicense"],
+}
+TAGS = {f: [f] if "GPL" not in f else [f, f"{f}-only", f"{f}-or-later"] for f in NAMES}
+TEMPLATES += [(f, n) for f, names in NAMES.items() for n in names] + [(f, f"SPDX-License-Identifier: {t}") for f, tags in TAGS.items() for t in tags]
 # of each family: words of which one sequence of each row must occur, and sequences of its neighbours that must not; fixed values
-_V2, _V21, _V3 = ["version 2", "v2", "v 2", "gplv2"], ["version 2 1", "v2 1", "v 2 1"], ["version 3", "v3", "v 3", "gplv3"]
+_V2, _V21, _V3 = ["version 2", "v2", "v 2", "gplv2", "gpl 2", "license 2"], ["version 2 1", "v2 1", "v 2 1", "lgplv2 1", "lgpl 2 1", "license 2 1"], ["version 3", "v3", "v 3", "gplv3", "gpl 3", "license 3", "lgplv3", "lgpl 3", "agplv3", "agpl 3"]
 MARKS: dict[str, tuple[list[list[str]], list[str]]] = {
-    "MIT": ([["mit license", "to deal in the software"]], ["isc license", "clear bsd"]),
-    "Apache-2.0": ([["apache license version 2 0", "basis without warranties or conditions of any kind"]], ["version 1 1", "version 1 0"]),
-    "GPL-3.0": ([["gnu general public license"], _V3], ["lesser", "affero", "library general", *_V2]),
-    "GPL-2.0": ([["gnu general public license"], _V2], ["lesser", "affero", "library general", *_V3]),
-    "LGPL-2.1": ([["lesser general public license"], _V21], _V3),
-    "LGPL-3.0": ([["lesser general public license"], _V3], _V2),
-    "AGPL-3.0": ([["affero general public license"], _V3], _V2),
-    "BSD-3-Clause": ([["bsd 3 clause", "neither the name of"]], ["bsd 2 clause", "bsd 4 clause", "all advertising materials"]),
-    "BSD-2-Clause": ([["bsd 2 clause", "simplified bsd"]], ["bsd 3 clause", "bsd 4 clause", "neither the name of"]),
-    "ISC": ([["isc license", "for any purpose with or without fee is hereby granted provided that the above copyright notice"]], ["mit license", "0bsd", "zero clause"]),
+    "MIT": ([["mit license", "mit licensed", "expat license", "to deal in the software", "identifier mit"]], ["isc license", "clear bsd", "mit 0"]),
+    "Apache-2.0": ([["apache license version 2", "apache license 2 0", "apache 2 0", "apache license v2 0", "basis without warranties or conditions of any kind"]], ["version 1 1", "version 1 0", "apache 1 1"]),
+    "GPL-3.0": ([["gnu general public license", "gnu gpl", "gpl", "gplv3"], _V3], ["lesser", "affero", "library general", "lgpl", "agpl", "lgplv3", "agplv3", *_V2]),
+    "GPL-2.0": ([["gnu general public license", "gnu gpl", "gpl", "gplv2"], _V2], ["lesser", "affero", "library general", "lgpl", "agpl", "lgplv2", *_V3]),
+    "LGPL-2.1": ([["lesser general public license", "lgpl", "lgplv2"], _V21], _V3),
+    "LGPL-3.0": ([["lesser general public license", "lgpl", "lgplv3"], _V3], [*_V2, "lgplv2", "lgpl 2"]),
+    "AGPL-3.0": ([["affero general public license", "agpl", "agplv3"], _V3], _V2),
+    "BSD-3-Clause": ([["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "neither the name of"]], ["bsd 2 clause", "2 clause bsd", "bsd 4 clause", "4 clause bsd", "all advertising materials", "clause clear"]),
+    "BSD-2-Clause": ([["bsd 2 clause", "2 clause bsd", "simplified bsd"]], ["bsd 3 clause", "3 clause bsd", "bsd 4 clause", "4 clause bsd", "neither the name of", "2 clause patent", "clause views"]),
+    "ISC": ([["isc license", "identifier isc", "for any purpose with or without fee is hereby granted provided that the above copyright notice"]], ["mit license", "0bsd", "zero clause"]),
     "CC0-1.0": ([["cc0 1 0"]], []),
     "CC-BY-4.0": ([["cc by 4 0", "commons attribution 4 0"]], ["sharealike", "noncommercial", "noderivatives", "by sa", "by nc", "by nd"]),
     "CC-BY-SA-4.0": ([["cc by sa 4 0", "attribution sharealike 4 0"]], ["noncommercial", "noderivatives", "by nc", "by nd"]),
     "CC-BY-NC-4.0": ([["cc by nc 4 0", "attribution noncommercial 4 0"]], ["sharealike", "noderivatives", "by sa", "nc sa", "nc nd"]),
     "CC-BY-ND-4.0": ([["cc by nd 4 0", "attribution noderivatives 4 0"]], ["sharealike", "noncommercial", "by nc", "by sa"]),
     "CC-BY-NC-SA-4.0": ([["cc by nc sa 4 0", "noncommercial sharealike 4 0"]], ["noderivatives"]),
-    "MPL-2.0": ([["mozilla public license v 2 0", "mozilla public license version 2 0"]], ["version 1 1", "version 1 0"]),
-    "EPL-2.0": ([["eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v 2 0"]], ["license 1 0", "version 1 0", "v 1 0"]),
-    "Unlicense": ([["the unlicense", "free and unencumbered software"]], []),
+    "MPL-2.0": ([["mozilla public license v 2 0", "mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0", "mplv2"]], ["version 1 1", "version 1 0", "mpl 1 1"]),
+    "EPL-2.0": ([["eclipse public license 2 0", "eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license v2 0", "epl 2 0"]], ["license 1 0", "version 1 0", "v 1 0", "epl 1 0"]),
+    "Unlicense": ([["the unlicense", "identifier unlicense", "free and unencumbered software"]], []),
 }
 # licences and notices outside these families: the unknown class's own texts; fixed values
 OTHERS = [
@@ -101,11 +118,13 @@ OTHERS = [
     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: All advertising materials mentioning features or use of this software must display the following acknowledgement",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    *(f"SPDX-License-Identifier: {t}" for t in ("Zlib", "BSL-1.0", "CC-BY-NC-ND-4.0", "Apache-1.1", "MPL-1.1", "EPL-1.0", "CC-BY-3.0", "CC-BY-SA-3.0", "OFL-1.1", "GFDL-1.3-only", "BSD-4-Clause", "Python-2.0", "LGPL-2.0-only", "GPL-1.0-only", "CDDL-1.0", "EUPL-1.2")),
+    "The team studied at MIT for two years.", "The Apache web server 2.0 was installed on the machine.", "Version 3 of the software was released to the public.", "The ISC conference is open to the public.", "You may copy this work and use it in your own work.",
 ]
 FAMILIES = [UNKNOWN, *MARKS]
+# words that any text has; n-grams of these alone are no feature; fixed values
+FUNCTION_WORDS = frozenset("a an and any are as at be by for from if in into is it may no not of on or that the their these this to under use used was with without work you your".split())
 LENGTHS = (1, 2, 3)
-#: Every template has a word with one of these; a paragraph or line without any is not a licence's.
-ANCHOR = r"(?i)licen[cs]|redistribut|permission|public domain|unencumbered|warrant|copyright|cc0|endorse"
 #: Paragraphs of the corpus that the classifier is trained on, documents they come from, and their characters, at most.
 SAMPLE = 4000
 SAMPLE_DOCS = 400
@@ -118,14 +137,15 @@ LEAST = 0.5
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return re.findall(r"[a-z0-9]+", text.lower().replace("licence", "license"))
 
 
 def _grams(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + n]) for n in LENGTHS for i in range(len(words) - n + 1)}
+    """N-grams with a word that says something."""
+    return {" ".join(words[i : i + n]) for n in LENGTHS for i in range(len(words) - n + 1) if not FUNCTION_WORDS.issuperset(words[i : i + n])}
 
 
-VOCABULARY = sorted(set().union(*(_grams(_words(t)) for _, t in TEMPLATES)) | {" ".join(s.split()[i : i + 3]) for _, bars in MARKS.values() for s in bars for i in range(max(1, len(s.split()) - 2))})
+VOCABULARY = sorted(set().union(*(_grams(_words(t)) for _, t in TEMPLATES)) | {" ".join(s.split()[i : i + 3]) for _, bars in MARKS.values() for s in bars for i in range(max(1, len(s.split()) - 2)) if not FUNCTION_WORDS.issuperset(s.split()[i : i + 3])})
 #: Words that set families apart: variants of a template keep them.
 _KEPT = {w for needs, bars in MARKS.values() for s in (*(s for alternatives in needs for s in alternatives), *bars) for w in s.split()}
 
@@ -154,7 +174,8 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     known = set().union(*held)
     grams = [known & _grams(w) for w in plain]
     plain = [w for w, g in zip(plain, grams) if all(len(h & g) < 0.5 * len(h) for h in held)]
-    loose = [w for _, t in TEMPLATES for w in _words(t)]
+    names = {w[0] for _, t in TEMPLATES if len(w := _words(t)) == 1}
+    loose = [w for _, t in TEMPLATES for w in _words(t) if w not in names]
 
     def rows(texts: list[list[str]], part: list[list[str]], copies: int) -> list[tuple[int, list[str]]]:
         out = [(FAMILIES.index(f), _variant(_words(t), other, rng)) for f, t in TEMPLATES for _ in range(copies)]
@@ -162,7 +183,7 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
         return out + [(0, rng.sample(loose, rng.randrange(1, 9)) + rng.choices(other or loose, k=6)) for _ in range(8 * copies)]
 
     # calibration sees paragraphs and whole other licences that training does not
-    train, check = rows(licences[::3] + licences[1::3], plain[::2], 24), rows(licences[2::3], plain[1::2], 6)
+    train, check = rows(licences[::3] + licences[1::3], plain[::2], 12), rows(licences[2::3], plain[1::2], 4)
 
     def matrix(part: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(part), len(VOCABULARY)), dtype=np.float32)
@@ -173,10 +194,15 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     (x, y), (cx, cy) = matrix(train), matrix(check)
     w, b = np.zeros((x.shape[1], len(FAMILIES)), dtype=np.float32), np.zeros(len(FAMILIES), dtype=np.float32)
     target = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    # steps are scaled by what a weight has moved before, so that rare n-grams learn as fast as common ones
+    seen, seen_b = np.full_like(w, 1e-10), np.full_like(b, 1e-10)
     for _ in range(150):
         g = _softmax(x @ w + b) - target
-        w -= 2.0 * (x.T @ g / len(x) + 1e-4 * w)
-        b -= 2.0 * g.mean(0)
+        gw, gb = x.T @ g / len(x) + 1e-6 * w, g.mean(0)
+        seen += gw * gw
+        seen_b += gb * gb
+        w -= 0.3 * gw / np.sqrt(seen)
+        b -= 0.3 * gb / np.sqrt(seen_b)
 
     def loss(t: float) -> float:
         return float(-np.log(np.maximum(_softmax((cx @ w + b) / t)[np.arange(len(cy)), cy], 1e-12)).mean())
@@ -186,25 +212,39 @@ def fit(sample: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(text: str) -> list[bool]:
-    """Whether a text holds the words of each family, in plain Python: what :func:`_marked` says in columns."""
+    """Whether a text holds the words of each family, in plain Python."""
     flat = f" {' '.join(_words(text))} "
     return [all(any(f" {s} " in flat for s in any_of) for any_of in needs) and not any(f" {s} " in flat for s in bars) for needs, bars in MARKS.values()]
 
 
-def _marked(flat: Column) -> Column:
-    has = lambda s: flat.contains(f" {s} ")
-    out = [F.lit(False)]
-    for needs, bars in MARKS.values():
-        hit = F.lit(True)
-        for any_of in needs:
-            some = F.lit(False)
-            for s in any_of:
-                some = some | has(s)
-            hit = hit & some
-        for s in bars:
-            hit = hit & ~has(s)
-        out.append(hit)
-    return F.array(*out)
+def _marked(family: Column, flat: Column) -> Column:
+    """The same for the predicted family alone."""
+    has = lambda some: reduce(or_, (flat.contains(f" {x} ") for x in some), F.lit(False))
+    out = F.when(F.lit(False), False)
+    for f, (needs, bars) in MARKS.items():
+        out = out.when(family == f, reduce(and_, map(has, needs)) & ~has(bars))
+    return out.otherwise(False)
+
+
+def telling_words(w: np.ndarray, b: np.ndarray) -> list[str]:
+    """Words of which a text must hold one to leave the unknown class.
+
+    Words are set aside one by one, those that speak least for any family first, as long as all n-grams
+    of set-aside words together could not lift any family over the unknown class. So a text without
+    any of the others is unknown, whatever else it holds: the filter drops nothing.
+    """
+    gain = np.maximum(0, w[:, 1:] - w[:, :1])
+    room = b[0] - b[1:]
+    at = {g: i for i, g in enumerate(VOCABULARY)}
+    longer = [(g.split(), i) for g, i in at.items() if " " in g]
+    aside: set[str] = set()
+    spent = np.zeros(len(FAMILIES) - 1)
+    for word in sorted((g for g in at if " " not in g), key=lambda g: (gain[at[g]].max(), g)):
+        more = gain[at[word]] + sum((gain[i] for parts, i in longer if word in parts and all(p == word or p in aside for p in parts)), np.zeros(len(FAMILIES) - 1))
+        if (spent + more < room).all():
+            aside.add(word)
+            spent += more
+    return [g for g in VOCABULARY if " " not in g and g not in aside]
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -224,8 +264,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     blank lines separate from 0; line is null for the paragraph as a whole, and counts the
     lines of one that has several. The probability is the family's by the calibrated
     classifier and similarity the largest share of a template's n-grams that the text
-    holds, of that family. Null and empty texts, texts without any word of ``ANCHOR`` and
-    those of the unknown class give no row; very long texts and lines are read whole;
+    holds, of that family. Null and empty texts and those of the unknown class give no row;
+    very long texts and lines are read whole; texts without a telling word, which cannot leave the
+    unknown class (see :func:`telling_words`), are set aside before n-grams are made;
     repeated rows give theirs again, told apart by nothing. An empty table gives none.
     """
     spark = docs.sparkSession
@@ -238,31 +279,32 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     sizes = []
     for k, (_, t) in enumerate(TEMPLATES):
         grams = _grams(_words(t))
-        sizes.append(len(grams))
+        sizes.append((k, TEMPLATES[k][0], len(grams)))
         for g in grams:
             held.setdefault(g, []).append(k)
-    weights = spark.createDataFrame([(g, [float(v) for v in w[i]], held.get(g, [])) for i, g in enumerate(VOCABULARY)], "gram string, w array<double>, held array<int>")
+    # the vocabulary is that of the templates: some thousand rows
+    weights = F.broadcast(spark.createDataFrame([(g, [float(v) for v in w[i]], held.get(g, [])) for i, g in enumerate(VOCABULARY)], "gram string, w array<double>, held array<int>"))
+    templates = F.broadcast(spark.createDataFrame(sizes, "template int, family string, size int"))
 
-    blocks = texts.where(F.col("text").rlike(ANCHOR)).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "_block"))
-    blocks = blocks.where(F.col("_block").rlike(ANCHOR))
+    telling = F.array(*map(F.lit, telling_words(w, b)))
+    spelt = lambda c: F.split(F.replace(F.lower(c), F.lit("licence"), F.lit("license")), r"[^a-z0-9]+")
+    blocks = texts.where(F.arrays_overlap(spelt(F.col("text")), telling)).select("doc_id", F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "_block"))
+    blocks = blocks.where(F.arrays_overlap(spelt(F.col("_block")), telling))
     lines = F.split("_block", r"\n")
     number = F.sequence(F.lit(0), F.size(lines) - 1)
     inner = F.when(F.size(lines) > 1, F.arrays_zip(number.alias("line"), lines.alias("_line"))).otherwise(F.array())
     whole = F.array(F.struct(F.lit(None).cast("int").alias("line"), F.col("_block").alias("_line")))
-    pieces = blocks.select("doc_id", "_row", "paragraph", F.inline(F.concat(whole, inner))).where(F.col("_line").rlike(ANCHOR))
-    words = F.filter(F.split(F.lower("_line"), r"[^a-z0-9]+"), lambda x: x != "")
-    pieces = pieces.select("doc_id", "_row", "paragraph", "line", words.alias("words"))
-    flat = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    grams = pieces.select("doc_id", "_row", "paragraph", "line", _marked(flat).alias("marks"), F.explode(F.array_distinct(F.concat(*(_runs(F.col("words"), n) for n in LENGTHS)))).alias("gram"))
-    # the vocabulary is that of the templates: some thousand rows
-    hits = grams.join(F.broadcast(weights), "gram")
-    summed = hits.groupBy("doc_id", "_row", "paragraph", "line", "marks").agg(
-        F.array(*(F.sum(F.col("w")[k]) + float(b[k]) for k in range(len(FAMILIES)))).alias("z"),
-        F.array(*(F.count_if(F.array_contains("held", k)) / float(sizes[k]) for k in range(len(TEMPLATES)))).alias("shares"),
-    )
-    of_family = lambda f: [F.col("shares")[k] for k, (g, _) in enumerate(TEMPLATES) if g == f]
-    like = F.array(F.lit(0.0), *(F.greatest(F.lit(0.0), *of_family(f)) for f in MARKS))
-    best = summed.select("*", like.alias("like"), F.array_max("z").alias("top")).withColumn("k", F.array_position("z", F.col("top")).cast("int"))
+    pieces = blocks.select("doc_id", "paragraph", F.inline(F.concat(whole, inner))).select("doc_id", "paragraph", "line", F.filter(spelt(F.col("_line")), lambda x: x != "").alias("words"))
+    pieces = written(pieces.where(F.arrays_overlap("words", telling)).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    hits = pieces.select("_piece", F.explode(F.array_distinct(F.concat(*(_runs(F.col("words"), n) for n in LENGTHS)))).alias("gram")).join(weights, "gram")
+    summed = hits.groupBy("_piece").agg(F.array(*(F.sum(F.col("w")[k]) + float(b[k]) for k in range(len(FAMILIES)))).alias("z"))
+    best = summed.select("*", F.array_max("z").alias("top")).withColumn("k", F.array_position("z", F.col("top")).cast("int"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    named = best.select("doc_id", "paragraph", "line", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k")).alias("family"), (1 / total).alias("probability"), (F.element_at("marks", F.col("k")) & (F.element_at("like", F.col("k")) >= CONFIRM)).alias("confirmed"), F.element_at("like", F.col("k")).alias("similarity"))
-    return named.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    named = best.select("_piece", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k")).alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    # templates and words are looked at for pieces with a family, and of that family alone
+    named = written(named.join(pieces, "_piece").withColumn("flat", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))), "named")
+    grams = named.select("_piece", "family", F.explode(F.array_distinct(F.concat(*(_runs(F.col("words"), n) for n in LENGTHS)))).alias("gram")).join(weights, "gram")
+    shares = grams.select("_piece", "family", F.explode("held").alias("template")).join(templates, ["template", "family"]).groupBy("_piece", "template", "size").agg((F.count("*") / F.col("size")).alias("share"))
+    like = shares.groupBy("_piece").agg(F.max("share").alias("like"))
+    similarity = F.coalesce("like", F.lit(0.0))
+    return named.join(like, "_piece", "left").select("doc_id", "paragraph", "line", "family", "probability", (_marked(F.col("family"), F.col("flat")) & (similarity >= CONFIRM)).alias("confirmed"), similarity.alias("similarity"))

@@ -31,11 +31,37 @@ NEIGHBOURS = [
 ]
 
 
+# frames and names that no template has; the first of each pair is the family, None for licences never trained on; fixed values
+FRAMES = ["Distributed under the terms of {}.", "The code in this folder is covered by {}, see the file at the top.", "Available under {}", "You can use it under {} if you like", "Use of this data is governed by {}", "Copyright 2019 the authors, {}."]
+REWORDED = [
+    ("MIT", "the MIT licence"), ("MIT", "an MIT license"), ("Apache-2.0", "the Apache 2.0 licence"), ("Apache-2.0", "Apache License (version 2.0)"), ("GPL-3.0", "GPLv3"), ("GPL-3.0", "the GNU GPL v3"), ("GPL-3.0", "the GNU General Public License, v3"), ("GPL-2.0", "GPLv2"), ("GPL-2.0", "the GPL, version 2"),
+    ("LGPL-2.1", "the LGPL v2.1"), ("LGPL-3.0", "the GNU LGPL version 3"), ("AGPL-3.0", "the AGPLv3"), ("AGPL-3.0", "the GNU AGPL v3"), ("BSD-3-Clause", "the three-clause BSD 3-clause licence"), ("BSD-3-Clause", "a 3-Clause BSD licence"), ("BSD-2-Clause", "the 2-clause BSD licence"),
+    ("CC-BY-4.0", "a CC BY 4.0 licence"), ("CC-BY-SA-4.0", "CC-BY-SA 4.0"), ("MPL-2.0", "the MPL 2.0"), ("EPL-2.0", "the EPL 2.0"), (None, "the zlib licence"), (None, "the SIL Open Font Licence 1.1"), (None, "the WTFPL"), (None, "the Beerware licence"), (None, "CC BY-NC-ND 3.0"), (None, "the Ruby licence"), (None, "the EUPL v1.2"),
+]
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     templates = [t for _, t in licences.TEMPLATES]
     wrapped = ["some words before\n\n" + textwrap.fill(t, 60, initial_indent=" * ", subsequent_indent=" * ") + "\n \nwords after" for t in templates]
-    return {"plain": scan(spark, [f"plain words here and there\n\n{t}" for t in templates]), "wrapped": scan(spark, wrapped), "neighbours": scan(spark, [t for _, t in NEIGHBOURS])}
+    return {"plain": scan(spark, [f"plain words here and there\n\n{t}" for t in templates]), "wrapped": scan(spark, wrapped), "neighbours": scan(spark, [t for _, t in NEIGHBOURS]), "reworded": scan(spark, [f.format(n) for _, n in REWORDED for f in FRAMES])}
+
+
+def test_reworded_notices_are_named(found):
+    families = [f for f, _ in REWORDED for _ in FRAMES]
+    named = [f in {r["family"] for r in rows} for f, rows in zip(families, found["reworded"]) if f]
+    assert len(named) >= 100 and sum(named) >= 0.9 * len(named)
+    wrong = [(f, [r["family"] for r in rows if r["confirmed"]]) for f, rows in zip(families, found["reworded"]) if {r["family"] for r in rows if r["confirmed"]} - {f}]
+    assert wrong == []
+
+
+def test_tags(spark):
+    ids = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "GPL-2.0-only", "LGPL-2.1-or-later", "BSD-3-Clause", "CC0-1.0", "MPL-2.0", "Unlicense"]
+    rows = scan(spark, [f"// SPDX-License-Identifier: {i}" for i in ids] + ["# SPDX-License-Identifier: Zlib", "This file is GPLv3.", "CC BY-SA 4.0"])
+    for i, r in zip(ids, rows):
+        assert {x["family"] for x in r if x["confirmed"]} == {i.replace("-or-later", "").replace("-only", "")}, (i, r)
+    assert not rows[-3] or not any(x["confirmed"] for x in rows[-3])
+    assert [x["family"] for x in rows[-2]] == ["GPL-3.0"] and [x["family"] for x in rows[-1]] == ["CC-BY-SA-4.0"]
 
 
 @pytest.mark.parametrize("kind", ["plain", "wrapped"])
@@ -76,7 +102,7 @@ def test_scan_equals_a_plain_version(spark, tiny, monkeypatch):
             lines = block.split("\n")
             for line, piece in [(None, block), *(enumerate(lines) if len(lines) > 1 else ())]:
                 grams = licences._grams(licences._words(piece))
-                if re.search(licences.ANCHOR, piece) and any(g in at for g in grams):
+                if any(g in at for g in grams):  # no filter: what has no vocabulary is unknown
                     z = w[[at[g] for g in grams if g in at]].sum(0) + b
                     p = licences._softmax(z[None])[0]
                     family = licences.FAMILIES[int(p.argmax())]
