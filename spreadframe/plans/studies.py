@@ -83,22 +83,22 @@ def spectral_ensemble_removal(spark, sf):
 
 # --- effects of actions: a brand's sales in a year under the suppliers' nations, by return flag
 
-_EFFECTS = ("eff", """SELECT p_brand || '#' || CAST(year(l_shipdate) AS VARCHAR) AS state, s_nationkey AS action, l_returnflag AS node, avg(l_tax) AS predicted, avg(l_discount) AS "true"
+_EFFECTS = ("eff", """SELECT p_brand || '#' || CAST(year(l_shipdate) AS VARCHAR) AS state, s_nationkey AS action, l_returnflag AS node, round(avg(l_tax), 9) AS predicted, round(avg(l_discount), 9) AS "true"
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3""")
 
 
 def effect_rows(spark, sf) -> DataFrame:
     li, p, s = (derived.table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
     j = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
-    return j.groupBy(F.concat_ws("#", "p_brand", F.year("l_shipdate").cast("string")).alias("state"), F.col("s_nationkey").alias("action"), F.col("l_returnflag").alias("node")).agg(F.avg("l_tax").alias("predicted"), F.avg("l_discount").alias("true"))
+    return j.groupBy(F.concat_ws("#", "p_brand", F.year("l_shipdate").cast("string")).alias("state"), F.col("s_nationkey").alias("action"), F.col("l_returnflag").alias("node")).agg(F.round(F.avg("l_tax"), 9).alias("predicted"), F.round(F.avg("l_discount"), 9).alias("true"))
 
 
 @query(sql("", """SELECT (SELECT CAST(sum(n * (n - 1) / 2) AS BIGINT) FROM (SELECT count(DISTINCT action) AS n FROM eff GROUP BY state)) AS pairs, count(*) AS scored, round(corr(dp, dt), 6) AS pearson, round(avg(abs(dp - dt)), 6) AS mae,
     round(avg(abs(dp - dt)) / avg(abs(dt)), 6) AS mae_norm, round(avg(abs(dp)) / avg(abs(dt)), 6) AS magnitude_ratio,
-    round(avg(CASE WHEN abs(dt) > 1e-3 THEN CASE WHEN sign(dp) = sign(dt) THEN 1e0 ELSE 0e0 END END), 4) AS sign_agree
+    round(avg(CASE WHEN abs(dt) > 1.23457e-3 THEN CASE WHEN sign(dp) = sign(dt) THEN 1e0 ELSE 0e0 END END), 4) AS sign_agree
     FROM (SELECT a.predicted - b.predicted AS dp, a."true" - b."true" AS dt FROM eff a JOIN eff b ON a.state = b.state AND a.node = b.node AND a.action < b.action)""", [_EFFECTS]))
 def counterfactual_effect(spark, sf):
-    found = effects.counterfactual_effect(effect_rows(spark, sf))
+    found = effects.counterfactual_effect(effect_rows(spark, sf), noise=1.23457e-3)  # no difference of means falls on this bound
     return r6(found, "pearson", "mae", "mae_norm", "magnitude_ratio").withColumn("sign_agree", F.round("sign_agree", 4))
 
 
