@@ -1,4 +1,4 @@
-"""Registered queries over decoders, dismantling, effects of actions and action logs, over graphs and tables that grow."""
+"""Registered queries over decoders, dismantling, effects of actions, action logs, rounds and hybrid forecasts, over graphs and tables that grow."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from ..core import Graph
 from ..functions.coins import coin, coin_sql
-from ..operators import decoders, dismantling, effects, inference, plan_checks, structure
+from ..operators import cascades, decoders, dismantling, effects, inference, plan_checks, rounds, selectors, structure
 from ..shared import written
 from ..sources import derived
-from .catalog import HOPS, history, longs, query, r6, seeds3, users
+from .catalog import HOPS, RUNS, WINDOW, binned, history, longs, query, r6, seeds3, sizes, users
 from .views import sql
 
 # --- decoders of a cascade over the user graph, half of whose steps are reported
@@ -223,3 +223,100 @@ def weak_runs(spark, sf):
 @query(sql("", "SELECT region, count(*) AS turns, max(coverage) AS max_coverage FROM cover WHERE weak AND turn > (SELECT max(turn) FROM cover) - 3 GROUP BY region HAVING count(*) = 3", [_COVER]))
 def persistent_weakness(spark, sf):
     return plan_checks.persistent_weakness(coverage(spark, sf), 3)
+
+
+# --- seeding in rounds: two, two and one seeds at times 0, 1 and 2, in each of eight realisations
+
+BATCHES = selectors.round_batches(5, 3)
+
+
+def _rounds_sql(score: str) -> list[tuple[str, str]]:
+    """Histories ``h`` of a policy that takes the nodes of largest ``score`` (SQL over ``d``, the degrees, and ``w.s``, the realisation) among the unreached."""
+    def picks(p: str | None, i: int) -> str:
+        seen = f"WHERE NOT EXISTS (SELECT 1 FROM {p} z WHERE z.sample = w.s AND z.node = d.node)" if p else ""
+        return f"SELECT sample, node, {i} AS t, true AS seeded FROM (SELECT CAST(w.s AS BIGINT) AS sample, d.node, row_number() OVER (PARTITION BY w.s ORDER BY {score.format(t=i)} DESC, d.node) AS k FROM deg d CROSS JOIN range({RUNS}) w(s) {seen}) WHERE k <= {BATCHES[i]}"
+
+    out = [
+        ("deg", "SELECT node, count(*) AS n FROM (SELECT src AS node FROM gu UNION ALL SELECT dst FROM gu) GROUP BY 1"),
+        ("live", f"SELECT w.s AS sample, src, dst FROM gu CROSS JOIN range({RUNS}) w(s) WHERE {coin_sql('src', 'dst', 'w.s', 'arc')} < ic_p"),
+        ("h0", picks(None, 0)),
+    ]
+    for i in range(1, HOPS + 1):
+        out.append((f"s{i}", f"SELECT * FROM h{i - 1} UNION ALL SELECT DISTINCT a.sample, l.dst, {i}, false FROM h{i - 1} a JOIN live l ON l.sample = a.sample AND l.src = a.node WHERE a.t = {i - 1} AND NOT EXISTS (SELECT 1 FROM h{i - 1} z WHERE z.sample = a.sample AND z.node = l.dst)"))
+        out.append((f"h{i}", f"SELECT * FROM s{i}" + (f" UNION ALL {picks(f's{i}', i)}" if i < len(BATCHES) else "")))
+    return out
+
+
+_HISTORY = f"SELECT sample, node, CAST(t AS BIGINT) AS t, seeded FROM h{HOPS}"
+
+
+def in_rounds(g: Graph, policy: rounds.Policy) -> DataFrame:
+    return longs(rounds.rollout(g, policy, BATCHES, 1, HOPS, RUNS), "sample", "t")
+
+
+@query(sql("gu", _HISTORY, _rounds_sql("d.n")))
+def adapt_degree(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_ranking(structure.degree(g)))
+
+
+@query(sql("gu", _HISTORY, _rounds_sql("-" + coin_sql("d.node", "w.s", "{t}", "pick"))))
+def adapt_random(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.at_random(g))
+
+
+@query()
+def adapt_pagerank(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_ranking(structure.pagerank(g, rounds=10, tolerance=None)))
+
+
+@query()
+def adapt_degree_discount(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_discounted_degree(g))
+
+
+@query()
+def adapt_greedy(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_marginal_gain(g, 20, 4, HOPS))
+
+
+@query()
+def adapt_epic(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_uncovered_sets(g, 2000))
+
+
+# a static plan, users by out-degree, dealt out in the same rounds
+@query(sql("gu", _HISTORY, [("outs", "SELECT src, count(*) AS n FROM gu GROUP BY 1"), *_rounds_sql("coalesce((SELECT n FROM outs WHERE outs.src = d.node), 0)")]))
+def static_split(spark, sf):
+    g = users(spark, sf)
+    return in_rounds(g, rounds.by_ranking(g.nodes.join(structure.out_degree(g), "node", "left").select("node", F.coalesce("score", F.lit(0)).alias("score"))))
+
+
+@query(sql("gu", f"SELECT r.i + 1 AS round, r.i + 1 AS t, (SELECT count(*) FROM h{HOPS} WHERE t <= r.i + 1) / {RUNS}e0 AS spread FROM range({len(BATCHES)}) r(i)", _rounds_sql("d.n")))
+def round_spreads(spark, sf):
+    return longs(rounds.round_spreads(adapt_degree(spark, sf), len(BATCHES), 1, HOPS, RUNS), "t")
+
+
+@query(sql("gu", f"SELECT r.i AS time, 'full' AS feedback, sample, node FROM h{HOPS} JOIN range({len(BATCHES)}) r(i) ON t <= r.i UNION ALL SELECT t, 'myopic', sample, node FROM h{HOPS} WHERE t < {len(BATCHES)}", _rounds_sql("d.n")))
+def observed_states(spark, sf):
+    h = adapt_degree(spark, sf)
+    views = [rounds.observed_state(h, t, f).select(F.lit(t).cast("long").alias("time"), F.lit(f).alias("feedback"), "sample", "node") for t in rounds.round_schedule(BATCHES, 1, HOPS) for f in ("full", "myopic")]
+    out = views[0]
+    for v in views[1:]:
+        out = out.unionByName(v)
+    return out
+
+
+# --- a generative forecast, corrected by a layer fitted on the other folds
+
+
+@query()
+def forecast_hawkes_hybrid(spark, sf):
+    b = binned(spark, sf)
+    found = cascades.hawkes_hybrid(cascades.features(users(spark, sf), b, WINDOW), written(cascades.observed_waves(b, WINDOW), "waves"), sizes(b))
+    return r6(found, "predicted")
