@@ -45,10 +45,6 @@ def users(spark: SparkSession, sf: str) -> Graph:
     return derived.user_graph(spark, sf).materialized()
 
 
-def nations(spark: SparkSession, sf: str) -> Graph:
-    return derived.nation_graph(spark, sf).materialized()
-
-
 def seeds3(g: Graph, skip: int = 0) -> DataFrame:
     d = structure.degree(g).orderBy(F.desc("score"), "node")
     return d.limit(3).select("node") if not skip else d.limit(6).exceptAll(d.limit(3)).select("node")
@@ -82,17 +78,17 @@ def remap_to_contiguous(spark, sf):
     return build.dense_ids(derived.customer_supplier_arcs(spark, sf))[0]
 
 
-_CC = unrolled("c", "SELECT node, node AS label FROM nn", lambda p, i: f"SELECT a.node, least(a.label, coalesce(min(b.label), a.label)) AS label FROM {p} a LEFT JOIN un ON src = a.node LEFT JOIN {p} b ON b.node = dst GROUP BY a.node, a.label", 12)
+_CC = unrolled("c", "SELECT node, node AS label FROM nu", lambda p, i: f"SELECT a.node, least(a.label, coalesce(min(b.label), a.label)) AS label FROM {p} a LEFT JOIN uu ON src = a.node LEFT JOIN {p} b ON b.node = dst GROUP BY a.node, a.label", 12)
 
 
-@query(sql("nn un", "SELECT node, label AS component FROM c12 WHERE node IN (SELECT src FROM un)", _CC))
+@query(sql("nu uu", "SELECT node, label AS component FROM c12 WHERE node IN (SELECT src FROM uu)", _CC))
 def weak_components(spark, sf):
-    return connected_components(nations(spark, sf).edges)
+    return connected_components(users(spark, sf).edges)
 
 
-@query(sql("nn un", "SELECT src, dst FROM nat_arcs WHERE src IN (SELECT node FROM c12 WHERE label = (SELECT label FROM c12 GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1))", _CC))
+@query(sql("nu uu", "SELECT src, dst FROM user_arcs WHERE src IN (SELECT node FROM c12 WHERE label = (SELECT label FROM c12 GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1))", _CC))
 def largest_component(spark, sf):
-    return build.largest_component(nations(spark, sf)).edges.select("src", "dst")
+    return build.largest_component(users(spark, sf)).edges.select("src", "dst")
 
 
 @query(sql("gu", "SELECT (SELECT count(*) FROM (SELECT src FROM gu UNION SELECT dst FROM gu)) AS nodes, (SELECT count(*) FROM gu) AS arcs, (SELECT round(avg(ic_p), 6) FROM gu) AS mean_p"))
@@ -167,52 +163,52 @@ def node_triangles(spark, sf):
     return structure.triangles(users(spark, sf)).select("node", F.col("triangles").cast("long").alias("triangles"))
 
 
-@query(sql("gn nn", "SELECT node, round(coalesce(sum(p), 0), 6) AS score FROM nn LEFT JOIN (SELECT s, t, max(p) AS p FROM (SELECT src AS s, dst AS t, ic_p AS p FROM gn UNION ALL SELECT a.src, b.dst, a.ic_p * b.ic_p FROM gn a JOIN gn b ON a.dst = b.src WHERE a.src <> b.dst UNION ALL SELECT a.src, c.dst, a.ic_p * b.ic_p * c.ic_p FROM gn a JOIN gn b ON a.dst = b.src AND a.src <> b.dst JOIN gn c ON b.dst = c.src WHERE a.src <> c.dst) GROUP BY 1, 2) ON s = node GROUP BY 1"))
+@query(sql("gu nu", "SELECT node, round(coalesce(sum(p), 0), 6) AS score FROM nu LEFT JOIN (SELECT s, t, max(p) AS p FROM (SELECT src AS s, dst AS t, ic_p AS p FROM gu UNION ALL SELECT a.src, b.dst, a.ic_p * b.ic_p FROM gu a JOIN gu b ON a.dst = b.src WHERE a.src <> b.dst UNION ALL SELECT a.src, c.dst, a.ic_p * b.ic_p * c.ic_p FROM gu a JOIN gu b ON a.dst = b.src AND a.src <> b.dst JOIN gu c ON b.dst = c.src WHERE a.src <> c.dst) GROUP BY 1, 2) ON s = node GROUP BY 1"))
 def path_influence_scores(spark, sf):
-    return r6(structure.path_influence(nations(spark, sf), 3), "score")
+    return r6(structure.path_influence(users(spark, sf), 3), "score")
 
 
-_BFS = unrolled("b", "SELECT node AS key, node, 0 AS hop FROM nn", lambda p, i: f"SELECT * FROM {p} UNION ALL SELECT DISTINCT a.key, dst, {i} FROM {p} a JOIN gn ON src = a.node WHERE a.hop = {i - 1} AND NOT EXISTS (SELECT 1 FROM {p} z WHERE z.key = a.key AND z.node = dst)", 12)
+_BFS = unrolled("b", "SELECT node AS key, node, 0 AS hop FROM nu", lambda p, i: f"SELECT * FROM {p} UNION ALL SELECT DISTINCT a.key, dst, {i} FROM {p} a JOIN gu ON src = a.node WHERE a.hop = {i - 1} AND NOT EXISTS (SELECT 1 FROM {p} z WHERE z.key = a.key AND z.node = dst)", 12)
 
 
-@query(sql("gn nn", "SELECT key, node, CAST(hop AS BIGINT) AS hop FROM b12", _BFS))
+@query(sql("gu nu", "SELECT key, node, CAST(hop AS BIGINT) AS hop FROM b12", _BFS))
 def all_pairs_hops(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return longs(structure.distances(g, g.nodes, keyed=True), "hop")
 
 
-@query(sql("gn nn", "SELECT n.node, round(coalesce(r / t * r / 24e0, 0), 6) AS score FROM nn n LEFT JOIN (SELECT key, CAST(count(*) AS DOUBLE) AS r, CAST(sum(hop) AS DOUBLE) AS t FROM b12 WHERE hop > 0 GROUP BY 1) x ON key = node", _BFS))
+@query(sql("gu nu", "SELECT n.node, round(coalesce(r / t * r / ((SELECT count(*) FROM nu) - 1e0), 0), 6) AS score FROM nu n LEFT JOIN (SELECT key, CAST(count(*) AS DOUBLE) AS r, CAST(sum(hop) AS DOUBLE) AS t FROM b12 WHERE hop > 0 GROUP BY 1) x ON key = node", _BFS))
 def closeness_scores(spark, sf):
-    return r6(structure.closeness(nations(spark, sf)), "score")
+    return r6(structure.closeness(users(spark, sf)), "score")
 
 
-_SIGMA = unrolled("g", "SELECT node AS s, node, 0 AS hop, 1e0 AS paths FROM nn", lambda p, i: f"SELECT * FROM {p} UNION ALL SELECT a.s, dst, {i}, sum(a.paths) FROM {p} a JOIN gn ON src = a.node WHERE a.hop = {i - 1} AND NOT EXISTS (SELECT 1 FROM {p} z WHERE z.s = a.s AND z.node = dst) GROUP BY 1, 2", 12)
+_SIGMA = unrolled("g", "SELECT node AS s, node, 0 AS hop, 1e0 AS paths FROM nu", lambda p, i: f"SELECT * FROM {p} UNION ALL SELECT a.s, dst, {i}, sum(a.paths) FROM {p} a JOIN gu ON src = a.node WHERE a.hop = {i - 1} AND NOT EXISTS (SELECT 1 FROM {p} z WHERE z.s = a.s AND z.node = dst) GROUP BY 1, 2", 12)
 
 
-@query(sql("gn nn", "SELECT n.node, round(coalesce(sum(x.dep), 0), 6) AS score FROM nn n LEFT JOIN (SELECT v.node, sv.paths * vt.paths / st.paths AS dep FROM nn v JOIN g12 sv ON sv.node = v.node AND sv.s <> v.node JOIN g12 vt ON vt.s = v.node AND vt.node <> v.node JOIN g12 st ON st.s = sv.s AND st.node = vt.node AND st.hop = sv.hop + vt.hop) x ON x.node = n.node GROUP BY 1", _SIGMA))
+@query(sql("gu nu", "SELECT n.node, round(coalesce(sum(x.dep), 0), 6) AS score FROM nu n LEFT JOIN (SELECT v.node, sv.paths * vt.paths / st.paths AS dep FROM nu v JOIN g12 sv ON sv.node = v.node AND sv.s <> v.node JOIN g12 vt ON vt.s = v.node AND vt.node <> v.node JOIN g12 st ON st.s = sv.s AND st.node = vt.node AND st.hop = sv.hop + vt.hop) x ON x.node = n.node GROUP BY 1", _SIGMA))
 def betweenness_scores(spark, sf):
-    return r6(structure.betweenness(nations(spark, sf)), "score")
+    return r6(structure.betweenness(users(spark, sf)), "score")
 
 
-_CORE = unrolled("k", "SELECT node, count(dst) AS core FROM nn LEFT JOIN un ON src = node GROUP BY 1", lambda p, i: f"SELECT a.node, least(a.core, coalesce(h.h, 0)) AS core FROM {p} a LEFT JOIN (SELECT src, max(least(core, above)) AS h FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS above FROM un JOIN {p} b ON b.node = dst) GROUP BY 1) h ON h.src = a.node", 12)
+_CORE = unrolled("k", "SELECT node, count(dst) AS core FROM nu LEFT JOIN uu ON src = node GROUP BY 1", lambda p, i: f"SELECT a.node, least(a.core, coalesce(h.h, 0)) AS core FROM {p} a LEFT JOIN (SELECT src, max(least(core, above)) AS h FROM (SELECT src, core, row_number() OVER (PARTITION BY src ORDER BY core DESC) AS above FROM uu JOIN {p} b ON b.node = dst) GROUP BY 1) h ON h.src = a.node", 12)
 
 
-@query(sql("nn un", "SELECT node, core FROM k12", _CORE))
+@query(sql("nu uu", "SELECT node, core FROM k12", _CORE))
 def core_numbers(spark, sf):
-    return longs(structure.core_numbers(nations(spark, sf)), "core")
+    return longs(structure.core_numbers(users(spark, sf)), "core")
 
 
-_LAB = unrolled("l", "SELECT node, node AS label FROM nn", lambda p, i: f"SELECT a.node, coalesce(v.label, a.label) AS label FROM {p} a LEFT JOIN (SELECT src, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS r FROM un JOIN {p} b ON b.node = dst GROUP BY src, label) WHERE r = 1) v ON v.src = a.node", 3)
+_LAB = unrolled("l", "SELECT node, node AS label FROM nu", lambda p, i: f"SELECT a.node, coalesce(v.label, a.label) AS label FROM {p} a LEFT JOIN (SELECT src, label FROM (SELECT src, label, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, label) AS r FROM uu JOIN {p} b ON b.node = dst GROUP BY src, label) WHERE r = 1) v ON v.src = a.node", 3)
 
 
-@query(sql("nn un", "SELECT node, label FROM l3", _LAB))
+@query(sql("nu uu", "SELECT node, label FROM l3", _LAB))
 def detect_communities(spark, sf):
-    return structure.communities(nations(spark, sf), rounds=3)
+    return structure.communities(users(spark, sf), rounds=3)
 
 
-@query(sql("nn un", "SELECT node, row_number() OVER (ORDER BY core DESC, d DESC, node) AS rank FROM (SELECT k.node, core, d FROM k12 k JOIN (SELECT node, count(x) AS d FROM nn LEFT JOIN (SELECT src AS x FROM nat_arcs UNION ALL SELECT dst FROM nat_arcs) ON x = node GROUP BY 1) d ON d.node = k.node) ORDER BY core DESC, d DESC, node LIMIT 5", _CORE))
+@query(sql("nu uu", "SELECT node, row_number() OVER (ORDER BY core DESC, d DESC, node) AS rank FROM (SELECT k.node, core, d FROM k12 k JOIN (SELECT node, count(x) AS d FROM nu LEFT JOIN (SELECT src AS x FROM user_arcs UNION ALL SELECT dst FROM user_arcs) ON x = node GROUP BY 1) d ON d.node = k.node) ORDER BY core DESC, d DESC, node LIMIT 5", _CORE))
 def kshell_seeds(spark, sf):
-    return longs(selectors.kshell(nations(spark, sf), 5), "rank")
+    return longs(selectors.kshell(users(spark, sf), 5), "rank")
 
 
 # --- dynamics
@@ -359,12 +355,12 @@ def compartment_step_marginals(spark, sf):
 
 
 
-@query(sql("gn", "SELECT src, dst, round(CASE WHEN (src + dst) % 5 = 0 THEN 0.9e0 ELSE ic_p END, 6) AS ic_p FROM gn WHERE (src + dst) % 7 <> 0 AND src <> 3 AND dst <> 3 UNION ALL SELECT src, dst + 100, 0.25e0 FROM gn WHERE src = 4"))
+@query(sql("gu", "SELECT src, dst, round(CASE WHEN (src + dst) % 5 = 0 THEN 0.9e0 ELSE ic_p END, 6) AS ic_p FROM gu WHERE (src + dst) % 7 <> 0 AND src <> 3 AND dst <> 3 UNION ALL SELECT src, dst + 1000000, 0.25e0 FROM gu WHERE src = 4"))
 def apply_actions(spark, sf):
-    e = nations(spark, sf).edges
+    e = users(spark, sf).edges
     act = lambda df, op, dst, w, seq: df.select(F.lit(op).alias("op"), F.col("src").alias("target"), dst.alias("destination"), F.lit(w).cast("double").alias("weight"), F.lit(seq).alias("seq"))
     actions = act(e.where("(src + dst) % 5 = 0"), "set_edge_weight", F.col("dst"), 0.9, 1).unionByName(act(e.where("(src + dst) % 7 = 0"), "remove_edge", F.col("dst"), None, 2))
-    actions = actions.unionByName(act(e.where("src = 4"), "add_edge", F.col("dst") + 100, 0.25, 1)).unionByName(act(spark.createDataFrame([(3, 0)], "src long, dst long"), "remove_node", F.lit(None).cast("long"), None, 3))
+    actions = actions.unionByName(act(e.where("src = 4"), "add_edge", F.col("dst") + 1000000, 0.25, 1)).unionByName(act(spark.createDataFrame([(3, 0)], "src long, dst long"), "remove_node", F.lit(None).cast("long"), None, 3))
     return r6(dynamics.apply_edge_actions(e, actions), "ic_p")
 
 
@@ -409,64 +405,64 @@ def degree_blocking(spark, sf):
     return longs(selectors.by_score(g, structure.degree(g), 5, seeds3(g)), "rank")
 
 
-_EXP = unrolled("w", "SELECT 0::BIGINT AS node, 1e0 AS w", lambda p, i: f"SELECT dst AS node, sum(w) AS w FROM {p} JOIN gn ON src = node GROUP BY 1", 4)
+_EXP = unrolled("w", "SELECT 0::BIGINT AS node, 1e0 AS w", lambda p, i: f"SELECT dst AS node, sum(w) AS w FROM {p} JOIN gu ON src = node GROUP BY 1", 4)
 _EXPS = [*_EXP, ("expo", "SELECT node, sum(s) AS score FROM (" + " UNION ALL ".join(f"SELECT node, w * {0.5**i}e0 AS s FROM w{i}" for i in range(1, 5)) + ") WHERE node <> 0 GROUP BY 1")]
 
 
-@query(sql("gn", "SELECT node, round(score, 6) AS score FROM expo", _EXPS))
+@query(sql("gu", "SELECT node, round(score, 6) AS score FROM expo", _EXPS))
 def exposure_scores(spark, sf):
-    return r6(selectors.exposure(nations(spark, sf), spark.createDataFrame([(0,)], "node long")), "score")
+    return r6(selectors.exposure(users(spark, sf), spark.createDataFrame([(0,)], "node long")), "score")
 
 
-@query(sql("gn nn", "SELECT node, CAST(hop AS BIGINT) AS hop FROM b12 WHERE key = 0 AND hop BETWEEN 1 AND 2", _BFS))
+@query(sql("gu nu", "SELECT node, CAST(hop AS BIGINT) AS hop FROM b12 WHERE key = 0 AND hop BETWEEN 1 AND 2", _BFS))
 def proximity_rings(spark, sf):
-    return longs(selectors.rings(nations(spark, sf), spark.createDataFrame([(0,)], "node long"), 2).select("node", "hop"), "hop")
+    return longs(selectors.rings(users(spark, sf), spark.createDataFrame([(0,)], "node long"), 2).select("node", "hop"), "hop")
 
 
-_NDEG = ("nd", "SELECT node, count(x) AS d FROM nn LEFT JOIN (SELECT src AS x FROM nat_arcs UNION ALL SELECT dst FROM nat_arcs) ON x = node GROUP BY 1")
+_NDEG = ("nd", "SELECT node, count(x) AS d FROM nu LEFT JOIN (SELECT src AS x FROM user_arcs UNION ALL SELECT dst FROM user_arcs) ON x = node GROUP BY 1")
 
 
-@query(sql("gn nn", "SELECT node, row_number() OVER (ORDER BY late, hop, d DESC, node) AS rank FROM (SELECT n.node, CASE WHEN b.node IS NULL THEN 1 ELSE 0 END AS late, coalesce(b.hop, 0) AS hop, d FROM nd n LEFT JOIN (SELECT node, hop FROM b12 WHERE key = 0 AND hop = 1) b ON b.node = n.node WHERE n.node <> 0) ORDER BY rank LIMIT 5", [_NDEG, *_BFS]))
+@query(sql("gu nu", "SELECT node, row_number() OVER (ORDER BY late, hop, d DESC, node) AS rank FROM (SELECT n.node, CASE WHEN b.node IS NULL THEN 1 ELSE 0 END AS late, coalesce(b.hop, 0) AS hop, d FROM nd n LEFT JOIN (SELECT node, hop FROM b12 WHERE key = 0 AND hop = 1) b ON b.node = n.node WHERE n.node <> 0) ORDER BY rank LIMIT 5", [_NDEG, *_BFS]))
 def proximity_blocking(spark, sf):
-    return longs(selectors.proximity(nations(spark, sf), 5, spark.createDataFrame([(0,)], "node long")), "rank")
+    return longs(selectors.proximity(users(spark, sf), 5, spark.createDataFrame([(0,)], "node long")), "rank")
 
 
-@query(sql("gn nn un", "SELECT u.src, u.dst, CAST(a.d * b.d AS DOUBLE) AS score FROM un u JOIN nd a ON a.node = u.src JOIN nd b ON b.node = u.dst WHERE u.src < u.dst", [_NDEG]))
+@query(sql("gu nu uu", "SELECT u.src, u.dst, CAST(a.d * b.d AS DOUBLE) AS score FROM uu u JOIN nd a ON a.node = u.src JOIN nd b ON b.node = u.dst WHERE u.src < u.dst", [_NDEG]))
 def product_degree_arcs(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.arc_products(g, structure.degree(g))
 
 
-@query(sql("gn nn un", "SELECT u.src, u.dst, CAST(b.d AS DOUBLE) AS score FROM un u JOIN nd b ON b.node = u.dst WHERE u.src IN (0, 1, 2) AND u.dst NOT IN (0, 1, 2)", [_NDEG]))
+@query(sql("gu nu uu", "SELECT u.src, u.dst, CAST(b.d AS DOUBLE) AS score FROM uu u JOIN nd b ON b.node = u.dst WHERE u.src IN (0, 1, 2) AND u.dst NOT IN (0, 1, 2)", [_NDEG]))
 def frontier_edge_cut(spark, sf):
-    return selectors.frontier_arcs(nations(spark, sf), spark.createDataFrame([(0,), (1,), (2,)], "node long"))
+    return selectors.frontier_arcs(users(spark, sf), spark.createDataFrame([(0,), (1,), (2,)], "node long"))
 
 
-@query(sql("gn", "SELECT g.src, g.dst, round((CASE WHEN g.src = 0 THEN 1e0 ELSE e.score END) * ic_p, 6) AS score FROM gn g LEFT JOIN expo e ON e.node = g.src WHERE g.src = 0 OR e.score IS NOT NULL", _EXPS))
+@query(sql("gu", "SELECT g.src, g.dst, round((CASE WHEN g.src = 0 THEN 1e0 ELSE e.score END) * ic_p, 6) AS score FROM gu g LEFT JOIN expo e ON e.node = g.src WHERE g.src = 0 OR e.score IS NOT NULL", _EXPS))
 def out_edge_blocking(spark, sf):
-    return r6(selectors.out_arc_scores(nations(spark, sf), spark.createDataFrame([(0,)], "node long")), "score")
+    return r6(selectors.out_arc_scores(users(spark, sf), spark.createDataFrame([(0,)], "node long")), "score")
 
 
-_CW = [("d1", "SELECT node, CAST(count(dst) AS DOUBLE) AS s FROM nn LEFT JOIN un ON src = node GROUP BY 1"), ("d2", "SELECT n.node, coalesce(sum(d.s / (SELECT max(s) FROM d1)), 0) AS s FROM nn n LEFT JOIN un ON un.dst = n.node LEFT JOIN d1 d ON d.node = un.src GROUP BY 1")]
+_CW = [("d1", "SELECT node, CAST(count(dst) AS DOUBLE) AS s FROM nu LEFT JOIN uu ON src = node GROUP BY 1"), ("d2", "SELECT n.node, coalesce(sum(d.s / (SELECT max(s) FROM d1)), 0) AS s FROM nu n LEFT JOIN uu ON uu.dst = n.node LEFT JOIN d1 d ON d.node = uu.src GROUP BY 1")]
 
 
-@query(sql("nn un", "SELECT node, round((s / (SELECT max(s) FROM d2)) * (s / (SELECT max(s) FROM d2)), 6) AS score FROM d2", _CW))
+@query(sql("nu uu", "SELECT node, round((s / (SELECT max(s) FROM d2)) * (s / (SELECT max(s) FROM d2)), 6) AS score FROM d2", _CW))
 def closed_walk_scores(spark, sf):
-    return r6(selectors.closed_walks(nations(spark, sf)), "score")
+    return r6(selectors.closed_walks(users(spark, sf)), "score")
 
 
-_AD = [("z0", "SELECT -1::BIGINT AS node, 0 AS r WHERE false"), *[(f"z{i}", f"SELECT * FROM z{i - 1} UNION ALL SELECT node, {i} FROM (SELECT n.node, count(x.dst) AS d FROM nn n LEFT JOIN (SELECT src, dst FROM un WHERE src NOT IN (SELECT node FROM z{i - 1}) AND dst NOT IN (SELECT node FROM z{i - 1})) x ON x.src = n.node WHERE n.node NOT IN (SELECT node FROM z{i - 1}) GROUP BY 1 ORDER BY d DESC, n.node LIMIT 1)") for i in range(1, 5)]]
+_AD = [("z0", "SELECT -1::BIGINT AS node, 0 AS r WHERE false"), *[(f"z{i}", f"SELECT * FROM z{i - 1} UNION ALL SELECT node, {i} FROM (SELECT n.node, count(x.dst) AS d FROM nu n LEFT JOIN (SELECT src, dst FROM uu WHERE src NOT IN (SELECT node FROM z{i - 1}) AND dst NOT IN (SELECT node FROM z{i - 1})) x ON x.src = n.node WHERE n.node NOT IN (SELECT node FROM z{i - 1}) GROUP BY 1 ORDER BY d DESC, n.node LIMIT 1)") for i in range(1, 5)]]
 
 
-@query(sql("nn un", "SELECT node, CAST(r AS BIGINT) AS rank FROM z4", _AD))
+@query(sql("nu uu", "SELECT node, CAST(r AS BIGINT) AS rank FROM z4", _AD))
 def adaptive_degree_removal(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return longs(selectors.ranked(g, selectors.adaptive(g, 4, structure.neighbour_degree)), "rank")
 
 
 def _chosen(name, pick):
     def run(spark, sf):
-        g = nations(spark, sf)
+        g = users(spark, sf)
         return longs(selectors.ranked(g, pick(g)), "rank")
 
     run.__name__ = name
@@ -514,153 +510,153 @@ _chosen("netshield_plus_immunization", lambda g: variants.netshield_batches(g, 3
 
 @query()
 def greedy_walk_arcs(spark, sf):
-    return spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(variants.walk_arcs(nations(spark, sf), 3))], "src long, dst long, rank int")
+    return spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(variants.walk_arcs(users(spark, sf), 3))], "src long, dst long, rank int")
 
 
 @query()
 def leave_one_out_credit(spark, sf):
-    return variants.leave_one_out(nations(spark, sf), [0, 1, 2], 8, 5)
+    return variants.leave_one_out(users(spark, sf), [0, 1, 2], 8, 5)
 
 
 @query()
 def frontier_bottlenecks(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return variants.bottlenecks(g, seeds3(g), 5)
 
 
 @query()
 def structural_regions(spark, sf):
-    return variants.structural_regions(nations(spark, sf))
+    return variants.structural_regions(users(spark, sf))
 
 
 @query()
 def bridge_nodes(spark, sf):
-    return variants.bridge_nodes(nations(spark, sf))
+    return variants.bridge_nodes(users(spark, sf))
 
 
 @query()
 def spread_gradient(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return variants.spread_gradient(g, written(seeds3(g)), g.nodes, 3)
 
 
 @query()
 def closeness_seeds(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.by_score(g, structure.closeness(g), 5)
 
 
 @query()
 def betweenness_seeds(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.by_score(g, structure.betweenness(g), 5)
 
 
 @query()
 def eigenvector_seeds(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.by_score(g, structure.eigenvector(g, 30), 5)
 
 
 @query()
 def community_seeds(spark, sf):
-    return selectors.community_seeds(nations(spark, sf), 5)
+    return selectors.community_seeds(users(spark, sf), 5)
 
 
 @query()
 def bridging_seeds(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.community_seeds(g, 5, selectors.bridging_degree(g, structure.communities(g)))
 
 
 @query()
 def acquaintance_immunization(spark, sf):
-    return selectors.acquaintances(nations(spark, sf), 5)
+    return selectors.acquaintances(users(spark, sf), 5)
 
 
 @query()
 def preciado_allocation(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.by_score(g, selectors.preciado(g, 6), 5)
 
 
 @query()
 def competitive_ldag_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.by_score(g, selectors.earlier_reach(g, selectors.nodes_of(g, [0])), 5)
 
 
 @query()
 def multi_hop_proximity_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.multi_hop_proximity(g, 5, selectors.nodes_of(g, [0]))
 
 
 @query()
 def region_pagerank_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.in_region(g, structure.pagerank(g, rounds=10, tolerance=None), 5, selectors.nodes_of(g, [0]))
 
 
 @query()
 def edge_betweenness_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.top_arcs(selectors.tree_arc_scores(g, selectors.nodes_of(g, [0, 5])), 5)
 
 
 @query()
 def netmelt_arcs(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.top_arcs(selectors.arc_products(g, structure.eigenvector(g, 30, both_ways=True)), 5)
 
 
 @query()
 def dominator_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return kernels.dominator_scores(dynamics.live_edges(g, 20), selectors.nodes_of(g, [0]), 20)
 
 
 @query()
 def link_blocking(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return selectors.top_arcs(kernels.dominator_arcs(dynamics.live_edges(g, 20), selectors.nodes_of(g, [0]), 20), 5)
 
 
 @query()
 def articulation_removal(spark, sf):
-    return kernels.articulation_removal(nations(spark, sf).edges, 3)
+    return kernels.articulation_removal(users(spark, sf).edges, 3)
 
 
 @query()
 def fiedler_removal(spark, sf):
-    return kernels.fiedler_removal(nations(spark, sf).edges, 4)
+    return kernels.fiedler_removal(users(spark, sf).edges, 4)
 
 
 @query()
 def explosive_immunization(spark, sf):
-    return kernels.explosive_immunization(nations(spark, sf).edges, 4)
+    return kernels.explosive_immunization(users(spark, sf).edges, 4)
 
 
 @query()
 def belief_decycling(spark, sf):
-    return kernels.belief_decycling(nations(spark, sf).edges, 3)
+    return kernels.belief_decycling(users(spark, sf).edges, 3)
 
 
 @query()
 def reinserted_removal(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return kernels.reinserted(g.edges, selectors.by_score(g, structure.degree(g), 6), 0.6)
 
 
 @query()
 def dismantling_curve(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return structure.dismantling_curve(g, selectors.by_score(g, structure.degree(g), 8))
 
 
 @query()
 def residual_connectivity(spark, sf):
-    g = nations(spark, sf)
+    g = users(spark, sf)
     return structure.connectivity(g, seeds3(g))
 
 
@@ -701,14 +697,14 @@ def jordan_center_scores(spark, sf):
     return inference.jordan_scores(g, y)
 
 
-def nation_observed(spark, sf) -> tuple[Graph, DataFrame]:
-    g = nations(spark, sf)
+def even_observed(spark, sf) -> tuple[Graph, DataFrame]:
+    g = users(spark, sf)
     return g, written(g.nodes.select("node", F.when(F.col("node") % 2 == 0, 1.0).otherwise(0.0).alias("y")))
 
 
 def _localised(name, score):
     def run(spark, sf):
-        return score(*nation_observed(spark, sf))
+        return score(*even_observed(spark, sf))
 
     run.__name__ = name
     query()(run)

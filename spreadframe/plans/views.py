@@ -12,12 +12,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "cs_arcs": ([], "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
     "gcs": (["cs_arcs"], "SELECT src, dst, 1e0 / count(*) OVER (PARTITION BY dst) AS ic_p FROM cs_arcs"),
     "ncs": (["cs_arcs"], "SELECT src AS node FROM cs_arcs UNION SELECT dst FROM cs_arcs"),
-    "nat_arcs": ([], """SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS r FROM (
-        SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-        WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE r <= 3"""),
-    "gn": (["nat_arcs"], "SELECT src, dst, 1e0 / count(*) OVER (PARTITION BY dst) AS ic_p FROM nat_arcs"),
-    "nn": ([], "SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation"),
-    "un": (["nat_arcs"], "SELECT src, dst FROM nat_arcs UNION SELECT dst, src FROM nat_arcs"),
     "ev1": ([], "SELECT * FROM (SELECT event_type || '#' || CAST(CAST(ts AS DATE) AS VARCHAR) AS cascade_id, user_id, ts, event_id, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1"),
     "ad": (["ev1"], """SELECT cascade_id, CAST(floor(epoch(first_value(ts) OVER w)) AS BIGINT) AS publish_time, user_id AS adopter, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(first_value(ts) OVER w)) AS BIGINT) AS elapsed,
         row_number() OVER w - 1 AS seq, lag(user_id) OVER w AS parent FROM ev1 WINDOW w AS (PARTITION BY cascade_id ORDER BY ts, event_id)"""),

@@ -36,19 +36,6 @@ def customer_supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(weighted_cascade(customer_supplier_arcs(spark, sf_dir)))
 
 
-def nation_arcs(spark: SparkSession, sf_dir: str, keep: int = 3) -> DataFrame:
-    """From each customers' nation to the ``keep`` nations that most of their goods come from."""
-    o, li, c, s = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier"))
-    pairs = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
-    counted = pairs.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).count().where("src <> dst")
-    return counted.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("count"), "dst"))).where(F.col("r") <= keep).select("src", "dst")
-
-
-def nation_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
-    return Graph(nodes, weighted_cascade(nation_arcs(spark, sf_dir)))
-
-
 def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cascade_id, publish_time, adopter, elapsed (seconds), seq, parent: a day's first events of one type."""
     e = table(spark, sf_dir, "events").select((F.concat_ws("#", "event_type", F.to_date("ts").cast("string"))).alias("cascade_id"), "user_id", "ts", "event_id")
