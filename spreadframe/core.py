@@ -56,8 +56,11 @@ def top_k(scored: DataFrame, k: int, score: str = "score", node: str = "node", b
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, stop: Callable[[DataFrame, DataFrame], bool] | None = None, name: str = "state") -> DataFrame:
-    """Apply ``step`` up to ``rounds`` times; each result is a written table, so no lineage builds up."""
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, stop: Callable[[DataFrame, DataFrame], bool] | None = None, name: str = "state", settle: bool = False) -> DataFrame:
+    """Apply ``step`` up to ``rounds`` times; each result is a written table, so no lineage builds up.
+
+    With ``settle`` a state that ``stop`` has not found settled after all rounds is an error.
+    """
     now = written(state, name)
     for i in range(rounds):
         new = written(step(now, i), name)
@@ -66,6 +69,9 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], round
         now = new
         if done:
             break
+    else:
+        if settle:
+            raise RuntimeError(f"{name} did not settle in {rounds} rounds")
     return now
 
 

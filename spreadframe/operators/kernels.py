@@ -152,13 +152,18 @@ def reinserted(edges: DataFrame, removed: DataFrame, threshold: float) -> DataFr
 
 
 def fiedler_removal(edges: DataFrame, k: int, quantile: float = 0.5, least: int = 8) -> DataFrame:
-    """``graph_id, node, rank``: cut the largest component by its second eigenvector, cover the cut edges greedily."""
+    """``graph_id, node, rank``: cut the largest component by its second eigenvector, cover the cut edges greedily.
+
+    Components of over 4,000 nodes are refused; ``dismantling.spectral_ensemble`` has no such bound.
+    """
     def one(g: pd.DataFrame) -> pd.DataFrame:
         near, gone, out = _neighbours(_checked(g)), set(), []
         while len(out) < k:
             big = sorted(max(_pieces(near, gone), key=len, default=[]))
-            if len(big) <= least or len(big) > 4000:
+            if len(big) <= least:
                 break
+            if len(big) > 4000:
+                raise ValueError(f"a component of {len(big)} nodes is too large to cut densely; use dismantling.spectral_ensemble")
             at = {u: i for i, u in enumerate(big)}
             a = np.zeros((len(big), len(big)))
             for u in big:

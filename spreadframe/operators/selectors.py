@@ -129,11 +129,12 @@ def max_coverage(sets: DataFrame, k: int, candidates: DataFrame | None = None) -
     return chosen
 
 
-def sample_size(n: int, k: int, epsilon: float = 0.2, least: int = 200, most: int = 20_000) -> int:
-    """(k + 1) n ln n / epsilon**2 within bounds."""
+def sample_size(n: int, k: int, epsilon: float = 0.2, least: int = 200, most: int | None = None) -> int:
+    """(k + 1) n ln n / epsilon**2, at least ``least``; ``most``, if given, gives up the guarantee of epsilon."""
     import math
 
-    return int(min(most, max(least, (k + 1) * n * math.log(max(2, n)) / epsilon**2)))
+    size = int(max(least, (k + 1) * n * math.log(max(2, n)) / epsilon**2))
+    return size if most is None else min(most, size)
 
 
 def ris(graph: Graph, k: int, theta: int | None = None, seed: int = 0, least_size: int = 1) -> list[int]:
@@ -445,6 +446,16 @@ def round_batches(budget: int, rounds: int | None = None, per_round: int | None
     return [budget // n + (1 if i < budget % n else 0) for i in range(n)]
 
 
+def batch_plans(budgets: DataFrame, rounds: int) -> DataFrame:
+    """``plan, round, seeds`` for ``budgets(plan, budget)``: each budget spread evenly over at most ``rounds`` rounds, larger ones first.
+
+    A budget below the number of rounds has a round a seed; null budgets and those below 1 have none.
+    """
+    n = F.least(F.col("budget"), F.lit(rounds))
+    each = budgets.where("budget >= 1").select("plan", "budget", n.alias("n"), F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("round"))
+    return each.select("plan", F.col("round").cast("long").alias("round"), (F.floor(F.col("budget") / F.col("n")) + (F.col("round") <= F.col("budget") % F.col("n")).cast("long")).alias("seeds"))
+
+
 def adaptive_round(scores: DataFrame, active: DataFrame, batch: int) -> DataFrame:
     """The best ``batch`` nodes that are not active yet."""
     return top_k(scores.join(active, "node", "left_anti"), batch).select("node", "rank")

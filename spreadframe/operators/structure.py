@@ -226,7 +226,10 @@ def max_probability_paths(graph: Graph, sources: DataFrame, threshold: float = 1
 
 
 def shortest_costs(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``key, node, cost``: least sum of ``cost`` over paths from each source; every round relaxes all arcs."""
+    """``key, node, cost``: least sum of ``cost`` over paths from each source; every round relaxes all arcs.
+
+    Costs that still fall in the last round are an error: a path has more arcs than rounds.
+    """
     e = written(edges.select("src", "dst", "cost"), "arcs")
     start = sources.select(F.col("node").alias("key"), "node", F.lit(0.0).alias("cost"))
 
@@ -235,7 +238,7 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -
         return now.unionByName(more).groupBy("key", "node").agg(F.min("cost").alias("cost"))
 
     same = lambda old, new: old.agg(F.count("*"), F.sum("cost")).first() == new.agg(F.count("*"), F.sum("cost")).first()
-    return iterate(start, step, max_rounds, same, "costs")
+    return iterate(start, step, max_rounds, same, "costs", settle=True)
 
 
 def triangles(graph: Graph) -> DataFrame:

@@ -660,9 +660,10 @@ def residual_connectivity(spark, sf):
     return structure.connectivity(g, seeds3(g))
 
 
-@query(sql("", "SELECT * FROM (VALUES (1::BIGINT, 4::BIGINT), (2, 3), (3, 3)) v(round, seeds)"))
+@query("SELECT plan, r.i AS round, budget // least(budget, 3) + CASE WHEN r.i <= budget % least(budget, 3) THEN 1 ELSE 0 END AS seeds FROM (SELECT o_custkey AS plan, count(*) AS budget FROM orders GROUP BY 1) JOIN range(1, 4) r(i) ON r.i <= least(budget, 3)")
 def round_batches(spark, sf):
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(selectors.round_batches(10, 3))], "round long, seeds long")
+    budgets = derived.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("plan")).agg(F.count("*").alias("budget"))
+    return selectors.batch_plans(budgets, 3)
 
 
 # --- localisation and reconstruction
@@ -716,7 +717,7 @@ _localised("rumor_centrality_scores", inference.rumor_centrality)
 _localised("ojc_scores", lambda g, y: inference.jordan_scores(g, y, whole_graph=True))
 _localised("cover_sources", lambda g, y: selectors.ranked(g, inference.greedy_cover_sources(g, y, 3)))
 _localised("dynamic_age_scores", lambda g, y: inference.spectral_drop_scores(g, y, 3))
-_localised("effective_distance_scores", lambda g, y: inference.effective_distance_scores(g, y, 8))
+_localised("effective_distance_scores", lambda g, y: inference.effective_distance_scores(g, y))
 _localised("dmp_scores", lambda g, y: inference.mean_field_likelihood(g, y, inference.infected_set(y), 4))
 _localised("infected_closeness_scores", lambda g, y: inference.infected_scores(g, y, "closeness"))
 _localised("infected_betweenness_scores", lambda g, y: inference.infected_scores(g, y, "betweenness"))

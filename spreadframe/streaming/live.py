@@ -36,6 +36,8 @@ def running_forecast(adoptions: DataFrame, late: str = "1 hour") -> DataFrame:
     a cascade without events for ``late`` is forgotten.
     """
 
+    forget_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -45,7 +47,7 @@ def running_forecast(adoptions: DataFrame, late: str = "1 hour") -> DataFrame:
         r = new / last if last else ratio
         ratio = (ratio + r) / 2 if ratio else r
         state.update((int(seen + new), new, ratio))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutDuration(forget_ms)
         size = seen + new
         yield pd.DataFrame({"cascade_id": [key[0]], "observed": [int(size)], "predicted": [size + new * ratio / (1 - ratio) if ratio < 1 else None]}).astype({"predicted": "float64"})
 

@@ -167,3 +167,19 @@ def test_reconstruction_names_parents(spark):
     assert abs(log - (math.log(0.5) + math.log(0.5) + math.log(0.5))) < 1e-9
     filled = pairs(inference.backfilled(g, spark.createDataFrame([(2, 1)], "node long, time int"), 3), "node", "time")
     assert filled[2] == 1 and 0 in filled.values()
+
+
+def test_batches_of_many_plans(spark):
+    df = spark.createDataFrame([("a", 10), ("b", 2), ("c", 0), ("d", None), ("e", 3)], "plan string, budget long")
+    got = {}
+    for r in selectors.batch_plans(df, 3).orderBy("round").collect():
+        got.setdefault(r["plan"], []).append(r["seeds"])
+    assert got == {p: selectors.round_batches(n, 3) for p, n in (("a", 10), ("b", 2), ("e", 3))}
+
+
+def test_limits_are_not_silent(spark):
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "src long, dst long, cost double")
+    with pytest.raises(RuntimeError):
+        structure.shortest_costs(line, ids(spark, 0), max_rounds=4)
+    assert pairs(structure.shortest_costs(line, ids(spark, 0)), b="cost")[6] == 6.0
+    assert selectors.sample_size(10**6, 50, 0.5) > 20_000 and selectors.sample_size(10**6, 50, 0.5, most=20_000) == 20_000
