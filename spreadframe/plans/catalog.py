@@ -45,6 +45,18 @@ def users(spark: SparkSession, sf: str) -> Graph:
     return derived.user_graph(spark, sf).materialized()
 
 
+def nations(spark: SparkSession, sf: str) -> Graph:
+    """A small graph, for searches that are sequential within a graph or not yet measured on a larger one."""
+    return derived.nation_graph(spark, sf).materialized()
+
+
+#: Selectors and localisers that run over the user graph; the others run over the nations.
+OVER_USERS = set(
+    "ris_seeds imm_seeds celf_seeds skim_seeds irie_seeds corehd_removal "
+    "lpsi_sources cover_sources effective_distance_scores dmp_scores resimulation_scores rumor_centrality_scores infected_betweenness_scores dynamic_age_scores netsleuth_sources center_times".split()
+)
+
+
 def seeds3(g: Graph, skip: int = 0) -> DataFrame:
     d = structure.degree(g).orderBy(F.desc("score"), "node")
     return d.limit(3).select("node") if not skip else d.limit(6).exceptAll(d.limit(3)).select("node")
@@ -462,7 +474,7 @@ def adaptive_degree_removal(spark, sf):
 
 def _chosen(name, pick):
     def run(spark, sf):
-        g = users(spark, sf)
+        g = (users if name in OVER_USERS else nations)(spark, sf)
         return longs(selectors.ranked(g, pick(g)), "rank")
 
     run.__name__ = name
@@ -576,37 +588,37 @@ def acquaintance_immunization(spark, sf):
 
 @query()
 def preciado_allocation(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.by_score(g, selectors.preciado(g, 6), 5)
 
 
 @query()
 def competitive_ldag_blocking(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.by_score(g, selectors.earlier_reach(g, selectors.nodes_of(g, [0])), 5)
 
 
 @query()
 def multi_hop_proximity_blocking(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.multi_hop_proximity(g, 5, selectors.nodes_of(g, [0]))
 
 
 @query()
 def region_pagerank_blocking(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.in_region(g, structure.pagerank(g, rounds=10, tolerance=None), 5, selectors.nodes_of(g, [0]))
 
 
 @query()
 def edge_betweenness_blocking(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.top_arcs(selectors.tree_arc_scores(g, selectors.nodes_of(g, [0, 5])), 5)
 
 
 @query()
 def netmelt_arcs(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.top_arcs(selectors.arc_products(g, structure.eigenvector(g, 30, both_ways=True)), 5)
 
 
@@ -618,7 +630,7 @@ def dominator_blocking(spark, sf):
 
 @query()
 def link_blocking(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return selectors.top_arcs(kernels.dominator_arcs(dynamics.live_edges(g, 20), selectors.nodes_of(g, [0]), 20), 5)
 
 
@@ -634,29 +646,29 @@ def fiedler_removal(spark, sf):
 
 @query()
 def explosive_immunization(spark, sf):
-    return kernels.explosive_immunization(users(spark, sf).edges, 4)
+    return kernels.explosive_immunization(nations(spark, sf).edges, 4)
 
 
 @query()
 def belief_decycling(spark, sf):
-    return kernels.belief_decycling(users(spark, sf).edges, 3)
+    return kernels.belief_decycling(nations(spark, sf).edges, 3)
 
 
 @query()
 def reinserted_removal(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return kernels.reinserted(g.edges, selectors.by_score(g, structure.degree(g), 6), 0.6)
 
 
 @query()
 def dismantling_curve(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return structure.dismantling_curve(g, selectors.by_score(g, structure.degree(g), 8))
 
 
 @query()
 def residual_connectivity(spark, sf):
-    g = users(spark, sf)
+    g = nations(spark, sf)
     return structure.connectivity(g, seeds3(g))
 
 
@@ -698,14 +710,14 @@ def jordan_center_scores(spark, sf):
     return inference.jordan_scores(g, y)
 
 
-def even_observed(spark, sf) -> tuple[Graph, DataFrame]:
-    g = users(spark, sf)
+def even_observed(spark, sf, graph) -> tuple[Graph, DataFrame]:
+    g = graph(spark, sf)
     return g, written(g.nodes.select("node", F.when(F.col("node") % 2 == 0, 1.0).otherwise(0.0).alias("y")))
 
 
 def _localised(name, score):
     def run(spark, sf):
-        return score(*even_observed(spark, sf))
+        return score(*even_observed(spark, sf, users if name in OVER_USERS else nations))
 
     run.__name__ = name
     query()(run)
