@@ -26,6 +26,16 @@ def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(weighted_cascade(user_arcs(spark, sf_dir)))
 
 
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``graph_id, src, dst, ic_p``: a graph of users for each type of event, arcs as in :func:`user_arcs`."""
+    e = table(spark, sf_dir, "events")
+    order = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    hops = e.select(F.col("event_type").alias("graph_id"), F.lag("user_id").over(order).alias("src"), F.col("user_id").alias("dst"))
+    arcs = hops.where("src is not null and src <> dst").distinct()
+    heads = arcs.groupBy("graph_id", "dst").agg((1.0 / F.count("*")).alias("ic_p"))
+    return arcs.join(heads, ["graph_id", "dst"]).select("graph_id", "src", "dst", "ic_p")
+
+
 def customer_supplier_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs from customers to the suppliers of what they ordered (numbered from 1,000,000)."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

@@ -57,6 +57,16 @@ def read_cascades(spark: SparkSession, path: str) -> DataFrame:
     return parse_cascade_lines(spark.read.text(path))
 
 
+def write_cascades(adoptions: DataFrame, path: str) -> None:
+    """Lines that :func:`read_cascades` reads, from ``cascade_id, publish_time, adopter, elapsed, seq, parent``.
+
+    A line holds its cascade whole, as the format wants it; paths name an adopter and its parent.
+    """
+    hop = F.concat(F.concat_ws("/", F.col("parent").cast("string"), F.col("adopter").cast("string")), F.lit(":"), F.col("elapsed").cast("string"))
+    one = adoptions.groupBy("cascade_id").agg(F.min_by("adopter", "seq").cast("string").alias("root"), F.min("publish_time").cast("string").alias("published"), F.count("*").cast("string").alias("n"), F.array_sort(F.collect_list(F.struct("seq", hop.alias("hop")))).alias("hops"))
+    one.select(F.concat_ws("\t", "cascade_id", "root", "published", "n", F.concat_ws(" ", F.col("hops.hop"))).alias("value")).write.text(path)
+
+
 def published_in(df: DataFrame, first_hour: int | None = None, last_hour: int | None = None, month: int | None = None, year: int | None = None) -> DataFrame:
     """Cascades by hour of day, month and year of their publish time (seconds since 1970, UTC)."""
     ts = F.timestamp_seconds("publish_time")
