@@ -56,6 +56,25 @@ def top_k(scored: DataFrame, k: int, score: str = "score", node: str = "node", b
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def over_earlier(df: DataFrame, order: list[Column], value: Column, name: str, of: Callable = F.sum) -> DataFrame:
+    """``df`` with the sum (or, with ``F.max``, the greatest) of ``value`` over all rows before in the order; null for the first.
+
+    Rows are dealt to ranges of the order and written, so that no task holds all of them; of the ranges only one row each is
+    looked at together. Rows that the order does not tell apart come in any order.
+    """
+    cut = written(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("_part").agg(of("_value").alias("_all")).select("_part", of("_all").over(until(Window.orderBy("_part"))).alias("_before"))
+    within = of("_value").over(until(Window.partitionBy("_part").orderBy(*order)))
+    both = F.greatest("_before", "_within") if of is F.max else F.coalesce(F.col("_before") + F.col("_within"), "_before", "_within")
+    return cut.join(F.broadcast(parts), "_part").withColumn("_within", within).withColumn(name, both).drop("_part", "_value", "_before", "_within")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place from 0 in the order, as :func:`over_earlier` counts."""
+    return over_earlier(df, order, F.lit(1).cast("long"), name).withColumn(name, F.coalesce(name, F.lit(0)))
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, stop: Callable[[DataFrame, DataFrame], bool] | None = None, name: str = "state", settle: bool = False) -> DataFrame:
     """Apply ``step`` up to ``rounds`` times; each result is a written table, so no lineage builds up.
 

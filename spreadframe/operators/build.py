@@ -6,9 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..core import Graph, undirected
+from ..core import Graph, numbered, undirected
 from ..functions.coins import coin
 from .components import connected_components
 
@@ -41,9 +40,7 @@ def dense_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     Ids are counted in ranges first, so that no single task orders all of them.
     """
     raw = edges.select(F.col("src").alias("raw")).union(edges.select("dst")).distinct()
-    ranged = raw.repartitionByRange("raw").sortWithinPartitions("raw").select("raw", F.spark_partition_id().alias("part"))
-    first = ranged.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("first"))
-    ids = ranged.join(first, "part").select("raw", (F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy("raw")) - 1).alias("node"))
+    ids = numbered(raw, [F.asc("raw")], "node")
     out = edges.join(ids.select(F.col("raw").alias("src"), F.col("node").alias("_s")), "src").join(ids.select(F.col("raw").alias("dst"), F.col("node").alias("_d")), "dst")
     return out.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]), ids
 

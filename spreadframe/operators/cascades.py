@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import Graph
+from ..core import Graph, numbered
 from ..functions.coins import coin
 from ..shared import written
 from . import dynamics, structure
@@ -84,9 +84,9 @@ def replay(binned: DataFrame) -> DataFrame:
 def assign_splits(headers: DataFrame, window: int, train: float = 0.7, valid: float = 0.15) -> DataFrame:
     """``cascade_id, publish_time, split``: chronological; training rows whose window reaches the first test row go."""
     n = headers.count()
-    place = F.row_number().over(Window.orderBy("publish_time", "cascade_id")) - 1
+    place = F.col("_place")
     a, b = int(n * train), int(n * train) + int(n * valid)
-    split = headers.select("cascade_id", "publish_time", F.when(place < a, "train").when(place < b, "valid").otherwise("test").alias("split"))
+    split = numbered(headers, [F.asc("publish_time"), F.asc("cascade_id")], "_place").select("cascade_id", "publish_time", F.when(place < a, "train").when(place < b, "valid").otherwise("test").alias("split"))
     first = split.where("split = 'test'").agg(F.min("publish_time").alias("first"))
     return split.join(F.broadcast(first)).where((F.col("split") != "train") | F.col("first").isNull() | (F.col("publish_time") + window <= F.col("first"))).drop("first")
 
@@ -94,9 +94,10 @@ def assign_splits(headers: DataFrame, window: int, train: float = 0.7, valid: fl
 def random_splits(headers: DataFrame, key: str, train: float = 0.7, valid: float = 0.15, seed: int = 0) -> DataFrame:
     """Exact shares after a seeded shuffle of integer keys."""
     n = headers.count()
-    place = F.row_number().over(Window.orderBy(coin(F.col(key), 9, seed, "split"), key)) - 1
+    place = F.col("_place")
     a, b = int(n * train), int(n * train) + int(n * valid)
-    return headers.withColumn("split", F.when(place < a, "train").when(place < b, "valid").otherwise("test"))
+    shuffled = numbered(headers, [coin(F.col(key), 9, seed, "split").asc(), F.asc(key)], "_place")
+    return shuffled.withColumn("split", F.when(place < a, "train").when(place < b, "valid").otherwise("test")).drop("_place")
 
 
 # --- features and forecasts

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..core import numbered, over_earlier
+
 
 def _n(cond: Column) -> Column:
     return F.coalesce(F.sum(cond.cast("int")), F.lit(0))
@@ -133,14 +135,22 @@ def popularity(df: DataFrame) -> DataFrame:
 
 def coverage_at_k(df: DataFrame) -> DataFrame:
     """Overlap of the top tenths by prediction and by truth; null under ten rows."""
-    k = F.floor(F.count("*").over(Window.partitionBy()) / 10)
-    r = df.select(k.alias("k"), F.row_number().over(Window.orderBy(F.desc("predicted"), "id")).alias("a"), F.row_number().over(Window.orderBy(F.desc("actual"), "id")).alias("b"))
-    return r.agg(F.try_divide(_n((F.col("a") <= F.col("k")) & (F.col("b") <= F.col("k"))), F.nullif(F.max("k"), F.lit(0))).alias("coverage"))
+    k = df.count() // 10
+    r = numbered(numbered(df, [F.desc("predicted"), F.asc("id")], "_a"), [F.desc("actual"), F.asc("id")], "_b")
+    return r.agg(F.try_divide(_n((F.col("_a") < k) & (F.col("_b") < k)), F.nullif(F.lit(k), F.lit(0))).alias("coverage"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Correlation of average ranks; 0 where undefined."""
-    r = df.select(*(by or []), average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
+    if by:
+        r = df.select(*by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
+    else:
+        r = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+        for c, name in (("_a", "ra"), ("_b", "rb")):
+            # ranks of the distinct values, counted first
+            per = over_earlier(r.groupBy(c).agg(F.count("*").alias("_n")), [F.asc(c)], F.col("_n"), "_below")
+            ranks = per.select(F.col(c).alias("_v"), (F.coalesce("_below", F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+            r = r.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
     return r.groupBy(*(by or [])).agg(F.when((F.var_pop("ra") > 0) & (F.var_pop("rb") > 0), F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))).otherwise(0.0).alias("rho"))
 
 
@@ -162,8 +172,8 @@ def mean_squared(df: DataFrame, a: str = "predicted", b: str = "observed") -> Da
 
 def wasserstein(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean gap of sorted samples of equal number."""
-    ra = df.select(F.col(a).alias("x"), F.row_number().over(Window.orderBy(a)).alias("r"))
-    rb = df.select(F.col(b).alias("y"), F.row_number().over(Window.orderBy(b)).alias("r"))
+    ra = numbered(df.select(F.col(a).alias("x")), [F.asc("x")], "r")
+    rb = numbered(df.select(F.col(b).alias("y")), [F.asc("y")], "r")
     return ra.join(rb, "r").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("w1"))
 
 

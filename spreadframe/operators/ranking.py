@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..core import over_earlier
 from .metrics import average_rank
 
 
@@ -98,8 +99,8 @@ def pareto_front(points: DataFrame, objectives: dict[str, str], name: str = "nam
 def hypervolume(points: DataFrame, first: str, second: str, reference: tuple[float, float]) -> DataFrame:
     """Area that two maximised objectives dominate above the reference point."""
     p = points.where((F.col(first) > reference[0]) & (F.col(second) > reference[1])).groupBy(F.col(first).alias("x")).agg(F.max(second).alias("y"))
-    w = Window.orderBy(F.desc("x"))
-    best = F.coalesce(F.max("y").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(reference[1]))
+    p = over_earlier(p, [F.desc("x")], F.col("y"), "above", F.max)
+    best = F.coalesce("above", F.lit(reference[1]))
     return p.select("x", (F.greatest(F.lit(0.0), F.col("y") - best) * (F.col("x") - reference[0])).alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("hypervolume"))
 
 
@@ -126,8 +127,8 @@ def calibration(history: DataFrame) -> DataFrame:
 
 def flat_generations(history: DataFrame) -> DataFrame:
     """Trailing steps of ``step, best`` since the best value last rose."""
-    w = Window.orderBy("step")
-    up = history.select("step", (F.col("best") > F.coalesce(F.max("best").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))).alias("up"))
+    so_far = over_earlier(history, [F.asc("step")], F.col("best"), "_top", F.max)
+    up = so_far.select("step", (F.col("best") > F.coalesce("_top", F.lit(float("-inf")))).alias("up"))
     return up.agg((F.max("step") - F.max(F.when(F.col("up"), F.col("step")))).alias("flat"))
 
 

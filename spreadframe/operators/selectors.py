@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..core import Graph, top_k, undirected
+from ..core import Graph, numbered, top_k, undirected
 from ..functions.coins import coin
 from ..shared import written
 from . import dynamics, structure
@@ -103,8 +103,8 @@ def reverse_sets(graph: Graph, theta: int, seed: int = 0, max_hops: int = 1 << 1
     spark = graph.nodes.sparkSession
     ids = written(graph.nodes.select("node").distinct(), "nodes")
     n = ids.count()
-    numbered = ids.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("at"))
-    roots = spark.range(theta).select(F.col("id").alias("rr_id"), F.floor(coin(F.col("id"), 3, seed, "root") * n).cast("int").alias("at")).join(numbered, "at").select("rr_id", "node")
+    placed = numbered(ids, [F.asc("node")], "at")
+    roots = spark.range(theta).select(F.col("id").alias("rr_id"), F.floor(coin(F.col("id"), 3, seed, "root") * n).cast("int").alias("at")).join(placed, "at").select("rr_id", "node")
     arcs = written(graph.edges.select("src", "dst", "ic_p"), "arcs")
     front = seen = written(roots, "front")
     for _ in range(max_hops):
