@@ -34,3 +34,9 @@ def test_ranks_without_groups_equal_ranks_within_one(spark):
     _, df = drawn(spark, 400)
     df = df.withColumn("g", F.lit(1))
     assert metrics.spearman(df, "x", "v").first()["rho"] == pytest.approx(metrics.spearman(df, "x", "v", ["g"]).first()["rho"])
+
+
+def test_mean_gap_of_sorted_samples(spark):
+    data = [(float(a), float(b)) for a, b in zip(random.Random(1).sample(range(900), 60), random.Random(2).sample(range(900), 60))]
+    got = metrics.wasserstein(spark.createDataFrame(data, "a double, b double").repartition(5), "a", "b").first()["w1"]
+    assert got == pytest.approx(sum(abs(x - y) for x, y in zip(sorted(a for a, _ in data), sorted(b for _, b in data))) / 60)
