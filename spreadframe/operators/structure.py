@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..core import Graph, iterate, undirected
 from ..shared import drop_table, written
+from . import tiles
 from .components import connected_components
 
 
@@ -139,66 +140,51 @@ def communities(graph: Graph, rounds: int = 20) -> DataFrame:
 
 def distances(graph: Graph, sources: DataFrame, max_hops: int = 1 << 20, both_ways: bool = False, keyed: bool = False) -> DataFrame:
     """``(key,) node, hop`` of every node within ``max_hops`` of ``sources(node)``; with ``keyed``, for each source on its own."""
+    if keyed:
+        t, levels = _reached(graph, sources, max_hops, both_ways)
+        return tiles.hop_rows(t, levels)
     e = written(undirected(graph.edges) if both_ways else graph.edges.select("src", "dst").distinct(), "arcs")
-    key = F.col("node") if keyed else F.lit(0).cast("long")
-    frontier = written(sources.select(key.alias("key"), "node").distinct().withColumn("hop", F.lit(0)), "frontier")
+    frontier = written(sources.select("node").distinct().withColumn("hop", F.lit(0)), "frontier")
     seen, hop = frontier, 0
     while hop < max_hops:
         hop += 1
-        new = frontier.join(e, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node")).distinct().join(seen, ["key", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        new = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
         frontier = written(new, "frontier")
         if frontier.isEmpty():
             break
         seen = written(seen.unionByName(frontier), "seen")
-    return seen if keyed else seen.drop("key")
+    return seen
+
+
+def _reached(graph: Graph, sources: DataFrame, max_hops: int = 1 << 20, both_ways: bool = False) -> tuple[tiles.Tiled, list[DataFrame]]:
+    e = undirected(graph.edges) if both_ways else graph.edges.select("src", "dst").distinct()
+    return tiles.reached(e, sources, max_hops)
 
 
 def closeness(graph: Graph, sources: DataFrame | None = None, both_ways: bool = False) -> DataFrame:
     """``node, score``: reached / total distance, scaled by the share of nodes reached (outgoing paths)."""
     n = graph.nodes.count()
-    d = distances(graph, graph.nodes if sources is None else sources, both_ways=both_ways, keyed=True)
-    per = d.where("hop > 0").groupBy(F.col("key").alias("node")).agg(F.count("*").alias("r"), F.sum("hop").alias("t"))
+    d = tiles.hop_counts(*_reached(graph, graph.nodes if sources is None else sources, both_ways=both_ways))
+    per = d.where("hop > 0").groupBy(F.col("key").alias("node")).agg(F.sum("n").alias("r"), F.sum(F.col("hop") * F.col("n")).alias("t"))
     scored = per.select("node", (F.col("r") / F.col("t") * F.col("r") / F.lit(max(1, n - 1))).alias("score"))
     return _scored(graph, scored)
 
 
 def eccentricity(graph: Graph, sources: DataFrame | None = None, within: DataFrame | None = None, both_ways: bool = True) -> DataFrame:
     """``node, score``: the largest distance to a reachable node (of ``within``)."""
-    d = distances(graph, graph.nodes if sources is None else sources, both_ways=both_ways, keyed=True)
-    d = d if within is None else d.join(within.select("node"), "node", "left_semi")
+    d = tiles.hop_counts(*_reached(graph, graph.nodes if sources is None else sources, both_ways=both_ways), within)
     return d.groupBy(F.col("key").alias("node")).agg(F.max("hop").cast("double").alias("score"))
 
 
 def betweenness(graph: Graph, pivots: DataFrame | None = None, both_ways: bool = False) -> DataFrame:
     """``node, score``: Brandes dependencies summed over ``pivots`` (all nodes by default).
 
-    A level at a time for all pivots at once: path counts forward, then dependencies back.
+    A level at a time for all pivots at once, in tiles.
     """
-    e = written(undirected(graph.edges) if both_ways else graph.edges.select("src", "dst").distinct(), "arcs")
-    p = graph.nodes if pivots is None else pivots
-    level = written(p.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")
-    levels, seen = [level], level.select("s", "node")
-    while True:
-        new = level.join(e, F.col("node") == F.col("src")).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).withColumnRenamed("dst", "node").join(seen, ["s", "node"], "left_anti")
-        level = written(new.select("s", "node", "paths"), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        seen = written(seen.unionByName(level.select("s", "node")), "seen")
-    spark = e.sparkSession
-    below = None
-    total = spark.createDataFrame([], "s long, node long, dep double")
-    for level in reversed(levels):
-        if below is None:
-            now = level.select("s", "node", "paths", F.lit(0.0).alias("dep"))
-        else:
-            b = below.select("s", F.col("node").alias("t"), F.col("paths").alias("tp"), F.col("dep").alias("td"))
-            flow = level.join(e, F.col("node") == F.col("src")).join(b, (level["s"] == b["s"]) & (F.col("dst") == F.col("t"))).groupBy(level["s"], "node").agg(F.sum(F.col("paths") / F.col("tp") * (1 + F.col("td"))).alias("dep"))
-            now = level.join(flow, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep"))
-        below = written(now, "below")
-        total = total.unionByName(below.where("s <> node").select("s", "node", "dep"))
+    e = undirected(graph.edges) if both_ways else graph.edges.select("src", "dst").distinct()
     half = 0.5 if both_ways else 1.0
-    return _scored(graph, total.groupBy("node").agg((F.sum("dep") * half).alias("score")))
+    dep = tiles.dependencies(e, graph.nodes if pivots is None else pivots)
+    return _scored(graph, dep.select("node", (F.col("score") * half).alias("score")))
 
 
 def path_influence(graph: Graph, max_hops: int = 3) -> DataFrame:
