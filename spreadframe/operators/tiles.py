@@ -221,9 +221,9 @@ def _sums(fronts: dict, into: list, side: int, width: int, wanted: np.ndarray, v
     for sb, s, d, w in into:
         on = alive[sb][s] & wanted[d]
         s, d, w = s[on], d[on], w[on]
-        for i in range(0, len(s), 4096):
-            at = runs(d[i : i + 4096])
-            out[d[i : i + 4096][at]] += np.add.reduceat(value(tiles[sb][s[i : i + 4096]], w[i : i + 4096, None]), at)
+        at = np.append(runs(d), len(d)) if len(d) else [0]
+        for a, b in zip(at[:-1], at[1:]):
+            out[d[a]] += value(tiles[sb][s[a:b]], w[a:b, None]).sum(0)
     return out
 
 
