@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -189,12 +190,10 @@ def betweenness(graph: Graph, pivots: DataFrame | None = None, both_ways: bool =
 
 def path_influence(graph: Graph, max_hops: int = 3) -> DataFrame:
     """``node, score``: over all other nodes, the best product of probabilities on a path of up to ``max_hops`` arcs."""
-    e = graph.edges.select("src", "dst", "ic_p")
-    best = reach = written(e.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("ic_p").alias("p")), "paths")
-    for _ in range(max_hops - 1):
-        reach = written(reach.join(e, F.col("t") == F.col("src")).groupBy("s", "dst").agg(F.max(F.col("p") * F.col("ic_p")).alias("p")).withColumnRenamed("dst", "t").where("s <> t").select("s", "t", "p"), "paths")
-        best = best.unionByName(reach)
-    return _scored(graph, best.groupBy("s", "t").agg(F.max("p").alias("p")).groupBy(F.col("s").alias("node")).agg(F.sum("p").alias("score")))
+    t, best = tiles.best_products(graph.edges.select("src", "dst", F.col("ic_p").alias("w")), graph.nodes, max_hops)
+    nodes = graph.edges.select(F.col("dst").alias("node")).distinct().withColumn("v", F.lit(1.0))
+    total = tiles.column_sums(t, best, nodes, lambda x, v: (np.where(np.isinf(x), 0, x).sum(0),), "score")
+    return _scored(graph, total.groupBy(F.col("key").alias("node")).agg(F.sum("score").alias("score")))
 
 
 def max_probability_paths(graph: Graph, sources: DataFrame, threshold: float = 1 / 320, max_hops: int = 64) -> DataFrame:

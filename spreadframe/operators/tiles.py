@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import numbered
-from ..shared import written
+from ..shared import drop_table, written
 
 SIDE = 8192  # nodes a bucket
 CHUNK = 16384  # arcs a row
@@ -55,11 +55,12 @@ def _dealt(arcs: DataFrame, side: int) -> DataFrame:
     return written(cut.groupBy("sb", "db").applyInPandas(_chunks, "sb int, db int, src binary, dst binary, w binary"), "arc_tiles")
 
 
-def tiled(edges: DataFrame, sources: DataFrame, bits: int, back: bool = False, fixed: DataFrame | None = None, side: int = SIDE, width: int | None = None) -> Tiled:
+def tiled(edges: DataFrame, sources: DataFrame, bits: int, back: bool = False, fixed: DataFrame | None = None, side: int | None = None, width: int | None = None) -> Tiled:
     """Tiles for ``edges(src, dst[, w])`` and ``sources(node)``; ``bits`` is the size of one entry, ``back`` adds reversed arcs.
 
-    Places follow the order of the nodes. Nodes in ``fixed`` start with every source (column -1).
+    Places follow the order of the nodes. Tiles of doubles are 2 MB, of bits 1 MB at most. Nodes in ``fixed`` start with every source (column -1).
     """
+    side = side or (SIDE if bits == 1 else SIDE // 2)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(sources.select("node")).distinct()
     nodes = nodes if fixed is None else nodes.unionByName(fixed.select("node")).distinct()
     at = written(numbered(nodes, [F.col("node")]), "places")
@@ -67,7 +68,7 @@ def tiled(edges: DataFrame, sources: DataFrame, bits: int, back: bool = False, f
     named = written(numbered(sources.select("node").distinct(), [F.col("node")], "q").join(at, "node"), "sources")
     m = named.count()
     # a multiple of 64 columns, so that rows of bits are whole words
-    width = width or max(64, min(HELD * 8 // (bits * max(1, n)), 1024 if bits == 1 else 128, m + 63) // 64 * 64)
+    width = width or max(64, min(HELD * 8 // (bits * max(1, n)), 1024 if bits == 1 else 64, m + 63) // 64 * 64)
     e = edges.withColumn("w", F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0))
     e = e.join(at.select(F.col("node").alias("src"), F.col("place").alias("i")), "src").join(at.select(F.col("node").alias("dst"), F.col("place").alias("j")), "dst")
     e = written(e.select(F.col("i").alias("src"), F.col("j").alias("dst"), "w"), "arcs")
@@ -279,3 +280,122 @@ def dependencies(edges: DataFrame, pivots: DataFrame, **sizes) -> DataFrame:
                 yield pd.DataFrame({"node": ids, "dep": np.frombuffer(r.dep)[: len(ids)]})
 
     return total.join(t.ids, "bucket").mapInPandas(rows, "node long, dep double").groupBy("node").agg(F.sum("dep").alias("score"))
+
+
+# --- costs, probabilities
+
+
+def _reduced(fronts: dict, into: list, side: int, width: int, of: np.ufunc, empty: float, value: Callable) -> np.ndarray:
+    """Per head the least or greatest, by ``of``, of ``value(rows of the tail's tile, weights)``."""
+    out = np.full((side, width), empty)
+    for sb, s, d, w in into:
+        x = np.frombuffer(fronts[sb]).reshape(side, width)
+        live = (x != empty).any(1)[s]
+        s, d, w = s[live], d[live], w[live]
+        at = np.append(runs(d), len(d)) if len(d) else [0]
+        for a, b in zip(at[:-1], at[1:]):
+            out[d[a]] = of(out[d[a]], of.reduce(value(x[s[a:b]], w[a:b, None]), axis=0))
+    return out
+
+
+def column_sums(t: Tiled, tiles: DataFrame, nodes: DataFrame, measure: Callable, names: str) -> DataFrame:
+    """``key`` and sums by source: ``measure(rows of a tile, v)`` gives an array a column of ``names``, ``v`` the rows' value in ``nodes(node, v)``.
+
+    Nodes that are not in ``nodes`` are left out; the result has a row for each source and bucket.
+    """
+    side, width = t.side, t.width
+    cols = names.split()
+    unpacked = t.ids.mapInPandas(lambda parts: (pd.DataFrame({"bucket": np.int32(r.bucket), "place": np.arange(len(r.ids) // 8, dtype=np.int32), "node": np.frombuffer(r.ids, np.int64)}) for p in parts for r in p.itertuples()), "bucket int, place int, node long")
+    at = unpacked.join(nodes.select("node", F.col("v").cast("double").alias("v")), "node").groupBy("bucket").agg(F.collect_list(F.struct("place", "v")).alias("at"))
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for r in p.itertuples():
+                keys = np.frombuffer(r.keys, np.int64)
+                rows, v = np.array([x["place"] for x in r.at]), np.array([x["v"] for x in r.at])
+                got = measure(np.frombuffer(r.seen).reshape(side, width)[rows][:, : len(keys)], v[:, None])
+                yield pd.DataFrame({"key": keys, **dict(zip(cols, got))})
+
+    return tiles.where("seen is not null").join(at, "bucket").join(t.keys, "block").mapInPandas(sums, "key long, " + ", ".join(f"{c} double" for c in cols))
+
+
+def least_costs(edges: DataFrame, sources: DataFrame, max_rounds: int, **sizes) -> tuple[Tiled, DataFrame]:
+    """Tiles whose ``seen`` holds the least sum of ``w`` from each source to each node, infinite if unreached; unsettled costs are an error."""
+    t = tiled(edges, sources, 64, **sizes)
+    side, width = t.side, t.width
+
+    def start(rows, cols):
+        f = np.full((side, width), np.inf)
+        f[rows, cols] = 0
+        return f.tobytes(), f.tobytes()
+
+    def combine(fronts, into, seen):
+        old = np.full((side, width), np.inf) if seen is None else np.frombuffer(seen).reshape(side, width)
+        new = _reduced(fronts, into, side, width, np.minimum, np.inf, lambda x, w: x + w)
+        better = new < old
+        if not better.any():
+            return None if seen is None else (None, seen)
+        return np.where(better, new, np.inf).tobytes(), np.where(better, new, old).tobytes()
+
+    now = written(first_tiles(t, start), "costs")
+    for _ in range(max_rounds):
+        new = written(pushed(t, now, combine), "costs")
+        drop_table(now)
+        now = new
+        if now.where("front is not null").isEmpty():
+            return t, now
+    raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
+
+
+def best_products(edges: DataFrame, sources: DataFrame, max_hops: int, **sizes) -> tuple[Tiled, DataFrame]:
+    """Tiles whose ``seen`` holds the greatest product of ``w`` over walks of up to ``max_hops`` arcs that do not meet their source again; infinite at the source."""
+    t = tiled(edges, sources, 64, **sizes)
+    side, width = t.side, t.width
+
+    def start(rows, cols):
+        f, own = np.zeros((side, width)), np.zeros((side, width))
+        f[rows, cols], own[rows, cols] = 1, np.inf
+        return f.tobytes(), own.tobytes()
+
+    def combine(fronts, into, seen):
+        old = np.zeros((side, width)) if seen is None else np.frombuffer(seen).reshape(side, width)
+        new = np.where(np.isinf(old), 0, _reduced(fronts, into, side, width, np.maximum, 0.0, lambda x, w: x * w))
+        if not new.any():
+            return None if seen is None else (None, seen)
+        return new.tobytes(), np.maximum(old, new).tobytes()
+
+    now = written(first_tiles(t, start), "products")
+    for _ in range(max_hops):
+        new = written(pushed(t, now, combine), "products")
+        drop_table(now)
+        now = new
+    return t, now
+
+
+def mean_fields(edges: DataFrame, sources: DataFrame, steps: int, first: float = 1.0, fixed: DataFrame | None = None, least: float = 0.0, **sizes) -> tuple[Tiled, DataFrame]:
+    """Tiles whose ``seen`` holds the mean-field probability of each node after ``steps`` when a source starts at ``first`` and ``fixed`` nodes at 1."""
+    t = tiled(edges, sources, 64, fixed=fixed, **sizes)
+    side, width = t.side, t.width
+
+    def start(rows, cols):
+        f = np.zeros((side, width))
+        f[rows[cols >= 0], cols[cols >= 0]] = first
+        f[rows[cols < 0]] = 1
+        return f.tobytes(), f.tobytes()
+
+    def combine(fronts, into, seen):
+        old = np.zeros((side, width)) if seen is None else np.frombuffer(seen).reshape(side, width)
+        # a certain arc gives log 0, so that the product is exactly 1
+        with np.errstate(divide="ignore"):
+            logs = _sums(fronts, into, side, width, np.ones(side, bool), lambda x, w: np.log1p(-np.minimum(1, np.where(x > least, x, 0) * w)))
+        x = (1 - old) * -np.expm1(logs)
+        if not x.any():
+            return None if seen is None else (None, seen)
+        return x.tobytes(), (old + x).tobytes()
+
+    now = written(first_tiles(t, start), "fields")
+    for _ in range(steps):
+        new = written(pushed(t, now, combine), "fields")
+        drop_table(now)
+        now = new
+    return t, now

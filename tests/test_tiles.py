@@ -72,3 +72,48 @@ def test_dependencies_equal_counted_paths(spark, arcs):
     e = spark.createDataFrame(arcs, "src long, dst long")
     got = {r.node: r.score for r in tiles.dependencies(e, spark.createDataFrame([(v,) for v in nodes], "node long"), side=16, width=64).collect()}
     assert {v: got.get(v, 0) for v in nodes} == pytest.approx(want)
+
+
+def test_costs_products_and_fields_equal_plain_rounds(spark, arcs):
+    r = np.random.default_rng(8)
+    weighted = [(a, b, float(w)) for (a, b), w in zip(arcs, r.choice([0.1, 0.3, 0.7, 1.0], len(arcs)))]
+    nodes = sorted({v for a in arcs for v in a})
+    e, of = spark.createDataFrame(weighted, "src long, dst long, w double"), spark.createDataFrame([(v,) for v in nodes], "node long")
+    value = of.selectExpr("node", "cast(1 as double) as v")
+    total = lambda t, tiles_: {x.key: x.s for x in tiles.column_sums(t, tiles_, value, lambda x, v: (np.where(np.isinf(x), 0, x).sum(0),), "s").groupBy("key").agg({"s": "sum"}).withColumnRenamed("sum(s)", "s").collect()}
+    cost, best, field = {}, {}, {}
+    for s in nodes:
+        d, old = {s: 0.0}, None
+        while d != old:
+            old, d = d, dict(d)
+            for a, b, w in weighted:
+                if a in old:
+                    d[b] = min(d.get(b, np.inf), old[a] + w)
+        cost[s] = sum(d.values())
+        top, front = {}, {s: 1.0}
+        for _ in range(3):
+            new = {}
+            for a, b, w in weighted:
+                if a in front and b != s:
+                    new[b] = max(new.get(b, 0), front[a] * w)
+            top, front = {v: max(top.get(v, 0), new.get(v, 0)) for v in {*top, *new}}, new
+        best[s] = sum(top.values())
+        p, front = {s: 0.5, nodes[0]: 1.0}, {s: 0.5, nodes[0]: 1.0}
+        for _ in range(3):
+            miss = {}
+            for a, b, w in weighted:
+                if a in front:
+                    miss[b] = miss.get(b, 1) * (1 - front[a] * w)
+            front = {v: (1 - p.get(v, 0)) * (1 - m) for v, m in miss.items()}
+            p = {v: p.get(v, 0) + front.get(v, 0) for v in {*p, *front}}
+        field[s] = sum(p.values())
+    sizes = {"side": 16, "width": 64}
+    assert total(*tiles.least_costs(e, of, 64, **sizes)) == pytest.approx(cost)
+    assert total(*tiles.best_products(e, of, 3, **sizes)) == pytest.approx(best)
+    assert total(*tiles.mean_fields(e, of, 3, 0.5, of.orderBy("node").limit(1), **sizes)) == pytest.approx(field)
+
+
+def test_costs_that_do_not_settle_are_an_error(spark, arcs):
+    e = spark.createDataFrame([(*a, 1.0) for a in arcs], "src long, dst long, w double")
+    with pytest.raises(RuntimeError):
+        tiles.least_costs(e, spark.createDataFrame([(300,)], "node long"), 3, side=16)
