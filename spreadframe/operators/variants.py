@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..core import Graph, iterate, top_k, undirected
 from ..functions.coins import coin
 from ..shared import written
-from . import dynamics, inference, kernels, selectors, structure
+from . import dynamics, inference, kernels, selectors, structure, tiles
 from .selectors import by_score, greedy, max_coverage, nodes_of, padded, reverse_sets, simulated_gain
 
 
@@ -398,20 +398,15 @@ def lost_nodes(candidate: DataFrame, incumbent: DataFrame, k: int) -> DataFrame:
 
 def spread_gradient(graph: Graph, seeds: DataFrame, candidates: DataFrame, horizon: int, step: float = 1e-4) -> DataFrame:
     """``node, gradient``: change of the mean-field spread with a candidate's own seed probability, all candidates at once."""
-    from ..core import product_of
+    e, of = graph.edges.select("src", "dst", F.col("ic_p").alias("w")), graph.nodes.select("node", F.lit(1.0).alias("v"))
 
-    arcs = written(graph.edges.select("src", "dst", "ic_p"), "arcs")
-    keys = candidates.select(F.col("node").alias("key")).unionByName(graph.nodes.sparkSession.createDataFrame([(-1,)], "key long"))
-    fixed = keys.join(F.broadcast(seeds.select("node"))).select("key", "node", F.lit(1.0).alias("p"))
-    extra = candidates.join(seeds, "node", "left_anti").select(F.col("node").alias("key"), "node", F.lit(step).alias("p"))
-    now = written(fixed.unionByName(extra).select("key", "node", "p", F.col("p").alias("front")), "field")
-    for _ in range(horizon):
-        hit = now.where("front > 0").join(arcs, F.col("node") == F.col("src")).groupBy("key", "dst").agg(product_of(F.col("ic_p") * F.col("front")).alias("x")).withColumnRenamed("dst", "node")
-        p, x = F.coalesce("p", F.lit(0.0)), F.coalesce("x", F.lit(0.0))
-        now = written(now.select("key", "node", "p").join(hit, ["key", "node"], "full_outer").select("key", "node", (p + (1 - p) * x).alias("p"), ((1 - p) * x).alias("front")), "field")
-    total = written(now.groupBy("key").agg(F.sum("p").alias("v")), "values")
-    base = total.where("key = -1").select(F.col("v").alias("base"))
-    return total.where("key >= 0").join(F.broadcast(base)).select(F.col("key").alias("node"), ((F.col("v") - F.col("base")) / step).alias("gradient"))
+    def spread(sources: DataFrame) -> DataFrame:
+        t, now = tiles.mean_fields(e, sources, horizon, step, seeds)
+        return written(tiles.column_sums(t, now, of, lambda x, v: (x.sum(0),), "v").groupBy("key").agg(F.sum("v").alias("v")), "values")
+
+    # a seed is there already, so its own run is the one without further candidates
+    base = spread(seeds.limit(1)).select(F.col("v").alias("base"))
+    return spread(candidates).join(F.broadcast(base)).select(F.col("key").alias("node"), ((F.col("v") - F.col("base")) / step).alias("gradient"))
 
 
 def padded_choice(graph: Graph, ids: list[int], k: int) -> DataFrame:
