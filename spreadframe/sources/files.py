@@ -43,7 +43,9 @@ def parse_cascade_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     fewer fields and paths without a time or with a bad one are dropped. Ids are strings.
     """
     f = F.split(column, "\t")
-    rows = lines.where(F.size(f) >= 5).select(f[0].alias("cascade_id"), f[1].alias("root"), f[2].alias("published"), F.posexplode(F.split(f[4], " ")).alias("place", "path"))
+    # the fields are cut before the paths are laid out, so that a line is not split again for each of its paths
+    fields = lines.where(F.size(f) >= 5).select(f[0].alias("cascade_id"), f[1].alias("root"), f[2].alias("published"), f[4].alias("paths"))
+    rows = fields.select("cascade_id", "root", "published", F.posexplode(F.split("paths", " ")).alias("place", "path"))
     time = F.coalesce(F.expr("try_cast(published AS bigint)"), F.datediff(F.expr("try_cast(published AS date)"), F.lit("1970-01-01")).cast("long"))
     hop = F.split(F.substring_index("path", ":", 1), "/")
     parsed = rows.where("path like '%:%'").select("cascade_id", "root", time.alias("publish_time"), "place", F.element_at(hop, -1).alias("adopter"), F.when(F.size(hop) > 1, F.element_at(hop, -2)).alias("parent"), F.expr("try_cast(substring_index(path, ':', -1) AS bigint)").alias("elapsed"))

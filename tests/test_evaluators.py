@@ -176,3 +176,10 @@ def test_written_cascades_are_read_back(spark, tmp_path):
     files.write_cascades(a, str(tmp_path / "lines"))
     got = rows(files.read_cascades(spark, str(tmp_path / "lines")), "cascade_id", "root", "publish_time", "adopter", "elapsed", "parent", "seq")
     assert got == [("x", "1", 7, "1", 0, None, 0), ("x", "1", 7, "2", 5, "1", 1), ("x", "1", 7, "3", 5, "2", 2), ("y", "4", 9, "4", 0, None, 0)]
+
+
+def test_a_cascade_line_is_cut_once_and_not_again_for_each_path(spark):
+    lines = spark.createDataFrame([("c\t1\t5\t2\t1:0 1/2:3",)], "value string")
+    plan = files.parse_cascade_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "value#" not in above and "value#" in below
