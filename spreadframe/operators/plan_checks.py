@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..core import undirected
+from ..shared import written
 
 #: Ops that name an arc.
 ARC_OPS = ("add_edge", "remove_edge", "set_edge_weight")
 KEY = ["plan", "op", "target", "destination"]
+#: Neighbours in a list that travels as one row, about, and pairs that a task lays out.
+LIST, ROWS = 4096, 500_000
 
 
 def checked_actions(log: DataFrame, nodes: DataFrame, edges: DataFrame, allowed: list[str], budget_op: str, budget: int, protected: DataFrame) -> DataFrame:
@@ -54,14 +57,33 @@ def expanded_actions(log: DataFrame, edges: DataFrame, isolate: bool = False) ->
     A removed node loses its arcs both ways; with ``isolate`` it stays and only they go. Other actions pass.
     Of equal actions of a step the first stays, so expanding again changes nothing.
     """
-    near = undirected(edges).select(F.col("src").alias("target"), F.col("dst").alias("near"))
-    removal = F.col("op") == "remove_node"
-    plain = log.select("plan", "t", "seq", F.lit(0).cast("long").alias("sub"), "op", "target", F.when(F.col("op").isin(*ARC_OPS), F.col("destination")).alias("destination"))
-    plain = plain.where(~removal) if isolate else plain
-    arcs = log.where(removal).join(near, "target").select("plan", "t", "seq", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("target").alias("a"), F.col("near").alias("b")), F.struct(F.lit(2).alias("way"), F.col("near").alias("a"), F.col("target").alias("b")))).alias("s"), "near")
-    arcs = arcs.select("plan", "t", "seq", (2 * F.col("near") + F.col("s.way")).alias("sub"), F.lit("remove_edge").alias("op"), F.col("s.a").alias("target"), F.col("s.b").alias("destination"))
-    both = plain.unionByName(arcs)
-    return both.groupBy("plan", "t", "op", "target", "destination").agg(F.min(F.struct("seq", "sub")).alias("m")).select("plan", "t", "m.seq", "m.sub", "op", "target", "destination")
+    removal, ends = F.col("op") == "remove_node", F.when(F.col("op").isin(*ARC_OPS), F.col("destination"))
+    arc = (F.col("op") == "remove_edge") & F.col("destination").isNotNull() & (F.col("target") != F.col("destination"))
+    others = log.where(~F.coalesce(arc, F.lit(False)) & (~removal if isolate else F.lit(True)))
+    others = others.groupBy("plan", "t", "op", "target", ends.alias("destination")).agg(F.min("seq").alias("seq")).select("plan", "t", "seq", F.lit(0).cast("long").alias("sub"), "op", "target", "destination")
+
+    # neighbours travel in lists, and are laid out only where their plan and step already are
+    near = written(undirected(edges).select(F.col("src").alias("target"), F.col("dst").alias("near")), "near")
+    degree = near.groupBy("target").agg(F.count("*").alias("degree"))
+    dealt = F.pmod(F.xxhash64("near"), F.ceil(F.col("degree") / LIST))
+    lists = near.join(degree, "target").groupBy("target", dealt.alias("part")).agg(F.collect_list("near").alias("near")).drop("part")
+    removed = log.where(removal).groupBy("plan", "t", "target").agg(F.min("seq").alias("seq"))
+    named = log.where(arc).groupBy("plan", "t", "target", "destination").agg(F.min("seq").alias("seq"))
+    rows = removed.join(degree, "target").agg(F.sum("degree")).first()[0] or 0
+    width = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS + 1)
+    sent = removed.join(lists, "target").select("plan", "t", "seq", F.lit(False).alias("own"), "target", "near").unionByName(
+        named.select("plan", "t", "seq", F.lit(True).alias("own"), "target", F.array("destination").alias("near"))
+    ).repartition(width, "plan", "t")
+    pairs = sent.withColumn("near", F.explode("near")).withColumn("lo", F.least("target", "near")).withColumn("hi", F.greatest("target", "near"))
+    own, low = F.col("own"), F.col("target") == F.col("lo")
+    least = lambda when, name: F.min(F.when(when, F.col("seq"))).alias(name)
+    pairs = pairs.groupBy("plan", "t", "lo", "hi").agg(least(~own & low, "by_lo"), least(~own & ~low, "by_hi"), least(own & low, "up"), least(own & ~low, "down"))
+    at = lambda seq, sub: F.when(F.col(seq).isNotNull(), F.struct(F.col(seq).alias("seq"), sub.cast("long").alias("sub")))
+    lo, hi = F.col("lo"), F.col("hi")
+    first_up, first_down = F.least(at("by_lo", 2 * hi + 1), at("by_hi", 2 * lo + 2), at("up", F.lit(0))), F.least(at("by_hi", 2 * lo + 1), at("by_lo", 2 * hi + 2), at("down", F.lit(0)))
+    both = F.array(F.struct(lo.alias("target"), hi.alias("destination"), first_up.alias("m")), F.struct(hi.alias("target"), lo.alias("destination"), first_down.alias("m")))
+    arcs = pairs.select("plan", "t", F.explode(both).alias("s")).where("s.m is not null")
+    return others.unionByName(arcs.select("plan", "t", "s.m.seq", "s.m.sub", F.lit("remove_edge").alias("op"), "s.target", "s.destination"))
 
 
 def filled_plans(picks: DataFrame, scores: DataFrame, budget: int, protected: DataFrame) -> DataFrame:

@@ -98,3 +98,25 @@ def test_weak_runs_and_persistence(spark):
     assert sorted((r["region"], r["first"], r["last"], r["turns"]) for r in plan_checks.weak_runs(df).collect()) == [("x", 1, 2, 2), ("x", 4, 5, 2), ("y", 0, 5, 6), ("z", 3, 3, 1), ("z", 5, 5, 1)]
     assert {r["region"]: r["max_coverage"] for r in plan_checks.persistent_weakness(df, 2).collect()} == {"x": 0.5, "y": 0.5}
     assert plan_checks.persistent_weakness(df, 7).count() == 0
+
+
+def test_expanded_removals_send_neighbours_in_lists(spark):
+    """Each pair of a step once, with the earliest of what removes it, and no exchange of rows a pair."""
+    from spreadframe.operators import plan_checks
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "src long, dst long")
+    log = spark.createDataFrame(
+        [("p", 0, 5, "remove_node", 1, None), ("p", 0, 3, "remove_node", 2, None), ("p", 0, 4, "remove_edge", 1, 2), ("p", 0, 2, "remove_edge", 3, 1), ("p", 0, 7, "remove_node", 2, None), ("p", 1, 8, "remove_edge", 2, None), ("p", 1, 9, "remove_edge", 4, 4), ("p", 1, 1, "add_node", 9, 9)],
+        "plan string, t long, seq long, op string, target long, destination long",
+    )
+    got = plan_checks.expanded_actions(log, edges)
+    want = {
+        (0, 5, 0, "remove_node", 1, None), (0, 3, 0, "remove_node", 2, None),
+        (0, 3, 3, "remove_edge", 2, 1), (0, 3, 4, "remove_edge", 1, 2), (0, 3, 7, "remove_edge", 2, 3), (0, 3, 8, "remove_edge", 3, 2), (0, 2, 0, "remove_edge", 3, 1), (0, 5, 7, "remove_edge", 1, 3),
+        (1, 8, 0, "remove_edge", 2, None), (1, 9, 0, "remove_edge", 4, 4), (1, 1, 0, "add_node", 9, None),
+    }
+    rows = [(r["t"], r["seq"], r["sub"], r["op"], r["target"], r["destination"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(plan" in plan and not any("Exchange" in line and "lo#" in line for line in plan.splitlines())
+    assert any("Exchange" in line and "REPARTITION_BY_NUM" in line for line in plan.splitlines())
