@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..core import Graph, numbered
 from ..functions.coins import coin
-from ..shared import written
+from ..shared import drop_table, written
 from . import dynamics, structure
 
 
@@ -293,16 +293,25 @@ def neighbourhood_size(graph: Graph, binned: DataFrame, window: int) -> DataFram
 
 
 def reachable_size(graph: Graph, binned: DataFrame, window: int, hops: int) -> DataFrame:
-    """observed + nodes within ``hops`` of any adopter."""
+    """observed + nodes within ``hops`` of any adopter.
+
+    The cascades that have reached a node are bits of a few longs of its row, so an arc carries all of them at once.
+    """
     arcs = written(graph.edges.select("src", "dst").distinct(), "arcs")
-    seen = written(binned.where(F.col("t") < window).select("cascade_id", "node"), "seen")
-    front = seen
+    early = binned.where(F.col("t") < window).select("cascade_id", "node")
+    ids = written(numbered(early.select("cascade_id").distinct(), [F.asc("cascade_id")], "q"), "cascades")
+    bit = F.expr("shiftleft(1L, cast(q % 64 as int))")
+    seen = written(early.join(F.broadcast(ids), "cascade_id").groupBy("node", F.floor(F.col("q") / 64).alias("block")).agg(F.bit_or(bit).alias("bits")).withColumn("new", F.col("bits")), "seen")
+    none = F.lit(0).cast("long")
     for _ in range(hops):
-        front = written(front.join(arcs, F.col("node") == F.col("src")).select("cascade_id", F.col("dst").alias("node")).distinct().join(seen, ["cascade_id", "node"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = written(seen.unionByName(front), "seen")
-    return seen.groupBy("cascade_id").agg(F.count("*").cast("double").alias("predicted"))
+        got = seen.where("new <> 0").join(arcs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("new").alias("got"))
+        both = seen.select("node", "block", "bits").join(got, ["node", "block"], "full_outer").select("node", "block", F.coalesce("bits", none).alias("bits"), F.coalesce("got", none).alias("got"))
+        more = written(both.select("node", "block", F.col("bits").bitwiseOR(F.col("got")).alias("bits"), F.col("got").bitwiseAND(F.bitwise_not("bits")).alias("new")), "seen")
+        drop_table(seen)
+        seen = more
+    counts = seen.groupBy("block").agg(F.array(*(F.sum(F.expr(f"shiftright(bits, {i}) & 1L")) for i in range(64))).alias("n"))
+    each = counts.select("block", F.posexplode("n").alias("at", "n")).select((F.col("block") * 64 + F.col("at")).alias("q"), "n")
+    return ids.join(each, "q").select("cascade_id", F.col("n").cast("double").alias("predicted"))
 
 
 def degree_scaled(graph: Graph, binned: DataFrame, window: int, horizon: int) -> DataFrame:
