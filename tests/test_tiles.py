@@ -117,3 +117,11 @@ def test_costs_that_do_not_settle_are_an_error(spark, arcs):
     e = spark.createDataFrame([(*a, 1.0) for a in arcs], "src long, dst long, w double")
     with pytest.raises(RuntimeError):
         tiles.least_costs(e, spark.createDataFrame([(300,)], "node long"), 3, side=16)
+
+
+def test_levels_keep_no_seen_sets(spark, arcs):
+    nodes = spark.createDataFrame([(v,) for v in sorted({v for a in arcs for v in a})], "node long")
+    levels = tiles.reached(spark.createDataFrame(arcs, "src long, dst long"), nodes, side=16, width=64)[1]
+    assert len(levels) > 5 and all(level.columns == ["block", "bucket", "front"] for level in levels)
+    # what a hop does not reach has no row
+    assert levels[-1].where("front is null").isEmpty()
