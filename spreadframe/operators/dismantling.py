@@ -7,7 +7,10 @@ what is sequential (the next hub of the 2-core, the next node of a cover) costs
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,42 +19,22 @@ from ..functions.coins import coin
 from ..shared import drop_table, written
 from . import selectors, structure
 from .components import connected_components
-
-
-#: Rounds of peeling that one job does.
-STEPS = 3
+from .structure import peeled
 
 
 def _without(edges: DataFrame, nodes: list[int]) -> DataFrame:
     return edges.where(~F.col("src").isin(nodes) & ~F.col("dst").isin(nodes)) if nodes else edges
 
 
-def peeled(edges: DataFrame) -> DataFrame:
-    """Arcs (both ways) of the 2-core: ends with one neighbour go until none is left.
-
-    A round takes all such ends, so there are as many rounds as the longest dangling path has nodes.
-    """
-    now = written(edges.select("src", "dst"), "core")
-    n = now.count()
-    while n:
-        step = now
-        for _ in range(STEPS):
-            inner = step.groupBy("src").agg(F.count("*").alias("d")).where("d >= 2").select(F.col("src").alias("node"))
-            step = step.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi")
-        new = written(step, "core")
-        left = new.count()
-        drop_table(now)
-        now, before, n = new, n, left
-        if left == before:
-            break
-    return now
-
-
 def decycled(edges: DataFrame, k: int) -> list[int]:
     """Up to ``k`` nodes: the best-connected node of the 2-core (ties to the smallest id), until no cycle is left."""
     chosen: list[int] = []
     core = peeled(edges)
     while len(chosen) < k:
+        if core.count() <= structure.SMALL:
+            left = k - len(chosen)
+            picks = core.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda arcs: _hubs(arcs, left), "turn long, src long")
+            return [*chosen, *(r["src"] for r in picks.orderBy("turn").collect())]
         best = core.groupBy("src").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "src").first()
         if best is None:
             break
@@ -60,17 +43,79 @@ def decycled(edges: DataFrame, k: int) -> list[int]:
     return chosen
 
 
+def _hubs(arcs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The picks of :func:`decycled` within a 2-core that one task holds."""
+    near: dict[int, set[int]] = {}
+    for a, b in arcs[["src", "dst"]].itertuples(index=False):
+        near.setdefault(a, set()).add(b)
+    heap = [(-len(n), v) for v, n in near.items()]
+    heapify(heap)
+    out: list[int] = []
+    while heap and len(out) < k:
+        d, v = heappop(heap)
+        if -d != len(near.get(v, ())) or not d:
+            continue  # an older degree
+        out.append(v)
+        gone = [v]
+        while gone:
+            u = gone.pop()
+            for w in near.pop(u, ()):
+                near[w].discard(u)
+                if len(near[w]) < 2:
+                    gone.append(w)
+                heappush(heap, (-len(near[w]), w))
+    return pd.DataFrame({"turn": np.arange(len(out)), "src": np.array(out, np.int64)})
+
+
+def _rest_sizes(_, arcs: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
+    """:func:`tree_sizes` of a forest that one task holds; nodes beside a cycle are left out."""
+    sizes = sizes.sort_values("node")
+    ids, size = sizes["node"].to_numpy(np.int64), sizes["size"].tolist()
+    a, b = np.searchsorted(ids, arcs["src"]), np.searchsorted(ids, arcs["dst"])
+    d = np.bincount(a, minlength=len(ids)).tolist()
+    # the sum of a node's neighbours is the last of them once it is a leaf
+    last = np.zeros(len(ids), np.int64)
+    np.add.at(last, a, b)
+    last, out = last.tolist(), []
+    out += [(v, -1) for v, n in enumerate(d) if n == 0]
+    leaves = [v for v, n in enumerate(d) if n == 1]
+    while leaves:
+        level = set(leaves)
+        cut = [v for v in leaves if not (last[v] in level and v < last[v])]
+        roots = [v for v in leaves if last[v] in level and v < last[v]]
+        touched = []
+        for v in cut:
+            p = last[v]
+            out.append((v, p))
+            size[p] += size[v]
+            d[p] -= 1
+            last[p] -= v
+            touched.append(p)
+        out += [(v, -1) for v in roots]
+        done = set(roots)
+        # a node whose last neighbours all went in this round is a root
+        out += [(p, -1) for p in set(touched) if d[p] == 0 and p not in done]
+        leaves = [p for p in set(touched) if d[p] == 1]
+    node, parent = (np.array([r[i] for r in out], np.int64) for i in (0, 1))
+    return pd.DataFrame({"node": ids[node], "parent": pd.array(np.where(parent < 0, 0, ids[parent]), "Int64").copy(), "size": np.array(size, np.int64)[node]}).assign(parent=lambda x: x["parent"].mask(parent < 0))
+
+
 def tree_sizes(forest: DataFrame) -> DataFrame:
     """``node, parent, size``: every tree of a forest rooted by peeling leaves, with the nodes below each one.
 
     ``forest`` has arcs both ways. All trees are peeled at once; a round hands the sizes of all leaves
-    to their neighbours, so rounds grow with the radius of the widest tree. Of two nodes left the
-    smaller id is the root (parent null). Raises on a cycle.
+    to their neighbours, so rounds grow with the radius of the widest tree, until one task may hold what is
+    left. Of two nodes left the smaller id is the root (parent null). Raises on a cycle.
     """
     arcs = written(forest.select("src", "dst").distinct(), "arcs")
     sizes = written(arcs.select(F.col("src").alias("node")).distinct().withColumn("size", F.lit(1).cast("long")), "sizes")
     out: list[DataFrame] = []
-    while not arcs.isEmpty():
+    while True:
+        if arcs.count() <= structure.SMALL:
+            rest = written(arcs.withColumn("one", F.lit(0)).groupBy("one").cogroup(sizes.withColumn("one", F.lit(0)).groupBy("one")).applyInPandas(_rest_sizes, "node long, parent long, size long"), "rest")
+            if rest.count() < sizes.count():
+                raise ValueError("a cycle is left: not a forest")
+            return reduce(DataFrame.unionByName, out, rest)
         ends = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"), F.min("dst").alias("parent")).where("d = 1").select("node", "parent")
         twin = ends.select(F.col("node").alias("parent"), F.col("parent").alias("node"))
         # both ends of a last arc are leaves: the smaller one stays
@@ -85,8 +130,6 @@ def tree_sizes(forest: DataFrame) -> DataFrame:
         new = written(arcs.join(gone, F.col("src") == F.col("x"), "left_anti").join(gone, F.col("dst") == F.col("x"), "left_anti"), "arcs")
         drop_table(arcs)
         arcs = new
-    roots = sizes.select("node", F.lit(None).cast("long").alias("parent"), "size")
-    return reduce(DataFrame.unionByName, out, roots)
 
 
 def centroids(forest: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,12 +16,12 @@ from ..shared import drop_table, written
 from . import tiles
 from .components import connected_components
 
-
 #: Rounds of peeling that one job does, and arcs that one task may hold to peel the rest of a graph.
 STEPS, SMALL = 3, 1 << 20
 #: Arcs between two groups of nodes, about, and wedges looked at together, when triangles are counted.
 PART = 1 << 20
 
+
 def degree(graph: Graph) -> DataFrame:
     """``node, score``: arcs in and out."""
     ends = graph.edges.select(F.col("src").alias("node")).unionByName(graph.edges.select(F.col("dst").alias("node")))
@@ -113,15 +114,6 @@ def spectral_radius(graph: Graph, removed: DataFrame | None = None, rounds: int
     return float(size - 1)
 
 
-def core_numbers(graph: Graph) -> DataFrame:
-    """``node, core``: the largest k such that the node is in the k-core of the undirected view (h-index iteration)."""
-    e = written(undirected(graph.edges), "arcs")
-    start = graph.nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core")), "node", "left").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
-
-    def step(now: DataFrame, _: int) -> DataFrame:
-        # a neighbour list is summed by value first, so a hub is a few counts and not its neighbours
-        per = e.join(now, F.col("dst") == F.col("node")).groupBy("src", "core").agg(F.count("*").alias("n"))
-        above = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0))
 def spectral_radii(graph: Graph, without: list[int | None], rounds: int = 60) -> list[float]:
     """:func:`spectral_radius` of the graph without each of some nodes (None: whole), all of them columns of the same vector.
 
@@ -153,6 +145,15 @@ def spectral_radii(graph: Graph, without: list[int | None], rounds: int = 60) ->
     return out
 
 
+def core_numbers(graph: Graph) -> DataFrame:
+    """``node, core``: the largest k such that the node is in the k-core of the undirected view (h-index iteration)."""
+    e = written(undirected(graph.edges), "arcs")
+    start = graph.nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core")), "node", "left").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
+
+    def step(now: DataFrame, _: int) -> DataFrame:
+        # a neighbour list is summed by value first, so a hub is a few counts and not its neighbours
+        per = e.join(now, F.col("dst") == F.col("node")).groupBy("src", "core").agg(F.count("*").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0))
         h = per.withColumn("above", above).groupBy("src").agg(F.max(F.least("core", "above")).alias("h"))
         return now.join(h, F.col("node") == F.col("src"), "left").select("node", F.least("core", F.coalesce("h", F.lit(0))).alias("core"))
 
@@ -162,7 +163,41 @@ def spectral_radii(graph: Graph, without: list[int | None], rounds: int = 60) ->
 
 def two_core(graph: Graph) -> DataFrame:
     """``node`` of the 2-core."""
-    return core_numbers(graph).where("core >= 2").select("node")
+    return peeled(undirected(graph.edges)).select(F.col("src").alias("node")).distinct()
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """Arcs (both ways) of the 2-core: ends with one neighbour go until none is left.
+
+    A round takes all such ends, so there are as many rounds as the longest dangling path has nodes; what is
+    left after some rounds is a bounded table as a rule, and those are peeled in one task.
+    """
+    now = written(edges.select("src", "dst"), "core")
+    while True:
+        size = now.groupBy("src").agg(F.count("*").alias("d")).agg(F.sum("d"), F.min("d")).first()
+        if size[0] is None or size[1] >= 2:
+            return now
+        step = now
+        if size[0] <= SMALL:
+            step = now.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_peeled_rows, "src long, dst long")
+        else:
+            for _ in range(STEPS):
+                inner = step.groupBy("src").agg(F.count("*").alias("d")).where("d >= 2").select(F.col("src").alias("node"))
+                step = step.join(inner, F.col("src") == F.col("node"), "left_semi").join(inner, F.col("dst") == F.col("node"), "left_semi")
+        new = written(step, "core")
+        drop_table(now)
+        now = new
+
+
+def _peeled_rows(arcs: pd.DataFrame) -> pd.DataFrame:
+    ids, both = np.unique(arcs[["src", "dst"]].to_numpy(np.int64), return_inverse=True)
+    both = both.reshape(-1, 2)
+    while True:
+        on = np.bincount(both[:, 0], minlength=len(ids)) >= 2
+        keep = on[both[:, 0]] & on[both[:, 1]]
+        if keep.all():
+            return pd.DataFrame(ids[both], columns=["src", "dst"])
+        both = both[keep]
 
 
 def communities(graph: Graph, rounds: int = 20) -> DataFrame:
@@ -276,41 +311,6 @@ def triangles(graph: Graph) -> DataFrame:
     return out.withColumn("clustering", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 
 
-def profile(graph: Graph) -> DataFrame:
-    """One row: nodes, arcs, density, degree and probability statistics, components, mean clustering."""
-    n = graph.nodes.agg(F.count("*").alias("nodes"))
-    a = graph.edges.agg(F.count("*").alias("arcs"), F.avg("ic_p").alias("mean_p"), F.max("ic_p").alias("max_p"), F.expr("percentile(ic_p, 0.5)").alias("median_p"))
-    d = degree(graph).agg(F.avg("score").alias("mean_degree"), F.max("score").alias("max_degree"), F.expr("percentile(score, 0.5)").alias("median_degree"))
-    c = residual_components(graph).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
-    t = triangles(graph).agg(F.avg("clustering").alias("mean_clustering"), (F.sum("triangles") / 3).cast("long").alias("triangles"))
-    out = n.join(a).join(d).join(c).join(t)
-    return out.withColumn("density", F.when(F.col("nodes") > 1, F.col("arcs") / (F.col("nodes") * (F.col("nodes") - 1.0))).otherwise(0.0))
-
-
-def residual_components(graph: Graph, removed: DataFrame | None = None) -> DataFrame:
-    """``component, size`` of what is left; isolated nodes are components of their own."""
-    g = graph if removed is None else graph.without(removed)
-    parts = connected_components(g.edges)
-    labelled = g.nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"))
-    return labelled.groupBy("component").agg(F.count("*").alias("size"))
-
-
-def connectivity(graph: Graph, removed: DataFrame | None = None) -> DataFrame:
-    """One row: pairwise connectivity, largest component and its share of all nodes, number of components."""
-    n = max(1, graph.nodes.count())
-    size = F.col("size")
-    return residual_components(graph, removed).agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0)).cast("long").alias("pairwise"), F.coalesce(F.max(size), F.lit(0)).alias("largest"), (F.coalesce(F.max(size), F.lit(0)) / F.lit(float(n))).alias("largest_share"), F.count("*").alias("components"))
-
-
-def dismantling_curve(graph: Graph, order: DataFrame) -> DataFrame:
-    """``q, share``: the largest component's share after the first q nodes of ``order(node, rank)`` go, q from 0.
-
-    All prefixes run at once: a copy of the graph for each, with ids set apart by q.
-    """
-    n = graph.nodes.count()
-    k = order.count()
-    steps = graph.nodes.sparkSession.range(k + 1).withColumnRenamed("id", "q")
-    ranked = order.select("node", "rank")
 def _closed(up: DataFrame) -> DataFrame:
     """``node, n``: triangles of an acyclic ``up(src, dst)`` at each node, in parts.
 
@@ -355,6 +355,41 @@ def _closed_rows(arcs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids[on], "n": total[on]})
 
 
+def profile(graph: Graph) -> DataFrame:
+    """One row: nodes, arcs, density, degree and probability statistics, components, mean clustering."""
+    n = graph.nodes.agg(F.count("*").alias("nodes"))
+    a = graph.edges.agg(F.count("*").alias("arcs"), F.avg("ic_p").alias("mean_p"), F.max("ic_p").alias("max_p"), F.expr("percentile(ic_p, 0.5)").alias("median_p"))
+    d = degree(graph).agg(F.avg("score").alias("mean_degree"), F.max("score").alias("max_degree"), F.expr("percentile(score, 0.5)").alias("median_degree"))
+    c = residual_components(graph).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
+    t = triangles(graph).agg(F.avg("clustering").alias("mean_clustering"), (F.sum("triangles") / 3).cast("long").alias("triangles"))
+    out = n.join(a).join(d).join(c).join(t)
+    return out.withColumn("density", F.when(F.col("nodes") > 1, F.col("arcs") / (F.col("nodes") * (F.col("nodes") - 1.0))).otherwise(0.0))
+
+
+def residual_components(graph: Graph, removed: DataFrame | None = None) -> DataFrame:
+    """``component, size`` of what is left; isolated nodes are components of their own."""
+    g = graph if removed is None else graph.without(removed)
+    parts = connected_components(g.edges)
+    labelled = g.nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"))
+    return labelled.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def connectivity(graph: Graph, removed: DataFrame | None = None) -> DataFrame:
+    """One row: pairwise connectivity, largest component and its share of all nodes, number of components."""
+    n = max(1, graph.nodes.count())
+    size = F.col("size")
+    return residual_components(graph, removed).agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0)).cast("long").alias("pairwise"), F.coalesce(F.max(size), F.lit(0)).alias("largest"), (F.coalesce(F.max(size), F.lit(0)) / F.lit(float(n))).alias("largest_share"), F.count("*").alias("components"))
+
+
+def dismantling_curve(graph: Graph, order: DataFrame) -> DataFrame:
+    """``q, share``: the largest component's share after the first q nodes of ``order(node, rank)`` go, q from 0.
+
+    All prefixes run at once: a copy of the graph for each, with ids set apart by q.
+    """
+    n = graph.nodes.count()
+    k = order.count()
+    steps = graph.nodes.sparkSession.range(k + 1).withColumnRenamed("id", "q")
+    ranked = order.select("node", "rank")
     label = lambda side: ranked.select(F.col("node").alias(side), F.col("rank").alias(f"{side}_rank"))
     e = undirected(graph.edges).join(label("src"), "src", "left").join(label("dst"), "dst", "left")
     # an arc is there until the earlier of its ends goes
