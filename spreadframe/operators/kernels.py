@@ -14,6 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import numbered, undirected
+from ..shared import drop_table, written
+from .components import connected_components
+from .spectra import second_vector
+
 MOST = 2_000_000
 
 
@@ -181,29 +186,20 @@ def reinserted(edges: DataFrame, removed: DataFrame, threshold: float) -> DataFr
     return _keyed(edges).groupBy("graph_id").applyInPandas(one, "graph_id string, node long")
 
 
-def fiedler_removal(edges: DataFrame, k: int, quantile: float = 0.5, least: int = 8) -> DataFrame:
+def fiedler_removal(edges: DataFrame, k: int, quantile: float = 0.5, least: int = 8, dense: int = 4000) -> DataFrame:
     """``graph_id, node, rank``: cut the largest component by its second eigenvector, cover the cut edges greedily.
 
-    Components of over 4,000 nodes are refused; ``dismantling.spectral_ensemble`` has no such bound.
+    A graph of up to ``dense`` nodes is cut in one group; larger ones, one by one, in jobs over all their arcs.
     """
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        near, gone, out = _neighbours(_checked(g)), set(), []
+        near, gone, out = _neighbours(g), set(), []
         while len(out) < k:
             big = sorted(max(_pieces(near, gone), key=len, default=[]))
             if len(big) <= least:
                 break
-            if len(big) > 4000:
-                raise ValueError(f"a component of {len(big)} nodes is too large to cut densely; use dismantling.spectral_ensemble")
-            at = {u: i for i, u in enumerate(big)}
-            a = np.zeros((len(big), len(big)))
-            for u in big:
-                for v in near[u]:
-                    if v in at:
-                        a[at[u], at[v]] = 1
-            d = 1 / np.sqrt(np.maximum(a.sum(1), 1))
-            x = np.linalg.eigh(np.eye(len(big)) - d[:, None] * a * d)[1][:, 1]
-            side = x <= np.quantile(x, quantile)
-            cut = {(u, v) for u in big for v in near[u] if v in at and side[at[u]] and not side[at[v]]}
+            x = _second(big, near)
+            at = dict(zip(big, x <= np.quantile(x, quantile)))
+            cut = {(u, v) for u in big for v in near[u] if v in at and at[u] and not at[v]}
             if not cut:
                 break
             while cut and len(out) < k:
@@ -217,7 +213,68 @@ def fiedler_removal(edges: DataFrame, k: int, quantile: float = 0.5, least: int
                 cut = {e for e in cut if best not in e}
         return pd.DataFrame(out, columns=["graph_id", "node", "rank"])
 
-    return _keyed(edges).groupBy("graph_id").applyInPandas(one, "graph_id string, node long, rank int")
+    keyed, spark = _keyed(edges).select("graph_id", "src", "dst").distinct(), edges.sparkSession
+    ends = keyed.select("graph_id", F.col("src").alias("node")).unionByName(keyed.select("graph_id", F.col("dst").alias("node"))).distinct()
+    large = [r["graph_id"] for r in ends.groupBy("graph_id").count().where(F.col("count") > dense).orderBy("graph_id").collect()]
+    small = keyed.where(~F.col("graph_id").isin(large)) if large else keyed
+    out = small.groupBy("graph_id").applyInPandas(one, "graph_id string, node long, rank int")
+    for name in large:
+        picks = _large_cuts(keyed.where(F.col("graph_id") == name), k, quantile, least, dense)
+        out = out.unionByName(spark.createDataFrame([(name, v, i + 1) for i, v in enumerate(picks)], "graph_id string, node long, rank int"))
+    return out
+
+
+def _second(ids: list[int], near: dict[int, set[int]]) -> np.ndarray:
+    """Second eigenvector of a component's normalised Laplacian, by its dense matrix."""
+    at = {u: i for i, u in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    for u in ids:
+        for v in near[u]:
+            if v in at:
+                a[at[u], at[v]] = 1
+    d = 1 / np.sqrt(np.maximum(a.sum(1), 1))
+    return np.linalg.eigh(np.eye(len(ids)) - d[:, None] * a * d)[1][:, 1]
+
+
+def _large_cuts(edges: DataFrame, k: int, quantile: float, least: int, dense: int) -> list[int]:
+    """The picks of :func:`fiedler_removal` in one graph; the driver sees one row a pick."""
+    def densely(g: pd.DataFrame) -> pd.DataFrame:
+        near = _neighbours(g)
+        return pd.DataFrame({"node": sorted(near), "x": _second(sorted(near), near)})
+
+    chosen: list[int] = []
+    arcs = written(undirected(edges), "arcs")
+    while len(chosen) < k:
+        parts = written(connected_components(arcs), "parts")
+        big = parts.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+        if big is None or big["count"] <= least:
+            break
+        n, members = big["count"], parts.where(F.col("component") == big["component"]).select(F.col("node").alias("src"))
+        inner = written(arcs.join(members, "src", "left_semi"), "inner")
+        x = written(inner.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(densely, "node long, x double") if n <= dense else second_vector(inner), "second")
+        # np.quantile: between the two entries around the place
+        place = (n - 1) * quantile
+        low, high = int(np.floor(place)), int(np.ceil(place))
+        two = {r["place"]: r["x"] for r in numbered(x, [F.asc("x"), F.asc("node")]).where(F.col("place").isin([low, high])).collect()}
+        side = written(x.select("node", (F.col("x") <= two[low] + (two[high] - two[low]) * (place - low)).alias("low")), "side")
+        at = lambda c: side.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}"))
+        cut = written(inner.join(at("src"), "src").where("low_src").join(at("dst"), "dst").where("not low_dst").select("src", "dst"), "cut")
+        if cut.isEmpty():
+            break
+        picked: list[int] = []
+        while len(chosen) < k:
+            left = cut.where(~F.col("src").isin(picked) & ~F.col("dst").isin(picked)) if picked else cut
+            ends = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node")))
+            best = ends.groupBy("node").count().orderBy(F.desc("count"), "node").first()
+            if best is None:
+                break
+            picked.append(best["node"])
+            chosen.append(best["node"])
+        rest = written(arcs.where(~F.col("src").isin(picked) & ~F.col("dst").isin(picked)), "arcs") if len(chosen) < k else arcs
+        for used in (parts, inner, x, side, cut):
+            drop_table(used)
+        arcs = rest
+    return chosen
 
 
 def explosive_immunization(edges: DataFrame, k: int, candidates: int = 200, seed: int = 0) -> DataFrame:

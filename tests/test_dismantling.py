@@ -163,3 +163,29 @@ def test_spectral_ensemble_cuts_the_barbell(spark):
     g = type(g)(both_ways(spark, barbell()).select("src").distinct().withColumnRenamed("src", "node"), g.edges)
     rows = dismantling.spectral_ensemble(g, 1, members=3, rounds=24).collect()
     assert rows[0]["node"] in (0, 50, 100)
+
+
+def test_fiedler_removal_of_a_large_component_equals_the_dense_one(spark):
+    from spreadframe.operators import kernels
+
+    rng = random.Random(5)
+    # two loose halves and a small component of its own
+    arcs = sorted({(h * 120 + rng.randrange(120), h * 120 + rng.randrange(120)) for h in (0, 1) for _ in range(500)} | {(rng.randrange(120), 120 + rng.randrange(120)) for _ in range(40)} | {(900, 901), (901, 902)})
+    edges = spark.createDataFrame([(a, b) for a, b in arcs if a != b], "src long, dst long")
+    rows = lambda df: sorted((r["rank"], r["node"]) for r in df.collect())
+    want = rows(kernels.fiedler_removal(edges, 12))
+    assert len(want) == 12 and rows(kernels.fiedler_removal(edges, 12, dense=100)) == want
+
+
+def test_second_vector_of_blocks_is_the_dense_one(spark):
+    from spreadframe.operators import spectra
+
+    rng = random.Random(7)
+    arcs = {(i, (i + 1) % 300) for i in range(300)} | {(rng.randrange(300), rng.randrange(300)) for _ in range(1200)}
+    near = sorted({p for a, b in arcs if a != b for p in ((a, b), (b, a))})
+    a = np.zeros((300, 300))
+    a[tuple(np.array(near).T)] = 1
+    d = 1 / np.sqrt(a.sum(1))
+    want = np.linalg.eigh(d[:, None] * a * d)[1][:, -2]
+    got = np.array([r["x"] for r in spectra.second_vector(spark.createDataFrame(near, "src long, dst long")).orderBy("node").collect()])
+    assert got[0] <= 0 and abs(np.abs(want @ got) - 1) < 1e-9 and min(np.abs(got - want).max(), np.abs(got + want).max()) < 1e-6
