@@ -125,3 +125,30 @@ def test_levels_keep_no_seen_sets(spark, arcs):
     assert len(levels) > 5 and all(level.columns == ["block", "bucket", "front"] for level in levels)
     # what a hop does not reach has no row
     assert levels[-1].where("front is null").isEmpty()
+
+
+def test_tree_logs_over_several_tiles_equal_trees_root_by_root(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    near = {p for _ in range(150) for a, b in [(rng.randrange(0, 90, 1), rng.randrange(0, 90, 1))] if a != b for p in ((a, b), (b, a))} | {(200, 201), (201, 200)}
+    out: dict[int, list[int]] = {}
+    for a, b in sorted(near):
+        out.setdefault(a, []).append(b)
+    want = {}
+    for root in [*out, 300]:
+        hop, order = {root: 0}, [root]
+        for u in order:
+            for v in out.get(u, []):
+                if v not in hop:
+                    hop[v] = hop[u] + 1
+                    order.append(v)
+        size = dict.fromkeys(hop, 1)
+        for v in reversed(order[1:]):
+            size[min(u for u in out[v] if hop.get(u) == hop[v] - 1)] += size[v]
+        want[root] = (len(hop), sum(map(math.log, size.values())))
+    edges, sources = spark.createDataFrame(sorted(near), "src long, dst long"), spark.createDataFrame([(v,) for v in want], "node long")
+    got = {r["key"]: (r["n"], r["logs"]) for r in tiles.tree_logs(edges, sources, side=16, width=64).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()}
+    assert all(abs(got[k][1] - x) < 1e-9 for k, (_, x) in want.items())
