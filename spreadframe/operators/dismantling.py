@@ -256,18 +256,19 @@ def second_vectors(edges: DataFrame, rounds: int = 60, unrolled: int = 4) -> Dat
 def spectral_removals(graph: Graph, k: int, quantiles: list[float], cost: str = "unit", least: int = 8, rounds: int = 60) -> list[list[int]]:
     """Up to ``k`` nodes for each quantile: the largest part is cut at that quantile of its second vector, over and over.
 
-    The arcs across are covered by the nodes that cover most for their cost (1, or the degree). All quantiles
-    are arms of the same jobs; the driver sees one row an arm and pick.
+    The arcs across are covered by the nodes that cover most for their cost (1, or the degree). All quantiles run in the same
+    jobs, and those that have removed the same nodes share a graph and its vector; the driver sees one row a quantile and pick.
     """
     spark, base = graph.nodes.sparkSession, written(undirected(graph.edges), "arcs")
-    arms = spark.createDataFrame([(i,) for i in range(len(quantiles))], "arm int")
-    edges = written(base.crossJoin(F.broadcast(arms)).select("arm", "src", "dst"), "edges")
     price = base.groupBy(F.col("src").alias("node")).agg((F.lit(1.0) if cost == "unit" else F.count("*").cast("double")).alias("price"))
     chosen: list[list[int]] = [[] for _ in quantiles]
-    while not edges.isEmpty():
-        # one run over all arms: their nodes are numbered apart
-        numbered = edges.select((F.col("src") * len(quantiles) + F.col("arm")).alias("src"), (F.col("dst") * len(quantiles) + F.col("arm")).alias("dst"))
-        parts = connected_components(numbered).select(F.pmod("node", F.lit(len(quantiles))).cast("int").alias("arm"), F.floor(F.col("node") / len(quantiles)).alias("node"), "component")
+    # quantiles that have removed the same nodes cut one graph between them, so all start with the whole one
+    alike, edges = [list(range(len(quantiles)))], written(base.select(F.lit(0).alias("arm"), "src", "dst"), "edges")
+    while alike and not edges.isEmpty():
+        many = len(alike)
+        # one run over all graphs: their nodes are numbered apart
+        numbered = edges.select((F.col("src") * many + F.col("arm")).alias("src"), (F.col("dst") * many + F.col("arm")).alias("dst"))
+        parts = connected_components(numbered).select(F.pmod("node", F.lit(many)).cast("int").alias("arm"), F.floor(F.col("node") / many).alias("node"), "component")
         parts = written(parts, "parts")
         largest = parts.groupBy("arm", "component").agg(F.count("*").alias("n")).groupBy("arm").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).where(F.col("m.n") > least).select("arm", (-F.col("m.c")).alias("component"))
         members = parts.join(largest, ["arm", "component"], "left_semi").select("arm", F.col("node").alias("src"))
@@ -275,26 +276,39 @@ def spectral_removals(graph: Graph, k: int, quantiles: list[float], cost: str =
         if inner.isEmpty():
             break
         x = written(second_vectors(inner, rounds), "second")
-        at = x.groupBy("arm").agg(F.percentile_approx("x", F.array(*map(F.lit, quantiles)), F.lit(100_000)).alias("at")).select("arm", F.element_at("at", F.col("arm") + 1).alias("at"))
-        side = written(x.join(at, "arm").select("arm", "node", (F.col("x") <= F.col("at")).alias("low")), "side")
-        low, high = side.where("low").select("arm", F.col("node").alias("src")), side.where("not low").select("arm", F.col("node").alias("dst"))
-        cut = written(inner.join(low, ["arm", "src"], "left_semi").join(high, ["arm", "dst"], "left_semi").select("arm", "src", "dst"), "cut")
-        picked: list[tuple[int, int]] = []
+        at = x.groupBy("arm").agg(F.percentile_approx("x", F.array(*map(F.lit, quantiles)), F.lit(100_000)).alias("at"))
+        # from here on each quantile is an arm of its own
+        named = spark.createDataFrame([(g, i) for g, same in enumerate(alike) for i in same], "arm int, own int")
+        at = at.join(named, "arm").select("arm", "own", F.element_at("at", F.col("own") + 1).alias("at"))
+        side = written(x.join(F.broadcast(at), "arm").select("arm", "own", "node", (F.col("x") <= F.col("at")).alias("low")), "side")
+        low, high = side.where("low").select("arm", "own", F.col("node").alias("src")), side.where("not low").select("own", F.col("node").alias("dst"))
+        cut = written(inner.join(low, ["arm", "src"]).join(high, ["own", "dst"], "left_semi").select(F.col("own").alias("arm"), "src", "dst"), "cut")
+        picked: list[list[int]] = [[] for _ in quantiles]
         while True:
-            ends = cut.select("arm", F.col("src").alias("node")).unionByName(cut.select("arm", F.col("dst").alias("node"))).groupBy("arm", "node").agg(F.count("*").alias("n"))
+            left = _apart(cut, spark.createDataFrame([(i, v) for i, p in enumerate(picked) for v in p], "arm int, x long")) if any(picked) else cut
+            ends = left.select("arm", F.col("src").alias("node")).unionByName(left.select("arm", F.col("dst").alias("node"))).groupBy("arm", "node").agg(F.count("*").alias("n"))
             best = ends.join(price, "node").groupBy("arm").agg(F.max(F.struct((F.col("n") / F.col("price")).alias("r"), (-F.col("node")).alias("v"))).alias("m")).collect()
             new = [(r["arm"], -r["m"]["v"]) for r in best if len(chosen[r["arm"]]) < k]
             if not new:
                 break
             for arm, v in new:
                 chosen[arm].append(v)
-            picked += new
-            gone = spark.createDataFrame(new, "arm int, x long")
-            cut = written(_apart(cut, gone), "cut")
-        if not picked:
+                picked[arm].append(v)
+            if all(len(c) >= k for c in chosen):
+                break
+        for used in (parts, inner, x, side, cut):
+            drop_table(used)
+        # of the quantiles that go on, those that picked alike stay together
+        groups: dict[tuple, list[int]] = {}
+        for g, same in enumerate(alike):
+            for i in same:
+                if picked[i] and len(chosen[i]) < k:
+                    groups.setdefault((g, *sorted(picked[i])), []).append(i)
+        alike = list(groups.values())
+        if not alike:
             break
-        done = [i for i, c in enumerate(chosen) if len(c) >= k]
-        left = written(_apart(edges, spark.createDataFrame(picked, "arm int, x long")).where(~F.col("arm").isin(done) if done else F.lit(True)), "edges")
+        turned = edges.join(F.broadcast(spark.createDataFrame([(key[0], g) for g, key in enumerate(groups)], "arm int, next int")), "arm").select(F.col("next").alias("arm"), "src", "dst")
+        left = written(_apart(turned, spark.createDataFrame([(g, v) for g, key in enumerate(groups) for v in key[1:]], "arm int, x long")), "edges")
         drop_table(edges)
         edges = left
     return chosen
@@ -311,11 +325,14 @@ def spectral_ensemble(graph: Graph, k: int, members: int = 5, spread: float = 0.
     quantiles = [min(0.95, max(0.05, 0.5 + (o if i % 2 else -o))) for i, o in enumerate(offsets)]
     found = spectral_removals(graph, k, quantiles, rounds=rounds, least=least)
     spark, base = graph.nodes.sparkSession, written(undirected(graph.edges), "arcs")
-    full = [[r["node"] for r in _filled(graph, c, k).orderBy("rank").collect()] for c in found]
-    arms = spark.createDataFrame([(i,) for i in range(members)], "arm int")
-    gone = spark.createDataFrame([(i, int(v)) for i, c in enumerate(full) for v in c], "arm int, x long")
-    left = _apart(base.crossJoin(F.broadcast(arms)), gone)
-    parts = connected_components(left.select((F.col("src") * members + F.col("arm")).alias("src"), (F.col("dst") * members + F.col("arm")).alias("dst")))
-    giant = {r["arm"]: r["n"] for r in parts.groupBy("component").agg(F.count("*").alias("n")).groupBy(F.pmod("component", F.lit(members)).cast("int").alias("arm")).agg(F.max("n").alias("n")).collect()}
+    full = [c if len(c) >= k else [r["node"] for r in _filled(graph, c, k).orderBy("rank").collect()] for c in found]
+    # plans of the same nodes leave the same parts
+    plans = list(dict.fromkeys(tuple(sorted(c)) for c in full))
+    many = len(plans)
+    gone = spark.createDataFrame([(i, int(v)) for i, c in enumerate(plans) for v in c], "arm int, x long")
+    left = _apart(base.crossJoin(F.broadcast(spark.createDataFrame([(i,) for i in range(many)], "arm int"))), gone)
+    parts = connected_components(left.select((F.col("src") * many + F.col("arm")).alias("src"), (F.col("dst") * many + F.col("arm")).alias("dst")))
+    sizes = {r["arm"]: r["n"] for r in parts.groupBy("component").agg(F.count("*").alias("n")).groupBy(F.pmod("component", F.lit(many)).cast("int").alias("arm")).agg(F.max("n").alias("n")).collect()}
+    giant = {i: sizes[plans.index(tuple(sorted(c)))] for i, c in enumerate(full) if plans.index(tuple(sorted(c))) in sizes}
     best = min(range(members), key=lambda i: (giant.get(i, 1), i))
     return selectors.ranked(graph, full[best])

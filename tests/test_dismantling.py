@@ -189,3 +189,12 @@ def test_second_vector_of_blocks_is_the_dense_one(spark):
     want = np.linalg.eigh(d[:, None] * a * d)[1][:, -2]
     got = np.array([r["x"] for r in spectra.second_vector(spark.createDataFrame(near, "src long, dst long")).orderBy("node").collect()])
     assert got[0] <= 0 and abs(np.abs(want @ got) - 1) < 1e-9 and min(np.abs(got - want).max(), np.abs(got + want).max()) < 1e-6
+
+
+def test_quantiles_that_removed_the_same_share_one_vector(spark, monkeypatch):
+    g = graph(spark, barbell(), 1)
+    g = type(g)(both_ways(spark, barbell()).select("src").distinct().withColumnRenamed("src", "node"), g.edges)
+    arms, plain = [], dismantling.second_vectors
+    monkeypatch.setattr(dismantling, "second_vectors", lambda e, *a: (arms.append(e.select("arm").distinct().count()), plain(e, *a))[1])
+    found = dismantling.spectral_removals(g, 1, [0.5, 0.45], rounds=8)
+    assert arms == [1] and all(len(c) == 1 for c in found)
