@@ -45,6 +45,11 @@ def users(spark: SparkSession, sf: str) -> Graph:
     return derived.user_graph(spark, sf).materialized()
 
 
+def customers(spark: SparkSession, sf: str) -> Graph:
+    """Customers and suppliers without probabilities, for measures that only count arcs; the join of their orders is done once."""
+    return Graph.from_edges(written(derived.customer_supplier_arcs(spark, sf), "arcs"))
+
+
 def nations(spark: SparkSession, sf: str) -> Graph:
     """A small graph, for searches that are sequential within a graph or not yet measured on a larger one."""
     return derived.nation_graph(spark, sf).materialized()
@@ -128,7 +133,7 @@ def synthetic_graphs(spark, sf):
 
 @query(sql("cs_arcs", "SELECT node, CAST(count(*) AS DOUBLE) AS score FROM (SELECT src AS node FROM cs_arcs UNION ALL SELECT dst FROM cs_arcs) GROUP BY 1"))
 def compute_degree(spark, sf):
-    return structure.degree(derived.customer_supplier_graph(spark, sf))
+    return structure.degree(customers(spark, sf))
 
 
 @query(sql("gcs ncs", "SELECT node, round(coalesce(sum(ic_p), 0), 6) AS score FROM ncs LEFT JOIN gcs ON src = node GROUP BY 1"))
@@ -138,7 +143,7 @@ def compute_weighted_degree(spark, sf):
 
 @query(sql("cs_arcs", "SELECT node, row_number() OVER (ORDER BY n DESC, node) AS rank FROM (SELECT node, count(*) AS n FROM (SELECT src AS node FROM cs_arcs UNION ALL SELECT dst FROM cs_arcs) GROUP BY 1) ORDER BY n DESC, node LIMIT 10"))
 def high_degree(spark, sf):
-    g = derived.customer_supplier_graph(spark, sf)
+    g = customers(spark, sf)
     return longs(selectors.by_score(g, structure.degree(g), 10), "rank")
 
 

@@ -127,3 +127,10 @@ def test_live_counts_equal_the_batch_answer(spark, tiny, tmp_path):
     got = {tuple(r) for r in spark.table("counts").collect()}
     assert got <= want and len(got) > 0.9 * len(want)
     assert live.sessions(events).count() > 0
+
+
+def test_degrees_join_the_orders_once_and_weigh_no_arc(spark, tiny):
+    from spreadframe.plans import catalog
+
+    plan = catalog.compute_degree(spark, tiny)._jdf.queryExecution().toString()
+    assert "l_orderkey" not in plan and "ic_p" not in plan
