@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..shared import written
+from ..shared import unsent, written
 
 #: Shingles whose bits are counted at once, which bounds a worker's memory.
 SLAB = 1 << 15
@@ -74,7 +74,7 @@ def near_pairs(prints: DataFrame, bits: int = 3) -> DataFrame:
     """Pairs ``a < b`` of different fingerprints in column ``fp`` that differ in at most ``bits`` bits."""
     index = prints.select("fp", F.explode(variants(F.col("fp"), bits)).alias("s")).select("fp", "s.at", "s.rest")
     a, b = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
-    return a.join(b, ["at", "rest"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
+    return a.join(unsent(b), ["at", "rest"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3, carry: list
     keyed = written(docs.select(*dict.fromkeys(["doc_id", *own]), fingerprint(F.col("text"), shingle).alias("_fp"), F.monotonically_increasing_id().alias("_row")), "fingerprints")
     prints = written(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min(ids).alias("first")), "prints")
     parts = written(connected_components(near_pairs(prints, bits), "a", "b"), "parts")
-    rooted = prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = prints.join(unsent(parts), prints["fp"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    names = written(rooted.join(named, "root").select(F.col("fp").alias("_fp"), F.col("best.id").alias("component_id"), F.col("best.row").alias("_best")), "names")
-    return keyed.join(names, "_fp").select(*own, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id", (F.col("_row") == F.col("_best")).alias("kept"))
+    names = written(rooted.join(unsent(named), "root").select(F.col("fp").alias("_fp"), F.col("best.id").alias("component_id"), F.col("best.row").alias("_best")), "names")
+    return keyed.join(unsent(names), "_fp").select(*own, hex_digits(F.col("_fp")).alias("fingerprint"), "component_id", (F.col("_row") == F.col("_best")).alias("kept"))
