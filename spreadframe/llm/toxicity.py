@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import unsent, written
 
 ORDER = 6
 #: Entries of a model that are sent to every worker, at most; a larger one stays a table that words are joined with.
@@ -126,10 +126,10 @@ def shared_probabilities(grams: DataFrame) -> DataFrame:
     by_length = counts.groupBy("part", "n").agg(F.count_if(F.col("count") == 1).alias("ones"), F.count_if(F.col("count") == 2).alias("twos")).select("part", "n", _discount(F.col("ones"), F.col("twos")).alias("d"))
     after = counts.groupBy("part", _context("s").alias("context"), "n").agg(F.sum("count").alias("total"), F.count("*").alias("kinds"))
     # own share of a string, and the share that its context hands on
-    shares = counts.withColumn("context", _context("s")).join(after, ["part", "context", "n"]).join(F.broadcast(by_length), ["part", "n"])
+    shares = counts.withColumn("context", _context("s")).join(unsent(after), ["part", "context", "n"]).join(F.broadcast(by_length), ["part", "n"])
     shares = written(shares.select("part", "s", "n", (F.greatest(F.col("count") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own"), (F.col("d") * F.col("kinds") / F.col("total")).alias("hands")), "shares")
     chain = counts.select("part", F.col("s").alias("lower"), F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.substring("s", F.col("n") - k + 1, k))).alias("s"))
-    steps = chain.join(shares, ["part", "s"]).groupBy("part", "lower").agg(F.sort_array(F.collect_list(F.struct("n", "own", "hands"))).alias("steps"))  # at most ORDER - 1 each
+    steps = chain.join(unsent(shares), ["part", "s"]).groupBy("part", "lower").agg(F.sort_array(F.collect_list(F.struct("n", "own", "hands"))).alias("steps"))  # at most ORDER - 1 each
     summed = F.aggregate("steps", F.col("base"), lambda p, x: x["own"] + x["hands"] * p)
     return steps.join(F.broadcast(base), "part").select("part", "lower", summed.alias("p"))
 
@@ -151,7 +151,7 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     contexts = mine.groupBy("part", "context").agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(f"t_{c}").alias(f"sum_{c}") for c in classes))
     back = lambda c: F.when(F.col(f"all_{c}") > 0, 1 - F.col(f"sum_{c}") / F.col(f"all_{c}")).otherwise(F.lit(1.0))
     contexts = written(contexts.select("part", "context", *(F.col(f"all_{c}") for c in classes), *(back(c).alias(f"back_{c}") for c in classes)), "contexts")
-    lowered = mine.join(contexts, ["part", "context"]).withColumn("lower", _rest("gram")).join(shared_probabilities(grams), ["part", "lower"])
+    lowered = mine.join(unsent(contexts), ["part", "context"]).withColumn("lower", _rest("gram")).join(unsent(shared_probabilities(grams)), ["part", "lower"])
     p = [F.coalesce(F.try_divide(F.col(f"t_{c}"), F.col(f"all_{c}")), F.lit(0.0)) + F.col(f"back_{c}") * F.col("p") for c in classes]
     rest = [F.greatest(F.col(f"back_{c}"), F.lit(1e-9)) for c in classes]
     values = lowered.select("part", F.col("gram").alias("key"), F.log(p[0] / p[1]).alias("value"))
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, model_part: int = 5) -> tuple[Data
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null").where(~held_out(F.col("_id")))
     mine = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text is not null and _id is not null").where(~held_out(F.col("_id")))
     # labels are some share of all documents, so they are never broadcast
-    rows = mine.join(known.hint("merge"), "_id").select("_id", "text", "toxic", (F.floor(_fold(F.col("_id")) / 3) % model_part == 0).alias("curve"))
+    rows = mine.join(unsent(known), "_id").select("_id", "text", "toxic", (F.floor(_fold(F.col("_id")) / 3) % model_part == 0).alias("curve"))
     rows = written(rows, "labelled")
     model = written(log_ratios(gram_counts(rows)), "model")
     some = rows.where("curve").orderBy(F.xxhash64("_id", F.lit(11)), "text").limit(CALIBRATE)
@@ -326,9 +326,9 @@ def joined_features(docs: DataFrame, model: DataFrame) -> DataFrame:
     pieces = written(table.where("text is not null").select("_text_row", F.col("text").cast("string").alias("text")).mapInPandas(split, "_text_row long, unit string, n long"), "pieces")
     own, after = model.select("key", F.col("value").alias("own")), model.select(F.col("key").alias("context"), F.col("value").alias("after"))
     parts = pieces.select("unit").distinct().mapInPandas(grams, "unit string, key string, context string")
-    ratios = parts.join(own, "key", "left").join(after, "context", "left").groupBy("unit").agg(F.sum(F.coalesce("own", "after", F.lit(0.0))).alias("ratio"), F.count("*").alias("chars"))
-    of_text = pieces.join(ratios, "unit").groupBy("_text_row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum(F.col("n") * F.col("chars"))).alias(FEATURES[0]), F.max("ratio").alias(FEATURES[1]))
-    return table.join(of_text, "_text_row", "left").select(*docs.columns, *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES))
+    ratios = parts.join(unsent(own), "key", "left").join(unsent(after), "context", "left").groupBy("unit").agg(F.sum(F.coalesce("own", "after", F.lit(0.0))).alias("ratio"), F.count("*").alias("chars"))
+    of_text = pieces.join(unsent(ratios), "unit").groupBy("_text_row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum(F.col("n") * F.col("chars"))).alias(FEATURES[0]), F.max("ratio").alias(FEATURES[1]))
+    return table.join(unsent(of_text), "_text_row", "left").select(*docs.columns, *(F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
