@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..core import Graph, iterate, top_k, undirected
 from ..functions.coins import coin
 from ..shared import written
-from . import dynamics, inference, kernels, selectors, structure, tiles
+from . import dynamics, inference, kernels, selectors, structure, sweeps
 from .selectors import by_score, greedy, max_coverage, nodes_of, padded, reverse_sets, simulated_gain
 
 
@@ -398,11 +398,11 @@ def lost_nodes(candidate: DataFrame, incumbent: DataFrame, k: int) -> DataFrame:
 
 def spread_gradient(graph: Graph, seeds: DataFrame, candidates: DataFrame, horizon: int, step: float = 1e-4) -> DataFrame:
     """``node, gradient``: change of the mean-field spread with a candidate's own seed probability, all candidates at once."""
-    e, of = graph.edges.select("src", "dst", F.col("ic_p").alias("w")), graph.nodes.select("node", F.lit(1.0).alias("v"))
+    e, of = written(graph.edges.select("src", "dst", F.col("ic_p").alias("w")), "arcs"), graph.nodes.select("node", F.lit(1.0).alias("v"))
 
     def spread(sources: DataFrame) -> DataFrame:
-        t, now = tiles.mean_fields(e, sources, horizon, step, seeds)
-        return written(tiles.column_sums(t, now, of, lambda x, v: (x.sum(0),), "v").groupBy("key").agg(F.sum("v").alias("v")), "values")
+        fields = sweeps.mean_fields(e, sources, horizon, of, lambda x, v: (x.sum(0),), "v", step, seeds)
+        return written(fields.groupBy("key").agg(F.sum("v").alias("v")), "values")
 
     # a seed is there already, so its own run is the one without further candidates
     base = spread(seeds.limit(1)).select(F.col("v").alias("base"))
