@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..core import over_earlier
+from ..shared import written
 from .metrics import average_rank
 
 
@@ -76,11 +79,70 @@ def separated(df: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, F.col("a.metric") == F.col("b.metric")).select(F.col("a.metric").alias("metric"), gap.alias("gap"), se.alias("se"), F.coalesce(F.abs(gap) > 2 * se, F.lit(False)).alias("separated"))
 
 
-def pareto_front(points: DataFrame, objectives: dict[str, str], name: str = "name") -> DataFrame:
+#: Distinct points, about, whose dominators are counted together, and ranges of a value at most.
+GROUP, RANGES = 1 << 17, 512
+
+
+def _dominance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each of some distinct points the sum of ``n`` over those at least as good in both values, itself among them; nan is above all."""
+    x, y = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    order = np.lexsort((-y, -x))
+    k, m = int(y.max(initial=0)) + 1, len(order)
+    down, w, at = k - 1 - y[order], n[order].astype(np.int64), np.arange(m)
+    out = w.copy()
+    # all that beat a point come before it: halves of ever larger runs are counted against each other
+    for bit in range(max(0, m - 1).bit_length()):
+        left, key = (at >> bit) % 2 == 0, (at >> (bit + 1)) * k + down
+        held = np.sort(key[left], kind="stable")
+        until = np.concatenate([[0], np.cumsum(w[left][np.argsort(key[left], kind="stable")])])
+        right = ~left
+        out[right] += until[np.searchsorted(held, key[right], "right")] - until[np.searchsorted(held, (at[right] >> (bit + 1)) * k, "left")]
+    back = np.empty(m, np.int64)
+    back[order] = out
+    return back
+
+
+def _dominators(points: DataFrame, group: int | None = None) -> DataFrame:
+    """``_0, _1, dominated_by`` of distinct points ``_0, _1, _n`` without nulls.
+
+    Points lie in ranges of either value. Those that beat one are in its own range of the first, or in a higher one: then in its
+    own range of the second, or in cells higher in both, which are counted whole.
+    """
+    held = written(points, "points")
+    parts = min(RANGES, held.count() // (group or GROUP) + 1)
+    cuts = [sorted(set(held.approxQuantile(c, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else [] for c in ("_0", "_1")]
+    place = lambda c, at: F.pandas_udf(lambda v: pd.Series(np.searchsorted(at, v.to_numpy(float), "right"), dtype="int32"), "int")(c)
+    placed = written(held.select(F.monotonically_increasing_id().alias("at"), "_0", "_1", "_n", place("_0", cuts[0]).alias("i"), place("_1", cuts[1]).alias("j")), "placed")
+    cells = np.zeros((len(cuts[0]) + 2, len(cuts[1]) + 2), np.int64)
+    for r in placed.groupBy("i", "j").agg(F.sum("_n").alias("n")).collect():
+        cells[r["i"], r["j"]] = r["n"]
+    above = cells[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
+
+    def within(g: pd.DataFrame) -> pd.DataFrame:
+        n = _dominance(g["_0"].to_numpy(), g["_1"].to_numpy(), g["_n"].to_numpy()) - g["_n"].to_numpy()
+        return g[["at"]].assign(c=n)
+
+    def higher(g: pd.DataFrame) -> pd.DataFrame:
+        # points of one range and value are one point here, at the range's place and just above it
+        i, y = g["i"].to_numpy(), g["_1"].to_numpy()
+        rank = np.unique(y, return_inverse=True)[1]
+        spots, at = np.unique(np.column_stack([2 * i, rank]), axis=0, return_inverse=True)
+        own = np.bincount(at.ravel(), g["_n"].to_numpy(float)).astype(np.int64)
+        both = np.concatenate([spots, spots + [1, 0]])
+        n = _dominance(both[:, 0], both[:, 1], np.concatenate([own, np.zeros_like(own)]))[len(spots) :][at.ravel()]
+        return g[["at"]].assign(c=n + above[i + 1, g["j"].to_numpy() + 1])
+
+    # a point goes by its number, as pandas would hand a nan back as null
+    counted = placed.groupBy("i").applyInPandas(within, "at long, c long").unionByName(placed.groupBy("j").applyInPandas(higher, "at long, c long"))
+    return placed.join(counted.groupBy("at").agg(F.sum("c").alias("dominated_by")), "at").where("dominated_by > 0").select("_0", "_1", "dominated_by")
+
+
+def pareto_front(points: DataFrame, objectives: dict[str, str], name: str = "name", group: int | None = None) -> DataFrame:
     """``points`` with dominated_by, the number of points at least as good everywhere and better somewhere.
 
     ``objectives`` maps columns to max or min; a missing value neither dominates nor is
-    compared. Distinct objective vectors are compared, so repeated points cost nothing.
+    compared. Distinct objective vectors are compared, so repeated points cost nothing; two objectives are counted
+    by their order, more by all pairs.
     """
     signed = [(F.col(c) if s == "max" else -F.col(c)).alias(f"_{i}") for i, (c, s) in enumerate(objectives.items())]
     v = points.select(*signed).distinct()
@@ -90,7 +152,10 @@ def pareto_front(points: DataFrame, objectives: dict[str, str], name: str = "nam
     ge, gt = F.lit(True), F.lit(False)
     for i in ids:
         ge, gt = ge & (F.col(f"b.{i}") >= F.col(f"a.{i}")), gt | (F.col(f"b.{i}") > F.col(f"a.{i}"))
-    beaten = a.join(b, ge & gt).groupBy(*(F.col(f"a.{i}").alias(i) for i in ids)).agg(F.sum("_n").alias("dominated_by"))
+    if len(ids) == 2 and all(t in ("double", "float", "bigint", "int", "smallint", "tinyint") for _, t in counted.select(*ids).dtypes):
+        beaten = _dominators(counted.where("_0 is not null and _1 is not null"), group)
+    else:
+        beaten = a.join(b, ge & gt).groupBy(*(F.col(f"a.{i}").alias(i) for i in ids)).agg(F.sum("_n").alias("dominated_by"))
     p = points.select("*", *signed).alias("p")
     cond = [F.col(f"p.{i}").eqNullSafe(F.col(f"d.{i}")) for i in ids]
     return p.join(beaten.alias("d"), cond, "left").select(*(F.col(f"p.{c}") for c in points.columns), F.coalesce("dominated_by", F.lit(0)).alias("dominated_by"))
