@@ -19,6 +19,7 @@ from ..core import numbered, undirected
 from ..shared import drop_table, written
 from .components import connected_components
 from .spectra import second_vector
+from .sweeps import certificate
 
 MOST = 2_000_000
 
@@ -155,7 +156,10 @@ def _largest_rest(near: dict[int, set[int]], big: list[int]) -> dict[int, int]:
 
 
 def articulation_removal(edges: DataFrame, k: int) -> DataFrame:
-    """``graph_id, node, rank``: in the largest component remove the node that leaves the smallest biggest piece, again and again."""
+    """``graph_id, node, rank``: in the largest component remove the node that leaves the smallest biggest piece, again and again.
+
+    Of a single graph with more arcs only those are kept that decide which pieces ``k`` removals leave.
+    """
     def one(g: pd.DataFrame) -> pd.DataFrame:
         near, gone, out = _neighbours(_checked(g)), set(), []
         for r in range(min(k, len(near))):
@@ -168,6 +172,8 @@ def articulation_removal(edges: DataFrame, k: int) -> DataFrame:
             out.append((g["graph_id"].iloc[0], best, r + 1))
         return pd.DataFrame(out, columns=["graph_id", "node", "rank"])
 
+    if "graph_id" not in edges.columns and edges.count() > MOST:
+        edges = written(certificate(written(undirected(edges), "arcs"), k), "certificate")
     return _keyed(edges).groupBy("graph_id").applyInPandas(one, "graph_id string, node long, rank int")
 
 

@@ -384,6 +384,53 @@ def mean_fields(edges: DataFrame, sources: DataFrame, steps: int, nodes: DataFra
     return _measured(edges, sources, search, nodes, measure, names, fixed, **sizes)
 
 
+# --- spanning forests
+
+
+def search_forests(net: Net, count: int) -> np.ndarray:
+    """Arcs (tail, head) of ``count`` forests, each a breadth-first search of what the earlier ones leave of a symmetric graph."""
+    a, n = net.into, net.n
+    key = np.repeat(np.arange(n), a.counts) * n + a.far
+    alive, out = np.ones(len(key), bool), []
+    for _ in range(count):
+        seen, made = np.zeros(n, bool), []
+        for root in a.held.tolist():
+            if seen[root]:
+                continue
+            seen[root] = True
+            front = np.array([root])
+            while len(front):
+                # nodes of a hop are looked at in the order of their places, and each takes all that are not reached by then
+                at, k = a.of(front)
+                on = alive[at] & ~seen[a.far[at]]
+                front, first = np.unique(a.far[at][on], return_index=True)
+                if len(front):
+                    made.append(np.column_stack([a.far[at][on][first], key[at][on][first] // n]).astype(np.int64))
+                    seen[front] = True
+        if not made:
+            break
+        tree = np.concatenate(made)
+        out.append(tree)
+        for x, y in ((0, 1), (1, 0)):
+            alive[np.searchsorted(key, tree[:, x] * n + tree[:, y])] = False
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def certificate(edges: DataFrame, k: int, **sizes) -> DataFrame:
+    """``src, dst``: at most ``k`` + 1 arcs a node of the symmetric ``edges``, such that any ``k`` removals of nodes leave the same components.
+
+    These are scan-first forests, each of what the earlier ones leave (Cheriyan, Kao and Thurimella). One task holds all arcs.
+    """
+    if not fits(edges, 4):
+        raise ValueError("the arcs of the graph do not fit a task")
+
+    def run(net, keys, places):
+        arcs = net.ids[search_forests(net, k + 1)]
+        yield pd.DataFrame({"src": arcs[:, 0], "dst": arcs[:, 1]})
+
+    return swept(edges, edges.agg(F.min("src").alias("node")), "into", run, "src long, dst long", **sizes)
+
+
 # --- spectral radii
 
 
